@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, repetition, secrets, toxicity
+from . import decontaminate, hmm, licenses, linededup, mixing, repetition, secrets, surrogates, toxicity
+from .common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,16 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("licenses")
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
@@ -39,7 +50,12 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op8_toxicity, op9_repetition)}
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hmm.score_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_linededup, op8_toxicity, op9_repetition, op10_hmm)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -65,6 +81,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
+_NORMAL = r"array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ')"
+
+ORACLE_SQL["op7_linededup"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM d WHERE text <> ''),
+u AS (SELECT *, {_NORMAL} AS words FROM l),
+p AS (
+  SELECT *, len(string_split(words, ' ')) >= 5 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, r, k) > 1 AS gone,
+    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM u
+)
+SELECT d.doc_id, CASE WHEN any_value(p.r) IS NULL THEN any_value(d.text) ELSE coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') END AS text,
+  CASE WHEN any_value(p.r) IS NOT NULL THEN count(*) WHEN any_value(d.text) IS NULL THEN 0 ELSE 1 END AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+  coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY k) FILTER (WHERE gone), '') AS removed
+FROM d LEFT JOIN p ON d.r = p.r GROUP BY d.r, d.doc_id
+"""
+
 ORACLE_SQL["op4_mix"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
