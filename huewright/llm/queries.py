@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, licenses, linededup, mixing, repetition, secrets, surrogates, toxicity
+from . import decontaminate, hmm, jaccard, licenses, linededup, mixing, repetition, secrets, surrogates, toxicity
 from .common import fold
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -55,7 +59,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_linededup, op8_toxicity, op9_repetition, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_linededup, op8_toxicity, op9_repetition, op10_hmm)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
