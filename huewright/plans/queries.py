@@ -1,5 +1,230 @@
-"""The registered queries of the palette operators."""
+"""The registered queries of the palette operators, over images that are derived from the tables with integer arithmetic.
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = None
+events and orders make tiles of 16 x 16 pixels (whole ones only), embeddings rows of grey values, nation a palette of 25 colours.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.palettes import format_palettes, parse_errors, parse_lines, parse_palettes
+from ..model import Colours, pack_pixels
+from ..operators.dither import dither, dither_indices, dither_packed
+from ..operators.extract import extract_palettes
+from ..operators.histogram import colour_counts, histogram, level_counts, moments, oklab_bins
+from ..operators.kernels import KERNELS, ditherers
+from ..operators.nearest import lookup, nearest, nearest_of_array, nearest_unrolled, psnr, recolour, recolour_distinct, squared_error
+from ..operators.resample import downsample, tent_horizontal, upsample
+from ..sources.images import decode_files, encode_images, encode_indexed_images, pack_nibble_rows
+from ..sources.presets import display_name, preset_sizes, presets
+from . import oracle
+
+TILE = oracle.TILE
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tiles(rows: DataFrame, key: str, r, g, b) -> DataFrame:
+    """Pixels of the whole tiles of a table with dense keys."""
+    whole = rows.count() // TILE**2
+    at = F.col(key) % TILE**2
+    found = rows.select(F.floor(F.col(key) / TILE**2).cast("long").alias("image_id"), F.floor(at / TILE).cast("int").alias("y"), (at % TILE).cast("int").alias("x"), *((c % 256).cast("int").alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))), F.lit(255).alias("a"))
+    return found.where(F.col("image_id") < whole)
+
+
+def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(_table(spark, sf_dir, "events"), "event_id", F.col("user_id") * 37, F.round(F.col("value") * 100).cast("long"), F.col("event_id") * 101)
+
+
+def order_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(_table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_custkey") * 37, F.round(F.col("o_totalprice")).cast("long"), F.col("o_orderkey") * 101)
+
+
+def line_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours without places."""
+    parts = (("l_orderkey", 37), ("l_partkey", 101), ("l_suppkey", 53))
+    return _table(spark, sf_dir, "lineitem").select(*((F.col(c) * k % 256).cast("int").alias(n) for (c, k), n in zip(parts, "rgb", strict=True)))
+
+
+def nation_palette(spark: SparkSession, sf_dir: str) -> Colours:
+    keys = sorted(r.n_nationkey for r in _table(spark, sf_dir, "nation").select("n_nationkey").collect())  # 25 rows
+    return [(k * 53 % 256, k * 97 % 256, k * 193 % 256) for k in keys]
+
+
+def nearest_index(spark, d):
+    return nearest(event_pixels(spark, d), nation_palette(spark, d)).select("image_id", "y", "x", "idx")
+
+
+def nearest_index_unrolled(spark, d):
+    return event_pixels(spark, d).select("image_id", "y", "x", nearest_unrolled(nation_palette(spark, d)).alias("idx"))
+
+
+def nearest_index_array(spark, d):
+    palette = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, "rgb", strict=True))) for p in nation_palette(spark, d)))
+    return event_pixels(spark, d).select("image_id", "y", "x", nearest_of_array(palette).alias("idx"))
+
+
+def palette_usage(spark, d):
+    found = lookup(nearest(line_colours(spark, d).withColumns({f"{c}0": F.col(c) for c in "rgb"}), p := nation_palette(spark, d)), p)
+    error = sum((F.pow(F.col(c) - F.col(f"{c}0"), F.lit(2)) for c in "gb"), F.pow(F.col("r") - F.col("r0"), F.lit(2)))
+    return found.groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.sum(error).cast("long").alias("sse"))
+
+
+def recolour_none(spark, d):
+    return recolour(event_pixels(spark, d), nation_palette(spark, d))
+
+
+def recolour_orders(spark, d):
+    return recolour_distinct(order_pixels(spark, d), nation_palette(spark, d))
+
+
+def image_error(spark, d):
+    return psnr(squared_error(order_pixels(spark, d), nation_palette(spark, d))).select("image_id", "n_pixels", "sse", F.round("psnr", 6).alias("psnr"))
+
+
+def octree_levels(spark, d):
+    return level_counts(colour_counts(event_pixels(spark, d)))
+
+
+def octree_histogram(spark, d):
+    return histogram(event_pixels(spark, d), 64)
+
+
+def line_histogram(spark, d):
+    return histogram(line_colours(spark, d).withColumn("image_id", F.lit(1).cast("long")), 1 << 12)
+
+
+def oklab_means(spark, d):
+    rows = oklab_bins(histogram(event_pixels(spark, d), 64))
+    return rows.select("image_id", "bin", *(F.round(F.col(c) * 1e6).cast("long").alias(c) for c in "lab"), F.col("w").cast("long").alias("w"))
+
+
+def image_moments(spark, d):
+    rows = moments(event_pixels(spark, d).withColumn("one", F.lit(1)), ["image_id"], "one", ("r", "g", "b"))
+    return rows.select("image_id", "w", *(F.round(c, 3).alias(c) for c in rows.columns[2:]))
+
+
+def upsample_2x(spark, d):
+    return upsample(event_pixels(spark, d), 2)
+
+
+def tent_rows(spark, d):
+    return tent_horizontal(order_pixels(spark, d), ("r", "g", "b"))
+
+
+def tent_2x(spark, d):
+    return downsample(order_pixels(spark, d), ("r", "g", "b"))
+
+
+def multisample_2x_none(spark, d):
+    return downsample(upsample(recolour(event_pixels(spark, d), nation_palette(spark, d)), 2))
+
+
+def multisample_4x_none(spark, d):
+    return downsample(downsample(upsample(recolour(event_pixels(spark, d), nation_palette(spark, d)), 4)))
+
+
+def _dither(name):
+    return lambda spark, d: dither_indices(event_pixels(spark, d), nation_palette(spark, d), name)
+
+
+def _multisample(name, scale):
+    return lambda spark, d: dither(event_pixels(spark, d), nation_palette(spark, d), name, scale=scale)
+
+
+def _palette_texts(spark, d):
+    """One hex text for each region, of its nations' colours."""
+    rows = _table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("palette_id"), F.col("n_nationkey").alias("idx"), *((F.col("n_nationkey") * k % 256).cast("int").alias(c) for k, c in ((53, "r"), (97, "g"), (193, "b"))))
+    return format_palettes(rows)
+
+
+def hex_format(spark, d):
+    return _palette_texts(spark, d)
+
+
+def hex_parse(spark, d):
+    return parse_palettes(_palette_texts(spark, d))
+
+
+def _odd_texts(spark, d):
+    """Texts that are palettes or nearly so, with an offence of every kind."""
+    k = F.col("p_partkey")
+    code = F.lower(F.lpad(F.conv((k * 7919 % 16777216).cast("string"), 10, 16), 6, "0"))
+    text = (
+        F.when(k % 7 == 0, F.concat(code, F.lit(",")))
+        .when(k % 7 == 1, F.concat(code, F.lit("0")))
+        .when(k % 7 == 2, F.concat(F.lit(" "), code))
+        .when(k % 7 == 3, F.concat(F.substring(code, 1, 3), F.lit("g"), code))
+        .when(k % 7 == 4, F.array_join(F.array_repeat(code, (250 + k % 13).cast("int")), ","))
+        .when(k % 7 == 5, F.col("p_brand"))
+        .otherwise(F.concat(code, F.lit(","), F.upper(code)))
+    )
+    return _table(spark, d, "part").select(k.cast("string").alias("palette_id"), text.alias("s"))
+
+
+def hex_errors(spark, d):
+    return parse_errors(_odd_texts(spark, d))
+
+
+def hex_sound(spark, d):
+    return parse_palettes(_odd_texts(spark, d)).groupBy("palette_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r").cast("long") * (F.col("idx") + 1)).alias("check_r"), F.sum(F.col("b").cast("long") * (F.col("idx") + 1)).alias("check_b"))
+
+
+def line_import(spark, d):
+    texts = _odd_texts(spark, d).select("palette_id", F.concat(F.lit("#"), F.regexp_replace("s", ",", "\n#")).alias("s"))
+    return parse_lines(texts)
+
+
+def preset_colours(spark, d):
+    return presets(spark)
+
+
+def preset_catalogue(spark, d):
+    return presets(spark).select("ord", "name", display_name(F.col("name")).alias("display")).distinct()
+
+
+def preset_totals(spark, d):
+    return preset_sizes(presets(spark))
+
+
+def ditherer_catalogue(spark, d):
+    return ditherers(spark).select("ord", "name", "display", "divisor", F.size("taps").alias("n_taps"), F.aggregate("taps", F.lit(0), lambda a, t: a + t["weight"]).alias("weight"))
+
+
+def nibble_pack(spark, d):
+    return pack_nibble_rows(nearest(event_pixels(spark, d), nation_palette(spark, d)[:16]).where("x < 15").select("image_id", "y", "x", "idx"))
+
+
+def png_rgb(spark, d):
+    files = encode_images(pack_pixels(event_pixels(spark, d))).select(F.col("image_id").cast("string").alias("path"), F.col("png").alias("content"))
+    return decode_files(files).select(F.col("path").cast("long").alias("image_id"), "width", "height", F.lower(F.hex("pixels")).alias("pixels"))
+
+
+def png_indexed(spark, d):
+    palette = nation_palette(spark, d)
+    packed = dither_packed(pack_pixels(event_pixels(spark, d)), palette, "none", indices=True)
+    files = encode_indexed_images(packed, palette).select(F.col("image_id").cast("string").alias("path"), F.col("png").alias("content"))
+    return decode_files(files).select(F.col("path").cast("long").alias("image_id"), "width", "height", F.lower(F.hex("pixels")).alias("pixels"))
+
+
+def extract_palette_8(spark, d):
+    return extract_palettes(event_pixels(spark, d), 8)
+
+
+def apply_extracted(spark, d):
+    """Every image in its own palette of 8 colours."""
+    pixels = event_pixels(spark, d)
+    palettes = extract_palettes(pixels, 8).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("palette"))
+    rows = pixels.join(palettes, "image_id")
+    return rows.select("image_id", "y", "x", nearest_of_array(F.col("palette")).alias("idx"))
+
+
+_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted)
+QUERIES = {f.__name__: f for f in _PLAIN}
+QUERIES |= {f"dither_{k.name}": _dither(k.name) for k in KERNELS}
+QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS[1:]} | {"multisample_4x_fs": _multisample("fs", 4)}
+FLAGSHIP = QUERIES["dither_fs"]
+ORACLE_SQL = oracle.ORACLE_SQL
