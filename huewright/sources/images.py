@@ -44,7 +44,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     Rows are read with Spark's file sources, so any file system works; files that no reader can decode are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    own = decode_files(files.where(F.substring("content", 1, 8) == F.lit(bytearray(png.SIGNATURE)))).where("error is null").drop("error")
+    is_png = F.substring("content", 1, 8) == F.lit(bytearray(png.SIGNATURE))
+    own = decode_files(files.where(is_png)).where("error is null").drop("error")
+    place = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    known = files.where(is_png).select(place("path").alias("place"))
     other = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +62,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 new.append(rgba.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.binary())], names=["path", "width", "height", "pixels"])
 
-    plain = other.where(~F.lower("origin").endswith(".png")).select(F.col("origin").alias("path"), "width", "height", "nChannels", "data")
+    plain = other.join(known, place("origin") == F.col("place"), "left_anti").select(F.col("origin").alias("path"), "width", "height", "nChannels", "data")
     rest = plain.mapInArrow(run, "path string, width int, height int, pixels binary")
     return own.unionByName(rest).select("path", F.xxhash64("path").alias("image_id"), "width", "height", "pixels")
 

@@ -28,19 +28,21 @@ def _lines(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return spark.createDataFrame(list(enumerate(BUILT_IN.rstrip("\n").split("\n"))), "ord int, line string")
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("ord", "line"))
+    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("ord", "line"))
 
 
 def presets(spark: SparkSession, path: str | None = None, *, strict: bool = True) -> DataFrame:
     """(name, ord, idx, key, r, g, b) of a preset file, or of the built-in palettes. A strict read of a bad file raises ValueError."""
     lines = _lines(spark, path)
     if strict:
+        if path is not None and spark.read.text(path, wholetext=True).where(F.col("value").endswith("\n")).isEmpty():
+            raise ValueError("a preset file isn't empty and ends in a newline")
         values = F.size(F.regexp_extract_all("line", F.lit(r"="), F.lit(0)))
         bad = lines.where(~F.col("line").rlike(_LINE) | (values > MAX_COLOURS)).orderBy("ord").first()
         if bad:
             raise ValueError(f"line {bad.ord + 1} of the presets: expected 'name: key=rrggbb ...' of up to {MAX_COLOURS} colours, not {bad.line[:60]!r}")
     named = lines.where(F.instr("line", ":") > 0).select("ord", F.substring_index("line", ":", 1).alias("name"), F.expr("substring(line, instr(line, ':') + 1)").alias("rest"))
-    tokens = F.filter(F.split("rest", r"\s+"), lambda t: t.rlike("=[0-9A-Fa-f]{6}$"))
+    tokens = F.regexp_extract_all("rest", F.lit("[a-z0-9-]+=[0-9A-Fa-f]{6}"), F.lit(0)) if strict else F.filter(F.split("rest", r"\s+"), lambda t: t.rlike("=[0-9A-Fa-f]{6}$"))
     first = named.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("ord"))).where("nth = 1")
     rows = first.select("name", "ord", F.posexplode(tokens).alias("idx", "token"))
     value = F.substring_index("token", "=", -1)
