@@ -32,13 +32,23 @@ FIRST_NAMES = {
 }
 SYLLABLES = {"latin": ("ba", "do", "fen", "gar", "hol", "ker", "lin", "mor", "nas", "pol", "ril", "sen", "tar", "vel", "win", "zan"), "cyrillic": ("ба", "до", "фен", "гар", "хол", "кер", "лин", "мор")}
 
+# The alternatives start with tests of one or two characters, so that most places in a text are left at once.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-NAME = r"(?<!\p{L})(?:" + "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?"
-ENTITY = "|".join((EMAIL, IP, PHONE, CARD, SSN, NAME))
+_TITLES = sorted((t for x in TITLES.values() for t in x), key=len, reverse=True)
+NAME = r"(?<!\p{L})(?=[" + "".join(sorted({t[0] for t in _TITLES})) + "])(?:" + "|".join(_TITLES) + r")\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?"
+ENTITY = rf"{EMAIL}|(?=[0-9+(])(?:{IP}|{PHONE}|{CARD}|{SSN})|{NAME}"
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts that ENTITY can't match anywhere: they hold no @, no three digits or dotted digits, and no title."""
+    out = text.contains("@") | text.rlike("[0-9][0-9.][0-9.]")
+    for title in _TITLES:
+        out = out | text.contains(title)
+    return out
 
 
 def kind(entity: Column) -> Column:
@@ -155,21 +165,25 @@ def pseudonymise(docs: DataFrame, *, key: str = "surrogate-key", id_column: str
     other columns are not read. The same key gives the same surrogates unless collisions differ between corpora.
     """
     text = F.col(text_column).cast("string")
-    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>")).alias("found"))
-    some = rows.where(F.size("found") > 0).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
-    mentions = some.select("h1", "h2", F.explode(F.array_distinct("found")).alias("entity"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.coalesce(may_hold(text), F.lit(False)).alias("maybe"))
+    names = ("email", "ip", "phone", "card", "ssn", "name")
+    plain = rows.where(~F.col("maybe")).select("doc_id", "text", *(F.lit(0).cast("long").alias(f"n_{n}") for n in ("entities", *names)))
+    found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
+    some = rows.where("maybe").select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    mentions = written(some.select("h1", "h2", F.explode(F.array_distinct(found)).alias("entity")).distinct())
     entities = written(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))).withColumn("form", canonical(F.col("entity"), F.col("kind"))))
     assigned = assign(entities.select("kind", "form").distinct(), key)
     replaced = entities.join(assigned, ["kind", "form"]).select("entity", _in_format(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("new"), "kind")
-    table = mentions.join(replaced, "entity").groupBy("h1", "h2").agg(F.map_from_entries(F.collect_set(F.struct("entity", F.struct("new", "kind")))).alias("table"))
-    names = ("email", "ip", "phone", "card", "ssn", "name")
+    table = mentions.join(replaced, "entity").groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("new", "kind")))).alias("table"))
+    # A text without a table holds no entity.
+    whole = F.when(F.col("table").isNotNull(), F.struct(F.split("text", ENTITY, -1).alias("between"), found.alias("found")))
+    joined = some.join(table, ["h1", "h2"], "left").select("doc_id", "text", "table", whole.alias("w"))
+    parts = joined.select("doc_id", "text", "w.between", F.transform("w.found", lambda e: F.col("table")[e]).alias("new"))
 
     def count(name: str) -> Column:
-        return F.size(F.filter("kinds", lambda k: k == name)).cast("long").alias(f"n_{name}")
-
-    counted = [F.size("kinds").cast("long").alias("n_entities"), *map(count, names)]
-    changed = some.join(table, ["h1", "h2"]).withColumn("kinds", F.transform("found", lambda e: F.col("table")[e]["kind"]))
-    news = F.concat(F.transform("found", lambda e: F.col("table")[e]["new"]), F.array(F.lit("")))
-    whole = F.array_join(F.zip_with(F.split("text", ENTITY, -1), news, lambda a, b: F.concat(a, b)), "")
-    plain = rows.where(F.size("found") == 0).select("doc_id", "text", *(F.lit(0).cast("long").alias(f"n_{n}") for n in ("entities", *names)))
-    return changed.select("doc_id", whole.alias("text"), *counted).unionByName(plain)
+        return F.coalesce(F.size(F.filter("new", lambda x: x["kind"] == name)), F.lit(0)).cast("long").alias(f"n_{name}")
+
+    ends = F.concat(F.col("new.new"), F.array(F.lit("")))
+    changed = F.coalesce(F.array_join(F.zip_with("between", ends, lambda a, b: F.concat(a, b)), ""), "text")
+    n = F.when(F.col("new").isNotNull(), F.size("new")).otherwise(0).cast("long").alias("n_entities")
+    return parts.select("doc_id", changed.alias("text"), n, *map(count, names)).unionByName(plain)
