@@ -116,6 +116,41 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, max_block_
         yield [(r.item, alnum_words(r.text.encode())) for r in part.distinct().collect()]
 
 
+class _Blocks:
+    """The benchmark as one or more blocks that tasks can match texts against."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str, window: int, max_block_bytes: int):
+        context = docs.sparkSession.sparkContext
+        self.window, self.blocks = window, []
+        for block in _blocks(benchmark, item_column, text_column, max_block_bytes):
+            self.blocks.append((hashlib.sha256(repr((window, block)).encode()).hexdigest(), context.broadcast(block)))
+
+    def one(self):
+        """Hits of a text's words where there is one block."""
+        (key, block), window = self.blocks[0], self.window
+        return lambda words: _Matcher.of(key, block.value, window).hits(words)
+
+    def hits(self, rows: DataFrame, text_column: str) -> DataFrame:
+        """rows with the hits of all blocks in __hit and __ids: one pass for each block, joined to the rows by content."""
+        rows = rows.withColumn("__content", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 256))
+        found, window = None, self.window
+        for key, block in self.blocks:
+
+            def part(batch: pa.RecordBatch, key=key, block=block) -> dict:
+                matcher = _Matcher.of(key, block.value, window)
+                out = []
+                for content, raw in zip(batch.column(0).to_pylist(), raw_texts(batch, "text"), strict=True):
+                    spans, ids = matcher.hits(alnum_words(raw))
+                    if ids:
+                        out.append((content, [{"a": a, "b": b} for a, b in spans], sorted(ids)))
+                return {"__content": [x[0] for x in out], "hit": [x[1] for x in out], "ids": [x[2] for x in out]}
+
+            some = map_rows(rows.select("__content", F.col(text_column).cast("string").alias("text")), part, "__content string, hit array<struct<a:long,b:long>>, ids array<string>")
+            found = some if found is None else found.union(some)
+        found = found.distinct().groupBy("__content").agg(F.flatten(F.collect_list("hit")).alias("__hit"), F.flatten(F.collect_list("ids")).alias("__ids"))
+        return rows.join(found, "__content", "left").drop("__content")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 13, max_block_bytes: int = 2_000_000) -> DataFrame:
     """One row for each row of docs: how many of its words lie in a window of a benchmark item, and where.
 
@@ -123,50 +158,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
     the original text), items. Null and empty texts have no words and are clean. Items without words or id never occur. Repeated rows give
     repeated rows, an empty table gives none, and other columns are not read.
     """
-    ident = docs.schema[id_column].dataType.simpleString()
+    schema = SCHEMA.format(id=docs.schema[id_column].dataType.simpleString())
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    blocks = _blocks(benchmark, item_column, item_text_column, max_block_bytes)
-    first = next(blocks)
-    rest = list(blocks)
-    context = docs.sparkSession.sparkContext
-
-    def sent(block):
-        return hashlib.sha256(repr((window, block)).encode()).hexdigest(), context.broadcast(block)
-
-    if not rest:
-        key, block = sent(first)
+    blocks = _Blocks(docs, benchmark, item_column, item_text_column, window, max_block_bytes)
+    columns = [*_row(b"", 0, [], set())]
+    if len(blocks.blocks) == 1:
+        hits = blocks.one()
 
         def scan(batch: pa.RecordBatch) -> dict:
-            matcher = _Matcher.of(key, block.value, window)
-            out = []
-            for raw in raw_texts(batch, "text"):
-                words = alnum_words(raw)
-                out.append(_row(raw, len(words), *matcher.hits(words)))
-            return {"doc_id": batch.column(0)} | {c: [x[c] for x in out] for c in _row(b"", 0, [], set())}
-
-        return map_rows(rows, scan, SCHEMA.format(id=ident))
-
-    rows = rows.withColumn("content", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = None
-    for key, block in map(sent, [first, *rest]):
+            out = [_row(raw, len(words := alnum_words(raw)), *hits(words)) for raw in raw_texts(batch, "text")]
+            return {"doc_id": batch.column(0)} | {c: [x[c] for x in out] for c in columns}
 
-        def part(batch: pa.RecordBatch, key=key, block=block) -> dict:
-            matcher = _Matcher.of(key, block.value, window)
-            out = []
-            for content, raw in zip(batch.column(0).to_pylist(), raw_texts(batch, "text"), strict=True):
-                spans, ids = matcher.hits(alnum_words(raw))
-                if ids:
-                    out.append((content, [{"a": a, "b": b} for a, b in spans], sorted(ids)))
-            return {"content": [x[0] for x in out], "hit": [x[1] for x in out], "ids": [x[2] for x in out]}
-
-        some = map_rows(rows.select("content", "text"), part, "content string, hit array<struct<a:long,b:long>>, ids array<string>")
-        found = some if found is None else found.union(some)
-    found = found.distinct().groupBy("content").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("ids")).alias("ids"))
+        return map_rows(rows, scan, schema)
 
     def merge(batch: pa.RecordBatch) -> dict:
         out = []
         for raw, hit, ids in zip(raw_texts(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             out.append(_row(raw, len(alnum_words(raw)), union_spans((x["a"], x["b"]) for x in hit or ()), set(ids or ())))
-        return {"doc_id": batch.column(0)} | {c: [x[c] for x in out] for c in _row(b"", 0, [], set())}
+        return {"doc_id": batch.column(0)} | {c: [x[c] for x in out] for c in columns}
+
+    return map_rows(blocks.hits(rows, "text").select("doc_id", "text", "__hit", "__ids"), merge, schema)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 13, max_block_bytes: int = 2_000_000) -> DataFrame:
+    """The rows of docs, whole and in place, that decontaminate() doesn't find contaminated."""
+    names, schema = docs.columns, docs.schema
+    blocks = _Blocks(docs, benchmark, item_column, item_text_column, window, max_block_bytes)
+    single = len(blocks.blocks) == 1
+    hits = blocks.one() if single else None
+    rows = docs if single else blocks.hits(docs, text_column).select(*names, "__hit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            known = None if single else batch.column(len(names)).to_pylist()
+            for k, raw in enumerate(raw_texts(batch, text_column)):
+                words = alnum_words(raw)
+                spans = hits(words)[0] if single else union_spans((x["a"], x["b"]) for x in known[k] or ())
+                hit = sum(b - a for a, b in spans)
+                kept.append(not (hit > 0 and 20 * hit >= len(words)))
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(kept, pa.bool_()))
 
-    return map_rows(rows.join(found, "content", "left").select("doc_id", "text", "hit", "ids"), merge, SCHEMA.format(id=ident))
+    return rows.mapInArrow(run, schema)

@@ -147,6 +147,17 @@ def _climb(bags: pa.Table, names: list[bytes], rounds: int) -> Model:
     return Model(float(x[-1]), {f: float(w) for f, w in zip(names, x[:-1], strict=True)})
 
 
+def _probability(raw: bytes | None, weights: _Words, bias: float, constant: float | None) -> float:
+    """Noisy-or of the sentences of a text."""
+    if constant is not None:
+        return constant
+    total, floor = 0.0, math.log1p(math.exp(bias))
+    for words in sentences(raw):
+        z = sum(map(weights.__getitem__, words))
+        total += math.log1p(math.exp(min(50.0, bias + z))) if z else floor
+    return -math.expm1(-total)
+
+
 def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text", locate: float = 0.5) -> DataFrame:
     """One row for each row of docs: doc_id, score (noisy-or of its sentences), predicted (score >= 0.5), offending.
 
@@ -161,13 +172,8 @@ def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_colu
     def run(batch: pa.RecordBatch) -> dict:
         weights, bias, constant = _Words(sent.value.weights), sent.value.bias, sent.value.constant
         scores, places = [], []
-        floor = math.log1p(math.exp(bias))
         for raw in raw_texts(batch, "text"):
-            total = 0.0
-            for words in sentences(raw):
-                z = sum(map(weights.__getitem__, words))
-                total += math.log1p(math.exp(min(50.0, bias + z))) if z else floor
-            p = -math.expm1(-total) if constant is None else constant
+            p = _probability(raw, weights, bias, constant)
             scores.append(p)
             places.append(_offending(raw, weights, bias, locate) if p >= 0.5 and constant is None else [])
         return {"doc_id": batch.column(0), "score": scores, "predicted": [int(p >= 0.5) for p in scores], "offending": places}
@@ -193,3 +199,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", *
     """Fit on labels and score every row of docs: the columns of score() and held_out (fold 0, never trained on)."""
     model = fit(docs, labels, id_column=id_column, **parameters)
     return score(docs, model, id_column=id_column).withColumn("held_out", fold("doc_id") == 0)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
+    """The rows of docs, whole and in place, that the model fitted on labels doesn't predict to be toxic."""
+    model = fit(docs, labels, id_column=id_column, text_column=text_column, **parameters)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        weights, bias, constant = _Words(sent.value.weights), sent.value.bias, sent.value.constant
+        for batch in batches:
+            yield batch.filter(pa.array([_probability(raw, weights, bias, constant) < 0.5 for raw in raw_texts(batch, text_column)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
