@@ -45,9 +45,9 @@ def explode_pixels(images: DataFrame) -> DataFrame:
         for batch in batches:
             for image_id, width, height, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 array = to_array(width, height, raw)
-                # Bands of rows, so that a large image isn't a single batch.
-                for top in range(0, height if width else 0, max(1, 1_000_000 // width)):
-                    band = array[top : top + max(1, 1_000_000 // width)]
+                step = max(1, 1_000_000 // max(1, width))  # bands of rows, so that a large image isn't a single batch
+                for top in range(0, height if width else 0, step):
+                    band = array[top : top + step]
                     n = band.shape[0] * width
                     y = np.repeat(np.arange(top, top + band.shape[0], dtype=np.int32), width)
                     x = np.tile(np.arange(width, dtype=np.int32), band.shape[0])
