@@ -17,45 +17,47 @@ from pyspark.sql import DataFrame
 
 from ..model import IMAGES, Colours, check_palette, explode_pixels, pack_pixels, to_array
 from .kernels import Kernel, kernel
-from .nearest import nearest_indices
+from .nearest import searcher
 from .resample import tent
 
 
 def diffuse(images: np.ndarray, palette: np.ndarray, k: Kernel, *, clamp_once: bool = False) -> np.ndarray:
     """Palette indices (n, height, width) of images (n, height, width, 3)."""
     n, height, width = images.shape[:3]
+    search = searcher(palette)
     if not k.taps or not images.size:
-        return nearest_indices(images.reshape(-1, 3), palette).reshape(n, height, width)
-    right, left = max(dx for dx, _, _ in k.taps), max(0, *(-dx for dx, _, _ in k.taps))
+        return search(images.reshape(-1, 3)).reshape(n, height, width)
     below = max(dy for _, dy, _ in k.taps)
     slope = 1 + max((-dx for dx, dy, _ in k.taps if dy), default=0)
-    # Errors of pixels outside the image are zero: they change nothing.
-    errors = np.zeros((n, height + below, width + left + right, 3), np.int32)
-    out = np.empty((n, height, width), np.int32)
     order = sorted(k.taps, key=lambda tap: (-tap[1], -tap[0]))  # sources in raster order
+    # Errors of the last fronts by row, `below` rows of zeros above the image; they are zero where a front has no pixel in a row.
+    recent = 1 + max(dx + slope * dy for dx, dy, _ in k.taps)
+    fronts = np.zeros((recent, n, height + below, 3), np.float32)
+    colours = palette.astype(np.float32)
+    flat, out = images.reshape(n, height * width, 3), np.empty((n, height * width), np.int32)
     for t in range(width + slope * (height - 1)):
-        y = np.arange(max(0, -((width - 1 - t) // slope)), min(height - 1, t // slope) + 1)
-        if not len(y):
+        top, end = max(0, -((width - 1 - t) // slope)), min(height - 1, t // slope) + 1
+        front = fronts[t % recent]
+        front[:] = 0
+        if top >= end:
             continue
-        x = t - slope * y
-        value = images[:, y, x].astype(np.int32)
+        # The front's pixels stand in the image at even distances.
+        first, step = t + top * (width - slope), width - slope
+        at = slice(first, first + (end - top - 1) * step + 1, step) if step > 0 else first + step * np.arange(end - top)
+        value = flat[:, at].astype(np.float32)
+        for dx, dy, weight in order:
+            error = fronts[(t - dx - slope * dy) % recent, :, top - dy + below : end - dy + below] * np.float32(weight)
+            error /= np.float32(k.divisor)
+            np.trunc(error, out=error)  # exact: quotients of small whole numbers
+            value += error
+            if not clamp_once:
+                np.clip(value, 0, 255, out=value)
         if clamp_once:
-            for dx, dy, weight in order:
-                value += _truncated(errors[:, y - dy + below, x - dx + right] * weight, k.divisor)
             np.clip(value, 0, 255, out=value)
-        else:
-            for dx, dy, weight in order:
-                value += _truncated(errors[:, y - dy + below, x - dx + right] * weight, k.divisor)
-                np.clip(value, 0, 255, out=value)
-        best = nearest_indices(value.reshape(-1, 3), palette).reshape(n, len(y))
-        out[:, y, x] = best
-        errors[:, y + below, x + right] = value - palette[best]
-    return out
-
-
-def _truncated(product: np.ndarray, divisor: int) -> np.ndarray:
-    """Division that truncates towards zero."""
-    return (product + (product < 0) * (divisor - 1)) // divisor
+        best = search(value.reshape(-1, 3)).reshape(n, end - top)
+        out[:, at] = best
+        np.subtract(value, colours[best], out=front[:, top + below : end + below])
+    return out.reshape(n, height, width)
 
 
 def multisample(images: np.ndarray, palette: np.ndarray, k: Kernel, scale: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Exact nearest colour: least squared distance in sRGB, the lowest index on ties.
 
-Distance and index are packed in one integer, so one minimum finds both. `nearest` runs over Arrow batches and is the default; `nearest_unrolled` is one
+`nearest` runs over Arrow batches and is the default. The other two pack distance and index in one integer, so one minimum finds both: `nearest_unrolled` is one
 flat expression for palettes of about a dozen colours; `nearest_of_array` serves rows that carry their own palettes.
 """
 
@@ -17,23 +17,29 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..model import Colours, check_palette
 
 
+def searcher(palette: np.ndarray, at_once: int = 4096):
+    """A function from (n, 3) colours to the indices of their nearest palette colours.
+
+    |p|^2 - 2 v.p orders the palette as the distance does. All terms are whole numbers under 2^24, so single precision is exact, and
+    argmin takes the lowest index on ties. Rows are taken in parts that stay in the processor's cache.
+    """
+    p = palette.astype(np.float32)
+    factor, start = np.ascontiguousarray(-2 * p.T), (p * p).sum(1)
+
+    def search(colours: np.ndarray) -> np.ndarray:
+        out = np.empty(len(colours), np.int32)
+        for at in range(0, len(colours), at_once):
+            score = colours[at : at + at_once].astype(np.float32, copy=False) @ factor
+            score += start
+            out[at : at + at_once] = score.argmin(1)
+        return out
+
+    return search
+
+
 def nearest_indices(colours: np.ndarray, palette: np.ndarray) -> np.ndarray:
-    """Index of the nearest palette colour for each row of an (n, 3) array of ints."""
-    r, g, b = (np.ascontiguousarray(colours[:, c], np.int32) for c in range(3))
-    best = np.full(len(r), np.iinfo(np.int32).max, np.int32)
-    for k, (pr, pg, pb) in enumerate(palette.tolist()):
-        d = r - pr
-        d *= d
-        e = g - pg
-        e *= e
-        d += e
-        e = b - pb
-        e *= e
-        d += e
-        d <<= 8
-        d += k
-        np.minimum(best, d, out=best)
-    return best & 255
+    """Index of the nearest palette colour for each row of an (n, 3) array."""
+    return searcher(palette)(colours)
 
 
 def nearest(pixels: DataFrame, palette: Colours, *, column: str = "idx") -> DataFrame:
