@@ -2,7 +2,7 @@
 
 A sentence has the log-odds z = bias + sum of its words' weights; a document is toxic with probability
 1 - prod(1 - sigmoid(z)). Only document labels are used to train, and the sentence probabilities then show where the
-offence is. A word's weight is that of the word itself and of its stems (first four and five bytes).
+offence is. A word's weight is that of the word itself and of its stems (its first four to seven bytes).
 
 Features are chosen and the model is fitted on a bounded sample of labelled rows: at most about `sample` rows, half for each label
 where both are plentiful, chosen by a hash of doc_id. Every document is scored.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, code_points, fold, map_rows, raw_texts
 
+STEMS = (4, 5, 6, 7)  # lengths of the stems in bytes
 # The bytes that end a sentence.
 _END = re.compile(rb"[.!?\n]+")
 _TABLE = bytes(10 if x in b".!?\n" else ALNUM[x] for x in range(256))
@@ -33,8 +34,8 @@ def sentences(raw: bytes | None) -> list[list[bytes]]:
 
 
 def features(word: bytes) -> tuple[bytes, ...]:
-    """A word and its stems."""
-    return (word, word[:4] + b"*", word[:5] + b"**") if len(word) > 5 else (word, word[:4] + b"*") if len(word) > 4 else (word,)
+    """A word and its stems, marked by a star for each byte that they hold."""
+    return (word, *(word[:n] + b"*" * n for n in STEMS if n < len(word)))
 
 
 @dataclass
@@ -95,7 +96,7 @@ def _choose(rows: DataFrame, n_features: int) -> list[bytes]:
     return [bytes(r.feature) for r in best.collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = 16_000, n_features: int = 2000, rounds: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = 16_000, n_features: int = 2000, rounds: int = 150, shrink: float = 1.0) -> Model:
     """Train on the labelled sample: the noisy-or likelihood of the documents' labels is climbed by Adam steps."""
     chosen = labelled(labels, id_column=id_column, label_column=label_column, sample=sample)
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -118,10 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     bags = map_rows(rows.select("doc_id", "label", "weight", "text"), bag, f"doc_id {ident}, label int, weight double, plain int, bags array<array<int>>")
     bags = bags.select("doc_id", "label", "weight", "plain", F.xxhash64("bags").alias("h"), "bags").toArrow()
     bags = bags.sort_by([("doc_id", "ascending"), ("h", "ascending")])
-    return _climb(bags, names, rounds)
+    return _climb(bags, names, rounds, shrink)
 
 
-def _climb(bags: pa.Table, names: list[bytes], rounds: int) -> Model:
+def _climb(bags: pa.Table, names: list[bytes], rounds: int, shrink: float) -> Model:
     y = bags["label"].to_numpy().astype(bool)
     weight = bags["weight"].to_numpy()
     weight = weight / weight.sum() * len(y)
@@ -140,7 +141,7 @@ def _climb(bags: pa.Table, names: list[bytes], rounds: int) -> Model:
         slope = weight * np.where(y, -1 / np.expm1(np.minimum(a, 50)), 1.0) / len(y)
         dz = slope[owner] / (1 + np.exp(-z))
         g = np.empty_like(x)
-        g[:-1] = np.bincount(feature, dz[place], len(names)) + 1e-5 * x[:-1]
+        g[:-1] = np.bincount(feature, dz[place], len(names)) + shrink / len(y) * x[:-1]
         g[-1] = dz.sum() + (slope * plain).sum() / (1 + math.exp(-x[-1]))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
