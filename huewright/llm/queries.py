@@ -39,12 +39,21 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents"))
 
 
-def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.remove_repeats(table(spark, sf_dir, "documents"))
+def _removed(found: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines and every run of 50 or more words that an earlier place holds."""
+    return _removed(linededup.remove_repeats(table(spark, sf_dir, "documents"), runs=50))
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines alone, as the SQL defines them."""
+    return _removed(linededup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
@@ -59,7 +68,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_linededup, op8_toxicity, op9_repetition, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_passages, op7_linededup, op8_toxicity, op9_repetition, op10_hmm)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -55,6 +55,44 @@ def test_remove_paragraphs(spark):
     assert got == {1: f"{p}\n\nother words stand here now", 2: "new words to begin it\n\nlast", 3: ""}
 
 
+def test_remove_runs(spark, docs):
+    """Runs of 12 words or more, inside lines and over short lines, against all windows of all documents."""
+    run = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    extra = [(2001, f"it begins so {run} and goes on here"), (2002, "other ç words " + run.replace(" ", "\n").upper() + "\nend of it all"), (2003, "q r " * 30)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows, n = sorted({(r.doc_id, r.text) for r in docs.collect() if r.text}, key=lambda k: (k[0] is not None, k[0] or 0)), 12
+    seen, lines, gone = set(), set(), {}
+    for key in rows:
+        words = [(m.start(), m.end(), m[0]) for m in brute.ALNUM.finditer(key[1].translate(brute.LOWER))]
+        mark, hit = [False] * len(key[1]), [False] * len(words)
+        for p in range(len(words) - n + 1):
+            window = tuple(w for _, _, w in words[p : p + n])
+            if window in seen:
+                hit[p : p + n] = [True] * n
+            seen.add(window)
+        for k in (k for k, h in enumerate(hit) if h):
+            start = words[k - 1][1] if k and hit[k - 1] else words[k][0]
+            mark[start : words[k][1]] = [True] * (words[k][1] - start)
+        at = 0
+        for line in key[1].split("\n"):
+            w = tuple(brute.alnum(line))
+            if len(w) >= 5:
+                if w in lines:
+                    mark[at : at + len(line)] = [True] * len(line)
+                lines.add(w)
+            at += len(line) + 1
+        gone.setdefault(key[0], set()).add(tuple(mark))
+    got: dict = {}
+    for r in linededup.remove_repeats(docs, runs=n).collect():
+        if n_chars := sum(s.end - s.start for s in r.removed):
+            got.setdefault(r.doc_id, set()).add(n_chars)
+        assert r.n_removed == len(r.removed)
+        if r.doc_id == 2002:
+            assert r.text == "other ç words \nend of it all" and [(s.start, s.end) for s in r.removed] == [(14, 14 + len(run))]
+    assert got == {i: {sum(m) for m in x if any(m)} for i, x in gone.items() if any(any(m) for m in x)}
+    assert not any(s.removed for s in linededup.remove_repeats(docs).collect() if s.doc_id == 2002)
+
+
 PRIVATE = [
     (1, "Write to Jane.Doe99@mail.example.com or call +1 (743) 555-3824."),
     (2, "jane.doe99@mail.example.com and bob@mail.example.com, +1 743 555 3824, 38.104.246.38."),
