@@ -44,8 +44,8 @@ ENTITY = rf"{EMAIL}|(?=[0-9+(])(?:{IP}|{PHONE}|{CARD}|{SSN})|{NAME}"
 
 
 def may_hold(text: Column) -> Column:
-    """False only for texts that ENTITY can't match anywhere: they hold no @, no three digits or dotted digits, and no title."""
-    out = text.contains("@") | text.rlike("[0-9][0-9.][0-9.]")
+    """False only for texts that ENTITY can't match anywhere: they hold no @, no three digits or dotted digits, no + before a digit, and no title."""
+    out = text.contains("@") | text.rlike("[0-9][0-9.][0-9.]|[+][0-9]")
     for title in _TITLES:
         out = out | text.contains(title)
     return out

@@ -128,6 +128,18 @@ def test_surrogates(spark):
     assert {r.text for r in surrogates.pseudonymise(docs, key="other").collect()} != {r.text for r in rows}
 
 
+def test_surrogates_prefilter(spark):
+    """One example of every alternative of ENTITY: the prefilter passes what the pattern matches."""
+    found = ["a@b.co", "1.2.3.4", "+45 12 34 56 78", "+32-12-34-56-78", "+1 (12) 34 56", "(743) 555-3824", "743-555-3824", "4111 1111 1111 1111", "3411 111111 11111", "123-45-6789", "Mr. Smith", "Señora Ana Paz", "Госпожа Петрова"]
+    docs = spark.createDataFrame([(k, f"call {x} now") for k, x in enumerate(found)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    rows = docs.select("text", F.col("text").rlike(surrogates.ENTITY).alias("entity"), surrogates.may_hold(F.col("text")).alias("maybe")).collect()
+    assert all(r.entity and r.maybe for r in rows), rows
+    for r in surrogates.pseudonymise(docs).collect():
+        assert r.n_entities == 1 and found[r.doc_id] not in r.text
+
+
 def test_surrogates_collide_and_stay_distinct(spark):
     forms = spark.createDataFrame([("ssn", f"{k:02d}") for k in range(30)], "kind string, form string")
     rows = surrogates.assign(forms, "k").collect()
