@@ -3,7 +3,8 @@
 Entities (e-mail and IP addresses, phone and card numbers, social security numbers, names after a title) are found by one pattern. Each gets a surrogate from
 a keyed SHA-256 of its canonical form, so all mentions of an entity get the same one (coreference), written
 in the format of each mention: letters for letters, digits for digits, the same separators and upper case; phone numbers keep their
-country code, cards their first digit and a valid check digit, names the gender and script of their title.
+country code, cards their first digit and a valid check digit, names the gender and script of their title. A name of a title and one word
+is a kind of its own, surname, so that the form that is written is the form whose collisions are checked.
 
 Collision checks: the surrogates of all distinct entities are grouped. An entity whose surrogate another entity holds with a smaller salt (then name), or that is
 itself a real entity of the corpus, is drawn again with the next salt, until no collision is left. So distinct entities stay distinct
@@ -52,12 +53,12 @@ def may_hold(text: Column) -> Column:
 
 
 def kind(entity: Column) -> Column:
-    """email, ip, card, ssn, phone or name."""
+    """email, ip, card, ssn, phone, name or, for a title and one word, surname."""
     digits = F.length(F.regexp_replace(entity, "[^0-9]", ""))
     plain = entity.rlike(r"^[0-9 -]+$")
     return (
         F.when(entity.contains("@"), "email")
-        .when(entity.rlike(r"^\p{Lu}"), "name")
+        .when(entity.rlike(r"^\p{Lu}"), F.when(F.size(F.split(entity, " ")) > 2, "name").otherwise("surname"))
         .when(entity.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
         .when(plain & (digits >= 15), "card")
         .when(entity.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
@@ -68,7 +69,7 @@ def kind(entity: Column) -> Column:
 def canonical(entity: Column, of: Column) -> Column:
     """The form that all mentions of an entity share: lower case for addresses and names, digits alone for numbers."""
     number = F.concat(F.when(entity.startswith("+"), "+").otherwise(""), F.regexp_replace(entity, "[^0-9]", ""))
-    return F.when(of.isin("phone", "card", "ssn"), number).when(of == "name", F.regexp_replace(F.lower(entity), r"\. ", " ")).otherwise(F.lower(entity))
+    return F.when(of.isin("phone", "card", "ssn"), number).when(of.isin("name", "surname"), F.regexp_replace(F.lower(entity), r"\. ", " ")).otherwise(F.lower(entity))
 
 
 def _draw(seed: Column, place: Column, below: int) -> Column:
@@ -96,14 +97,15 @@ def _check_digit(body: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
-def _name(of: Column, seed: Column) -> Column:
-    """First name of the title's gender and script, and a surname of four syllables."""
+def _name(of: Column, seed: Column, salt: Column, with_first: Column) -> Column:
+    """First name of the title's gender and script where asked for, and a surname of four syllables and one more for each salt, so that the values don't run out."""
     out = F.lit(None).cast("string")
     for (gender, script), titles in TITLES.items():
         first, parts = F.array(*map(F.lit, FIRST_NAMES[gender, script])), F.array(*map(F.lit, SYLLABLES[script]))
         pick = lambda a, n, i: F.element_at(a, _draw(seed, F.lit(i), n) + 1)
-        surname = F.initcap(F.concat(*(pick(parts, len(SYLLABLES[script]), i) for i in range(2, 6))))
-        full = F.concat(F.regexp_extract(of, r"^(\S+)", 1), F.lit(" "), pick(first, len(FIRST_NAMES[gender, script]), 1), F.lit(" "), surname)
+        syllables = F.transform(F.sequence(F.lit(2), F.lit(5) + salt), lambda i: F.element_at(parts, _draw(seed, i, len(SYLLABLES[script])) + 1))  # noqa: B023
+        surname = F.initcap(F.array_join(syllables, ""))
+        full = F.concat(F.regexp_extract(of, r"^(\S+)", 1), F.lit(" "), F.when(with_first, F.concat(pick(first, len(FIRST_NAMES[gender, script]), 1), F.lit(" "))).otherwise(""), surname)
         out = F.when(F.regexp_extract(of, r"^(\S+)", 1).isin(*(t.lower() for t in titles)), F.lower(full)).otherwise(out)
     return out
 
@@ -121,7 +123,7 @@ def surrogate(of: Column, form: Column, salt: Column, key: str) -> Column:
     body = F.concat(form.substr(1, 1), _alike(form.substr(F.lit(2), F.length(form) - 2), seed))
     valid = form.substr(F.length(form), F.lit(1)) == _check_digit(form.substr(F.lit(1), F.length(form) - 1))
     card = F.concat(body, F.when(valid, _check_digit(body)).otherwise(_draw(seed, F.lit(40), 10).cast("string")))
-    return F.when(of == "email", email).when(of == "ip", ip).when(of == "phone", phone).when(of == "card", card).when(of == "name", _name(form, seed)).otherwise(_alike(form, seed))
+    return F.when(of == "email", email).when(of == "ip", ip).when(of == "phone", phone).when(of == "card", card).when(of.isin("name", "surname"), _name(form, seed, salt.cast("int"), of == "name")).otherwise(_alike(form, seed))
 
 
 def _in_format(entity: Column, of: Column, form: Column) -> Column:
@@ -136,8 +138,8 @@ def _in_format(entity: Column, of: Column, form: Column) -> Column:
     numbers = F.aggregate(F.split(entity, ""), start, step, lambda acc: acc["s"])
     cased = F.array_join(F.zip_with(F.split(entity, ""), F.split(form, ""), lambda a, b: F.when((a != F.lower(a)) & a.isNotNull(), F.upper(b)).otherwise(F.coalesce(b, F.lit("")))), "")
     dot = F.when(entity.rlike(r"^\S+\. "), ". ").otherwise(" ")
-    named = F.initcap(F.concat(F.substring_index(form, " ", 1), dot, F.when(F.size(F.split(entity, " ")) > 2, form.substr(F.length(F.substring_index(form, " ", 1)) + 2, F.length(form))).otherwise(F.substring_index(form, " ", -1))))
-    return F.when(of.isin("phone", "card", "ssn"), numbers).when(of == "email", cased).when(of == "name", named).otherwise(form)
+    named = F.initcap(F.concat(F.substring_index(form, " ", 1), dot, form.substr(F.length(F.substring_index(form, " ", 1)) + 2, F.length(form))))
+    return F.when(of.isin("phone", "card", "ssn"), numbers).when(of == "email", cased).when(of.isin("name", "surname"), named).otherwise(form)
 
 
 def assign(entities: DataFrame, key: str, *, rounds: int = 40) -> DataFrame:
@@ -173,7 +175,7 @@ def pseudonymise(docs: DataFrame, *, key: str = "surrogate-key", id_column: str
     mentions = written(some.select("h1", "h2", F.explode(F.array_distinct(found)).alias("entity")).distinct())
     entities = written(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))).withColumn("form", canonical(F.col("entity"), F.col("kind"))))
     assigned = assign(entities.select("kind", "form").distinct(), key)
-    replaced = entities.join(assigned, ["kind", "form"]).select("entity", _in_format(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("new"), "kind")
+    replaced = entities.join(assigned, ["kind", "form"]).select("entity", _in_format(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("new"), F.when(F.col("kind") == "surname", "name").otherwise(F.col("kind")).alias("kind"))
     table = mentions.join(replaced, "entity").groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("new", "kind")))).alias("table"))
     # A text without a table holds no entity.
     whole = F.when(F.col("table").isNotNull(), F.struct(F.split("text", ENTITY, -1).alias("between"), found.alias("found")))

@@ -140,6 +140,17 @@ def test_surrogates_prefilter(spark):
         assert r.n_entities == 1 and found[r.doc_id] not in r.text
 
 
+def test_surnames_stay_distinct(spark):
+    """As many people as four Cyrillic syllables have values, written with title and surname alone."""
+    letters = "абвгдежзик"
+    names = [f"Господин А{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:5]]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "doc_id long, text string")
+    rows = surrogates.pseudonymise(docs).collect()
+    written = {r.text for r in rows}
+    assert len(names) == 5000 and len(written) == 5000 and not written & set(names) and all(r.n_name == 1 for r in rows)
+    assert all(re.fullmatch(r"Господин [А-Я][а-я]+", x) for x in written)
+
+
 def test_surrogates_collide_and_stay_distinct(spark):
     forms = spark.createDataFrame([("ssn", f"{k:02d}") for k in range(30)], "kind string, form string")
     rows = surrogates.assign(forms, "k").collect()
