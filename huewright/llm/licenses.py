@@ -1,10 +1,10 @@
 """License scans with a positional index of rare words.
 
-Each licence template is a list of words. The index maps a template word to its postings (template, position). For every file the
-`rare` highest-IDF template words that it holds are looked up; each occurrence at file position p of a word at template position q
-votes for the alignment (template, p - q), so alignments with several rare words at the right relative positions stand out. An alignment is scored by
-the share of template words in place, and its licence is reported only if one of its mandatory key phrases stands
-where the alignment puts it. IDF comes from document frequencies over all documents.
+Each licence template is a list of words. The index maps the rarest word (highest IDF) of each of its mandatory key phrases to its postings (template,
+position). Each occurrence at file position p of such a word at template position q gives the alignment (template, p - q). An alignment is scored by
+the share of template words in place, and its licence is reported only if one of its key phrases stands
+where the alignment puts it. A key phrase in place holds its rarest word, so every such alignment of every licence is tried, however many a file
+holds. IDF comes from document frequencies over all documents and decides which word is looked up, never what is found.
 """
 
 from __future__ import annotations
@@ -42,37 +42,34 @@ TEMPLATES = {
 
 
 class Index:
-    """Postings of the templates' words and places of their key phrases."""
+    """The templates' words and places of their key phrases."""
 
     def __init__(self, templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES):
         self.words = {name: alnum_words(text.encode()) for name, (text, _) in templates.items()}
-        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
         self.keys: dict[str, list[tuple[int, list[bytes]]]] = {}
         for name, words in self.words.items():
-            for q, word in enumerate(words):
-                self.postings[word].append((name, q))
             keys = [alnum_words(k.encode()) for k in templates[name][1]]
             self.keys[name] = [(q, k) for k in keys for q in range(len(words) - len(k) + 1) if words[q : q + len(k)] == k]
             if not self.keys[name]:
                 raise ValueError(f"template {name} doesn't hold its key phrase")
-        self.vocabulary = frozenset(self.postings)
-
-    def scan(self, words: list[bytes], idf: dict[bytes, float], rare: int, least: float) -> dict[str, float]:
+        self.vocabulary = frozenset(w for words in self.words.values() for w in words)
+
+    def anchors(self, idf: dict[bytes, float]) -> dict[bytes, list[tuple[str, int]]]:
+        """Postings (template, position) of the rarest word of each key phrase."""
+        out: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        for name, keys in self.keys.items():
+            for q, key in keys:
+                k = min(range(len(key)), key=lambda i: (-idf.get(key[i], math.inf), key[i]))
+                out[key[k]].append((name, q + k))
+        return dict(out)
+
+    def scan(self, words: list[bytes], anchors: dict[bytes, list[tuple[str, int]]], least: float) -> dict[str, float]:
         """Score of each licence found, the share of its best alignment's words that are in place."""
-        here = self.vocabulary.intersection(words)
-        if not here:
+        if anchors.keys().isdisjoint(words):
             return {}
-        chosen = frozenset(sorted(here, key=lambda w: (-idf.get(w, math.inf), w))[:rare])
-        votes: Counter[tuple[str, int]] = Counter()
-        for p, word in enumerate(words):
-            if word in chosen:
-                for name, q in self.postings[word]:
-                    votes[name, p - q] += 1
         found: dict[str, float] = {}
-        for (name, shift), n in votes.items():
+        for name, shift in {(name, p - q) for p, word in enumerate(words) if word in anchors for name, q in anchors[word]}:
             template = self.words[name]
-            if n < min(2, len(template)):
-                continue
             for q, key in self.keys[name]:
                 if shift + q >= 0 and words[shift + q : shift + q + len(key)] == key:
                     score = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template)) / len(template)
@@ -113,7 +110,7 @@ def _places(words: list[bytes]) -> dict[str, list[int]]:
     return out
 
 
-def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", templates: dict = TEMPLATES, rare: int = 12, least: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", templates: dict = TEMPLATES, least: float = 0.6) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, licenses (name to score), labels, score.
 
     labels are the base labels and the licences found, distinct, sorted and comma-joined; score is the best alignment's, 1 for a
@@ -122,7 +119,7 @@ def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     """
     ident = docs.schema[id_column].dataType.simpleString()
     index = Index(templates)
-    idf = inverse_frequencies(docs, index, text_column=text_column)
+    anchors = index.anchors(inverse_frequencies(docs, index, text_column=text_column))
 
     def scan(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "licenses", "labels", "score")}
@@ -131,7 +128,7 @@ def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
             places = _places(words)
             starts = [x for found in places.values() for x in found]
             base = {PHRASES[p] for p in places}
-            found = index.scan(words, idf, rare, least)
+            found = index.scan(words, anchors, least)
             row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), sorted(found.items()), ",".join(sorted(base | set(found))), 1.0 if base else max(found.values(), default=0.0))
             for k, x in zip(out, row, strict=True):
                 out[k].append(x)

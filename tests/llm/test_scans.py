@@ -84,6 +84,18 @@ def test_licenses(spark, docs):
     assert rows[99].labels == rows[100].labels == "" and rows[99].score == 0
 
 
+def test_licenses_of_one_text(spark):
+    """A text of all templates, by itself and among others, and a short notice in a text that holds every template word out of place."""
+    texts = [t for t, _ in licenses.TEMPLATES.values()]
+    every = "\n\n".join(texts)
+    scattered = " ".join(" ".join(reversed(t.split())) for t in texts) + ". Licensed under CC BY 4.0"
+    docs = spark.createDataFrame([(1, every), (2, scattered)], "doc_id long, text string")
+    for df in (docs, docs.union(spark.createDataFrame([(k, "licensed software free of charge " * 3) for k in range(9, 40)], docs.schema))):
+        rows = {r.doc_id: r for r in licenses.scan_licenses(df).where("doc_id < 9").collect()}
+        assert rows[1].licenses == dict.fromkeys(licenses.TEMPLATES, 1.0)
+        assert rows[2].licenses == {"cc-by-4.0": 1.0}
+
+
 def test_repetition(docs):
     found = repetition.repetition(docs)
     got = as_rows(found, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
