@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, code_points, map_rows, raw_texts, written
 
-RULES_VERSION = "2024-1"
+RULES_VERSION = "2024-2"
 #: Kinds in the order in which spans of the same start are listed.
 KINDS = ("assign", "access", "hex", "private_key", "github", "slack", "jwt", "url_password")
 BASE = KINDS[:3]
@@ -24,12 +24,15 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
+# A key goes through its END line. Without one: header fields, then pieces of 32 base64 characters or more and whole lines of base64, between line ends
+# (escaped ones too), quotes and quotation marks of replies, and the last short piece.
+_KEY = rb"""-----BEGIN ((?:[A-Z0-9]+\x20)*PRIVATE\x20KEY(?:\x20BLOCK)?)-----(?:(?:[^-]|-(?!----))*+-----END\x20\1-----|(?:(?:\\[rn]|\s)+[A-Z][A-Za-z0-9-]*:\x20[^\n\\]*)*+(?:(?:(?:\\[rn]|[\s"'+,>|])*+(?:[A-Za-z0-9+/]{32,}+={0,2}|(?<=[\n>"'\x20\tn])=?[A-Za-z0-9+/]++={0,2}(?=["',]*(?:\s*?\n|\\[rn]|\s*\Z)))))*+)"""
 _ADDED = {
-    "private_key": (b"PRIVATE KEY-----", re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")),
+    "private_key": (b"PRIVATE KEY", re.compile(_KEY)),
     "github": (b"gh", re.compile(rb"\bgh[opsur]_[A-Za-z0-9]{36,}")),
     "slack": (b"xox", re.compile(rb"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
     "jwt": (b"eyJ", re.compile(rb"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    "url_password": (b"://", re.compile(rb"\b[a-z][a-z0-9+.-]{1,20}://[^\s:@/]{1,64}:[^\s:@/]{4,64}@")),
+    "url_password": (b"://", re.compile(rb"\b[a-z][a-z0-9+.-]{1,20}://[^\s:@/]+:[^\s:@/]{4,}@")),
 }
 _WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 

@@ -74,6 +74,29 @@ def test_secrets_ledger(spark):
     assert plain == {9: "[ASSIGN]", 10: "new [ASSIGN]"}
 
 
+BODY = ["MIIEpAIBAAKCAQEA" + "aB3/+xYz" * 6, "Zz9" + "Qk1+" * 15 + "q", "Abcd/xyz09", "Qw=="]
+KEYS = [
+    "-----BEGIN {0}-----\n{1}\n-----END {0}-----".format(kind, between.join(BODY))
+    for kind in ("PRIVATE KEY", "RSA PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK")
+    for between in ("\n", "\r\n", "\\n", "\n    ")
+]
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_whole_keys_go(spark, cut):
+    """Nothing of a key's body stays, with its END line and without; what stands around it does."""
+    keys = [k.rpartition("-----END")[0].rstrip("\n") if cut else k for k in [*KEYS, KEYS[4].replace("-----\n", "-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n", 1)]]
+    docs = spark.createDataFrame([(k, f"Before it.\n{x}\nAfter it, more words.") for k, x in enumerate(keys)], "doc_id long, text string")
+    for r in secrets.redact(docs).collect():
+        assert r.text == "Before it.\n[PRIVATE_KEY]\nAfter it, more words.", r.text
+
+
+def test_long_url_password():
+    url = f"x postgres://{'u' * 80}:{'p' * 300}@host/db"
+    assert ("url_password", 2, len(url) - len("host/db")) in secrets.find(url.encode())
+    assert secrets.find(b"the PRIVATE KEY is gone, -----BEGIN PUBLIC KEY-----") == []
+
+
 def test_licenses(spark, docs):
     got = as_rows(licenses.scan_licenses(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert got == sorted(((r.doc_id, *brute.licenses(r.text)) for r in docs.collect()), key=repr)
