@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -56,15 +57,23 @@ def union_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow for a function from a batch to {column: list}; the lists become one batch of the schema."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that a task holds few texts as Python objects at a time; memory that Arrow keeps is given back at the end."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def map_rows(df: DataFrame, function, schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow for a function from a batch (of so many rows at most, where given) to {column: list}; the lists become one batch of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     fields = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows) if rows else batches:
             columns = function(batch)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in fields], schema=fields)
 
@@ -76,11 +85,30 @@ def fold(id_column: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))), F.lit(5))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def few(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """df (a written table), to be sent to all tasks where its rows, or their weights, are no more than limit in all, else to be joined as it is."""
+    n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= limit else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (local runs)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset, but only in local mode.
+
+    Raises RuntimeError where it is unset on a cluster, whose executors would each write to a disk of their own.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="huewright-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -5,16 +5,16 @@ differ in at most H shingles agree in a segment where m > H, since H differences
 partners are in the same or the next band, and m is fixed for a band and the next one.
 
 1. Every set puts the hash of each of its segments, but for empty ones, on the index (a few more than H + 1 of them, so few sets have too many
-   empty ones). Sets that share a hash with up to `small` - 1 others are candidates with them. Sets in more frequent
-   segments, and sets with too many empty segments, are "hot": they go to step 3. A pair that no small bucket shows is a pair of hot sets.
+   empty ones). Entries travel packed, many to a row, dealt by ranges of hashes. Sets that share a hash with up to `small` - 1 others are candidates with
+   them. A set is "hot" if fewer than H + 1 of its segments are neither empty nor that frequent: it goes to step 3. A set that isn't hot agrees
+   with each of its partners in one of the others, so a pair that no small bucket shows is a pair of hot sets.
 2. A candidate is kept if parity sketches (512 bits, each toggled by the shingles that hash to it) don't show more than H differences. Each set is
-   verified with its nearest candidate, and the links found are joined to components. Only candidates in different
-   components are verified after that: links inside a component can't change it.
-3. Hot sets are indexed by whole segments and by their one-deletion neighbourhoods. Each set allots its H + 1 units to segments: 0 skips a segment, 1 looks for
-   equal ones, 2 looks for those that differ in up to one shingle. The units are chosen at the least cost, the number of index entries that
-   they would meet. So a set whose own passages fill enough segments never meets the thousands of
-   others that share the rest. Hot sets are first linked to the most central set of their most frequent segment; only pairs across components are looked for.
-   Of two sets only the one of the lower cost looks for the other.
+   verified with its nearest candidate, and each hot set with the most central set of its most frequent segment; the links found are joined to
+   components. Only candidates in different components are verified after that: links inside a component can't change it.
+3. Hot sets are indexed by whole segments and by their one-deletion neighbourhoods, of which only those count that sets of different components
+   share. Each set allots its H + 1 units to segments: 0 skips a segment, 1 looks for equal ones, 2 looks for those that differ in up to one shingle.
+   The units are chosen at the least cost, the number of index entries that they would meet. So a set whose own passages fill enough segments
+   never meets the thousands of others that share the rest. Of two sets only the one of the lower cost looks for the other.
 
 Exact copies are one set throughout: a set is named by a 64-bit hash of its shingles, and shingles by 64-bit hashes of their words. For n
 distinct sets two share a name with probability of about n**2 / 2**65. Verification compares whole sets.
@@ -22,8 +22,8 @@ distinct sets two share a name with probability of about n**2 / 2**65. Verificat
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import LOWER, map_rows, raw_texts, space_words, written
+from .common import LOWER, few, map_rows, raw_texts, slices, space_words, unused, written
 
 #: 64-bit words of the parity sketch.
 SKETCH = 8
@@ -46,18 +46,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(raw: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-grams of words, A-Z in lower case; of the whole sequence if it has fewer words."""
-    words = space_words(raw.translate(LOWER) if raw else None)
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
-    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    x = _mix(h[: len(h) - n + 1])
+class _Hashes(dict):
+    """Words to their hashes; at most 100,000 words are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        x = xxh3_64_intdigest(word)
+        if len(self) < 100_000:
+            self[word] = x
+        return x
+
+
+#: Words that are hashed together.
+CHUNK = 200_000
+
+
+def shingle_sets(raws: list[bytes | None], n: int, known: dict[bytes, int] | None = None) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-grams of words, A-Z in lower case; of the whole sequence if it has fewer words."""
+    known = _Hashes() if known is None else known
+    waiting, total = [], 0
+    for raw in raws:
+        waiting.append(space_words(raw.translate(LOWER) if raw else None))
+        total += len(waiting[-1])
+        if total >= CHUNK:
+            yield from _chunk_sets(waiting, total, n, known)
+            waiting, total = [], 0
+    yield from _chunk_sets(waiting, total, n, known)
+
+
+def _chunk_sets(lists: list[list[bytes]], total: int, n: int, known: dict[bytes, int]) -> Iterator[np.ndarray]:
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.uint64, total)
+    x = _mix(h[: max(total - n + 1, 0)])
     for k in range(1, n):
-        x = _mix(x * _ODD[0] + h[k : len(h) - n + 1 + k] + np.uint64(k))
-    return np.unique(x)
+        x = _mix(x * _ODD[0] + h[k : len(x) + k] + np.uint64(k))
+    at = 0
+    for words in lists:
+        if len(words) >= n:
+            yield np.unique(x[at : at + len(words) - n + 1])
+        else:
+            yield np.array([xxh3_64_intdigest(b" ".join(words), len(words))] if words else [], np.uint64)
+        at += len(words)
+
+
+def shingles(raw: bytes | None, n: int) -> np.ndarray:
+    """shingle_sets of one text."""
+    return next(shingle_sets([raw], n))
 
 
 def set_name(s: np.ndarray) -> int:
@@ -107,92 +139,173 @@ def _key(scheme: int, m: int, number: np.ndarray, content: np.ndarray) -> np.nda
 
 
 def _spare(most: int) -> int:
-    return 1 + most // 24
+    """Segments beyond H + 1: a segment is empty about once in 20 to 40 times, so one set in a hundred has more empty ones at 80 %, and next to none at 85 %."""
+    return 2 + most // 12
 
 
-def _index_rows(bands: Bands, s: np.ndarray) -> tuple[list[np.ndarray], bool]:
-    """Keys of the set's segments in each scheme, and whether too many are empty in one."""
-    keys, hot = [], False
+def _index_rows(bands: Bands, s: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Keys of the set's segments in each scheme, and how many more of them than H + 1 there are."""
+    keys, slack = [], []
     mixed = _mix(s + _ODD[0])
     for scheme, most in bands.of(len(s)):
         m = most + 1 + _spare(most)
         number, starts = _segments(s, m)
-        hot |= len(number) < most + 1
+        slack.append(len(number) - most - 1)
         keys.append(_key(scheme, m, number, np.add.reduceat(mixed, starts)))
-    return keys, hot
+    return keys, slack
 
 
 def _names(docs: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, n, name, sketch) of every row; a set without shingles has no name."""
     ident = docs.schema[id_column].dataType.simpleString()
 
+    known = _Hashes()
+
     def run(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(raw, n) for raw in raw_texts(batch, "text")]
-        bits = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH), np.int64)
-        return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "name": [set_name(s) if len(s) else None for s in sets]} | {c: bits[:, k].tolist() for k, c in enumerate(SKETCHES)}
+        made = [(len(s), set_name(s) if len(s) else None, sketch(s)) for s in shingle_sets(raw_texts(batch, "text"), n, known)]
+        bits = np.stack([x[2] for x in made]) if made else np.zeros((0, SKETCH), np.int64)
+        return {"doc_id": batch.column(0), "n": [x[0] for x in made], "name": [x[1] for x in made]} | {c: bits[:, k].tolist() for k, c in enumerate(SKETCHES)}
 
-    return map_rows(_texts(docs, id_column, text_column), run, f"doc_id {ident}, n int, name long, " + ", ".join(f"{c} long" for c in SKETCHES))
+    return map_rows(_texts(docs, id_column, text_column), run, f"doc_id {ident}, n int, name long, " + ", ".join(f"{c} long" for c in SKETCHES), 1000)
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
-def _index(docs: DataFrame, n: int, percent: int, small: int, text_column: str) -> DataFrame:
-    """(key, name, n) of all segments; a row (name, name, -n) marks a hot set.
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of equal values in a sorted array."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(x)))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """The low five bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
 
-    A segment that more than `small` sets of a batch share is known to be hot: its sets are marked and small + 1 of them
-    stand for it, so a very frequent segment costs a few rows for each batch and no task gets all of its sets.
+def _unpacked(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8").ravel()
+
+
+_ENTRIES = ("keys", "names", "slots", "frequent", "hot", "hot_slots", "hot_counts")
+
+
+def _index(docs: DataFrame, n: int, percent: int, small: int, text_column: str, buckets: int) -> DataFrame:
+    """(bucket, keys, names, slots, frequent, hot, hot_slots, hot_counts): the segments of all sets, packed by ranges of their keys.
+
+    A key is left five bytes beside its bucket; keys that coincide by chance only make a candidate more. A slot is a set's scheme (0 or 1) and its slack,
+    doubled: the segments that it can spare there. A segment that more than `small` sets of a batch share is frequent: one
+    entry stands for all of them, so no bucket gets many entries of one segment, and its sets are counted at once (hot_counts by set and slot).
     """
+    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _ENTRIES)])
+
+    def rows(names: list, keys: list, slots: list, counted: list, known: set) -> pa.RecordBatch:
+        sizes = [len(k) for k in keys]
+        key, name, slot = np.concatenate(keys).view(np.uint64), np.repeat(np.array(names, np.int64), sizes), np.repeat(np.array(slots, np.int16), sizes)
+        order = np.argsort(key)
+        starts, counts = _runs(key[order])
+        much = counts > small
+        new = key[order][starts[much]]
+        known.update(new.tolist())
+        gone = np.zeros(len(key), bool)
+        gone[order[np.repeat(much, counts)]] = True
+        bucket = lambda k: ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        parts: dict[int, list[bytes]] = {}
+
+        def deal(at: int, of: np.ndarray, values: np.ndarray, pack) -> None:
+            by = np.argsort(of, kind="stable")
+            starts, counts = _runs(of[by])
+            for b, x, c in zip(of[by][starts].tolist(), starts.tolist(), counts.tolist(), strict=True):
+                parts.setdefault(b, [b""] * len(_ENTRIES))[at] = pack(values[by[x : x + c]])
+
+        whole, raw = np.flatnonzero(~gone), np.ndarray.tobytes
+        deal(0, bucket(key[whole]), key[whole], _packed)
+        deal(1, bucket(key[whole]), name[whole], raw)
+        deal(2, bucket(key[whole]), slot[whole], raw)
+        deal(3, bucket(new), new, _packed)
+        hot = _counted(np.concatenate([name[gone], np.array([x[0] for x in counted], np.int64)]), np.concatenate([slot[gone], np.array([x[1] for x in counted], np.int16)]), np.concatenate([np.ones(gone.sum(), np.int32), np.array([x[2] for x in counted], np.int32)]))
+        for at, x in zip((4, 5, 6), hot, strict=True):
+            deal(at, hot[0] % buckets, x, raw)
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), *(pa.array([v[k] for v in parts.values()], pa.binary()) for k in range(len(_ENTRIES)))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        for batch in batches:
-            names, sizes, keys, hot, seen = [], [], [], set(), set()
-            for raw in raw_texts(batch, "text"):
-                s = shingles(raw, n)
+        bands, known, seen, hashes = Bands(percent), set(), set(), _Hashes()
+        names, keys, slots, counted, total = [], [], [], [], 0
+        for batch in slices(batches):
+            for s in shingle_sets(raw_texts(batch, "text"), n, hashes):
                 if len(s) == 0 or (name := set_name(s)) in seen:
                     continue
                 seen.add(name)
-                of, odd = _index_rows(bands, s)
-                if odd:
-                    hot.add((name, len(s)))
-                for k in of:
-                    keys.append(k)
-                    names.append(np.full(len(k), name))
-                    sizes.append(np.full(len(k), len(s), np.int32))
-            if keys:
-                key, name, size = map(np.concatenate, (keys, names, sizes))
-                order = np.argsort(key)
-                key, name, size = key[order], name[order], size[order]
-                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                counts = np.diff(np.append(starts, len(key)))
-                nth = np.arange(len(key)) - np.repeat(starts, counts)
-                frequent = np.repeat(counts > small, counts)
-                hot.update(zip(name[frequent].tolist(), size[frequent].tolist(), strict=True))
-                keep = nth <= small
-                yield pa.RecordBatch.from_pydict({"key": key[keep], "name": name[keep], "n": size[keep]})
-            if hot:
-                yield pa.RecordBatch.from_pydict({"key": pa.array([x[0] for x in hot], pa.int64()), "name": pa.array([x[0] for x in hot], pa.int64()), "n": pa.array([-x[1] for x in hot], pa.int32())})
-
-    return docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "key long, name long, n int")
+                for k, (key, slack) in enumerate(zip(*_index_rows(bands, s), strict=True)):
+                    slot = 2 * slack + k
+                    gone = np.array([x in known for x in key.view(np.uint64).tolist()], bool) if known else np.zeros(len(key), bool)
+                    # A set with too many empty segments is hot without any frequent one.
+                    if slack < 0 or gone.any():
+                        counted.append((name, slot, int(gone.sum())))
+                    names.append(name)
+                    slots.append(slot)
+                    keys.append(key[~gone])
+                    total += len(keys[-1])
+            if total >= 400_000:
+                yield rows(names, keys, slots, counted, known)
+                names, keys, slots, counted, total = [], [], [], [], 0
+        if names:
+            yield rows(names, keys, slots, counted, known)
+
+    return docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _ENTRIES))
+
+
+def _counted(names: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, slots, counts), one for each name and slot."""
+    order = np.lexsort((slots, names))
+    names, slots, counts = names[order], slots[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (slots[1:] != slots[:-1])])) if len(names) else np.zeros(0, np.int64)
+    return names[starts], slots[starts], np.add.reduceat(counts, starts).astype(np.int32) if len(names) else counts
 
 
 def _buckets(index: DataFrame, small: int) -> DataFrame:
-    """(members) of each bucket of 2 to small distinct sets, and hot sets as buckets of themselves alone; no bucket twice."""
-    rows = index.repartition("key").dropDuplicates(["key", "name", "n"]).withColumn("mark", F.col("n") < 0)  # all by key: one shuffle
-    count = F.when(F.col("mark"), small + 1).otherwise(F.count(F.lit(1)).over(Window.partitionBy("key", "mark")))
-    rows = rows.withColumn("count", count).where("count > 1")
-    member = F.struct("name", F.abs("n").alias("n"))
-    together = rows.where(F.col("count") <= small).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("members")).select("members")
-    alone = rows.where(F.col("count") > small).select(F.array(member).alias("members"))
-    return together.union(alone)
+    """(members, slot, count): the members of each segment of 2 to small distinct sets, by name; and sets alone with their numbers of more frequent segments in a slot.
+
+    A list may come from several tasks, and so may the counts of a set.
+    """
+
+    def gather(table: pa.Table) -> pa.Table:
+        column = lambda c: [x for x in table.column(c).to_pylist() if x]
+        numbers = lambda c, kind: np.frombuffer(b"".join(column(c)), kind)
+        keys, names, slots = _unpacked(column("keys")), numbers("names", np.int64), numbers("slots", np.int16)
+        frequent = np.unique(_unpacked(column("frequent")))
+        order = np.argsort(keys)
+        k = keys[order]
+        same = np.concatenate([[False], k[1:] == k[:-1], [False]]) if len(k) else np.zeros(1, bool)
+        again = same[1:] | same[:-1] | np.isin(k, frequent)
+        k, v, w = k[again], names[order[again]], slots[order[again]]
+        order = np.lexsort((v, k))
+        k, v, w = k[order], v[order], w[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])]) if len(k) else np.zeros(0, bool)
+        k, v, w = k[new], v[new], w[new]
+        starts, counts = _runs(k)
+        much = (counts > small) | np.isin(k[starts], frequent)
+        each = np.repeat(much, counts)
+        hot = _counted(np.concatenate([v[each], numbers("hot", np.int64)]), np.concatenate([w[each], numbers("hot_slots", np.int16)]), np.concatenate([np.ones(each.sum(), np.int32), numbers("hot_counts", np.int32)]))
+        lists = [hot[0].reshape(-1, 1)]
+        for c in np.unique(counts[~much & (counts > 1)]).tolist():
+            lists.append(np.unique(v[starts[~much & (counts == c)][:, None] + np.arange(c)], axis=0))
+        ends = np.cumsum(np.concatenate([[0], *(np.full(len(x), x.shape[1]) for x in lists)]))
+        rest = np.zeros(len(ends) - 1 - len(hot[0]), np.int32)
+        members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x.ravel() for x in lists]), pa.int64()))
+        return pa.table({"members": members, "slot": pa.array(np.concatenate([hot[1].astype(np.int32), rest])), "count": pa.array(np.concatenate([hot[2], rest]))})
+
+    return index.groupBy("bucket").applyInArrow(gather, "members array<long>, slot int, count int")
 
 
 def _pairs(members: str) -> Column:
     """All pairs of a small bucket's members (a before b by name)."""
     m = F.col(members)
-    rest = lambda x, i: F.transform(F.slice(m, i + 2, F.size(m)), lambda y: F.struct(x["name"].alias("a"), y["name"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))
+    rest = lambda x, i: F.transform(F.slice(m, i + 2, F.size(m)), lambda y: F.struct(x.alias("a"), y.alias("b")))
     return F.flatten(F.transform(m, rest))
 
 
@@ -213,33 +326,70 @@ def _may_link(percent: int, na: Column, nb: Column, difference: Column) -> Colum
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, d) of the pairs whose sketches allow a link."""
-    bits = classes.select("name", *SKETCHES)
-    joined = pairs.join(bits.withColumnRenamed("name", "a").alias("x"), "a").join(bits.withColumnRenamed("name", "b").alias("y"), "b")
-    return joined.withColumn("d", _difference("x", "y")).where(_may_link(percent, F.col("na"), F.col("nb"), F.col("d"))).select("a", "b", "na", "nb", "d")
+    """(a, b, d) of the pairs whose sizes and sketches allow a link; d is the difference that the sketches show."""
+    x, y = (classes.select(F.col("name").alias(c), "n", *SKETCHES).alias(k) for c, k in (("a", "x"), ("b", "y")))
+    joined = pairs.select("a", "b").join(x, "a").join(y, "b").withColumn("d", _difference("x", "y"))
+    return joined.where(_size_fits(percent, F.col("x.n"), F.col("y.n")) & _may_link(percent, F.col("x.n"), F.col("y.n"), F.col("d"))).select("a", "b", "d")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, names: DataFrame, n: int, id_column: str, text_column: str, broadcast_limit: int) -> DataFrame:
-    """(name, shingles) of the named sets, each from the row of its smallest id, read from the texts again.
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, repeated: bool, n: int, id_column: str, text_column: str, broadcast_limit: int) -> DataFrame:
+    """(name, hot, shingles) of the wanted (name, hot), each from the row of its smallest id, read from the texts again.
 
-    Their ids are sent to the tasks where there are no more than broadcast_limit, else the texts are joined to them.
+    Their ids are sent to the tasks where there are no more than broadcast_limit, else the texts are joined to them. Where rows are repeated, sets are made distinct.
     """
-    chosen = written(names.distinct().join(classes, "name").select(F.col("first").alias("doc_id"), "name"))
-    texts = _texts(docs, id_column, text_column)
-    few = chosen.count() <= broadcast_limit
-    rows = texts.join(F.broadcast(chosen) if few else chosen, "doc_id").select("name", "text")
+    chosen = written(wanted.groupBy("name").agg(F.max("hot").alias("hot")).join(classes, "name").select(F.col("first").alias("doc_id"), "name", "hot"))
+    rows = _texts(docs, id_column, text_column).join(few(chosen, broadcast_limit), "doc_id").select("name", "hot", "text")
 
     def run(batch: pa.RecordBatch) -> dict:
-        names = batch.column(0).to_pylist()
-        sets = [shingles(raw, n) for raw in raw_texts(batch, "text")]
+        names, hot = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        sets = list(shingle_sets(raw_texts(batch, "text"), n))
         same = [k for k, s in enumerate(sets) if len(s) and set_name(s) == names[k]]  # rows of equal ids may hold other texts
-        return {"name": [names[k] for k in same], "shingles": [sets[k].tobytes() for k in same]}
+        return {"name": [names[k] for k in same], "hot": [hot[k] for k in same], "shingles": [sets[k].tobytes() for k in same]}
+
+    found = map_rows(rows, run, "name long, hot boolean, shingles binary", 500)
+    return found.dropDuplicates(["name"]) if repeated else found
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(name, n, bits): parity sketches of at least two bits for each shingle, so that they tell long sets apart as well; a power of two of bits."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sizes, bits = [], []
+        for raw in batch.column(1).to_pylist():
+            s = np.frombuffer(raw, np.uint64)
+            size = max(64 * SKETCH, 1 << (2 * len(s)).bit_length())
+            found = np.bincount((_mix(s ^ _ODD[2]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+            sizes.append(len(s))
+            bits.append(np.packbits(found.astype(np.uint8)).tobytes())
+        return {"name": batch.column(0), "n": sizes, "bits": bits}
+
+    return map_rows(sets.select("name", "shingles"), run, "name long, n int, bits binary", 500)
 
-    return map_rows(rows, run, "name long, shingles binary").dropDuplicates(["name"])
 
+def _shown(x: bytes, y: bytes) -> int:
+    """Differences that two wide sketches show; the longer one is folded to the shorter one's size."""
+    x, y = sorted((x, y), key=len)
+    folded = np.bitwise_xor.reduce(np.frombuffer(y, np.uint8).reshape(-1, len(x)))
+    return int.from_bytes((folded ^ np.frombuffer(x, np.uint8)).tobytes()).bit_count()
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that are linked, from their whole sets."""
+
+def _closer(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide sketches allow a link."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"a": [], "b": []}
+        for a, b, na, nb, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (100 + percent) * _shown(x, y) <= (100 - percent) * (na + nb):
+                out["a"].append(a)
+                out["b"].append(b)
+        return out
+
+    x, y = (wide.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    return map_rows(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "nb", "bits_a", "bits_b"), run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, wide: DataFrame, percent: int, broadcast_limit: int) -> DataFrame:
+    """(a, b) of the pairs that are linked, from their whole sets. A pair's first set travels to its second one."""
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"a": [], "b": []}
@@ -251,8 +401,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out["b"].append(b)
         return out
 
-    x, y = (sets.select(F.col("name").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return map_rows(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
+    pairs = few(written(_closer(pairs, wide, percent)), broadcast_limit)
+    x = sets.select(F.col("name").alias("a"), F.col("shingles").alias("set_a")).join(pairs, "a")
+    y = sets.select(F.col("name").alias("b"), F.col("shingles").alias("set_b")).join(pairs.select("b").distinct(), "b", "left_semi")
+    return map_rows(x.join(y, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long", 500)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,13 +430,32 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataF
     return rows.join(found, column, "left").withColumn(to, F.coalesce(to, column))
 
 
+def _wholes(hot_sets: DataFrame, percent: int) -> DataFrame:
+    """(key, name): some whole segments of hot sets, about eight of each scheme by a hash of their keys: enough to find a central set to try."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        bands = Bands(percent)
+        keys, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            s = np.frombuffer(raw, np.uint64)
+            mixed = _mix(s + _ODD[0])
+            for scheme, most in bands.of(len(s)):
+                number, starts = _segments(s, most + 1)
+                key = _key(scheme, most + 1, number, np.add.reduceat(mixed, starts))
+                keys.append(key[key % max(1, most // 8) == 0])
+                names.append(np.full(len(keys[-1]), name))
+        return {"key": np.concatenate(keys), "name": np.concatenate(names)}
+
+    return map_rows(hot_sets.select("name", "shingles"), run, "key long, name long")
+
+
 def _neighbourhoods(hot_sets: DataFrame, percent: int) -> DataFrame:
-    """(key, name, n, scheme, segment, whole): the whole segments of hot sets and those without one shingle."""
+    """(key, name, label, n, scheme, segment, whole, units): the whole segments of hot sets and those without one shingle."""
 
     def run(batch: pa.RecordBatch) -> dict:
         bands = Bands(percent)
         parts: list[tuple] = []
-        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for name, raw, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             s = np.frombuffer(raw, np.uint64)
             mixed = _mix(s + _ODD[0])
             for scheme, most in bands.of(len(s)):
@@ -295,17 +466,17 @@ def _neighbourhoods(hot_sets: DataFrame, percent: int) -> DataFrame:
                 of = np.repeat(number, np.diff(np.append(starts, len(s))))  # segment of each shingle
                 segment = np.concatenate([np.arange(m), of])
                 key = _key(scheme, m, segment, np.concatenate([content, content[of] - mixed]))
-                parts.append((key, np.full(len(key), name), np.full(len(key), len(s), np.int32), np.full(len(key), scheme, np.int32), segment.astype(np.int32), np.arange(len(key)) < m, np.full(len(key), m, np.int32)))
-        names = ("key", "name", "n", "scheme", "segment", "whole", "units")
+                parts.append((key, np.full(len(key), name), np.full(len(key), label), np.full(len(key), len(s), np.int32), np.full(len(key), scheme, np.int32), segment.astype(np.int32), np.arange(len(key)) < m, np.full(len(key), m, np.int32)))
+        names = ("key", "name", "label", "n", "scheme", "segment", "whole", "units")
         return {c: pa.array(np.concatenate([p[k] for p in parts])) if parts else [] for k, c in enumerate(names)}
 
-    return map_rows(hot_sets, run, "key long, name long, n int, scheme int, segment int, whole boolean, units int")
+    return map_rows(hot_sets.select("name", "shingles", "label"), run, "key long, name long, label long, n int, scheme int, segment int, whole boolean, units int", 500)
 
 
-def _hot_rows(neighbourhoods: DataFrame) -> DataFrame:
-    """The neighbourhood rows that meet any other set: with `full` and `less`, the numbers of whole and one-deletion entries at their key."""
-    counts = neighbourhoods.groupBy("key").agg(F.sum(F.col("whole").cast("int")).alias("full"), F.sum((~F.col("whole")).cast("int")).alias("less")).where("full + less > 1")
-    return neighbourhoods.join(counts, "key")
+def _crossing(neighbourhoods: DataFrame, broadcast_limit: int) -> DataFrame:
+    """The neighbourhood rows at keys that sets of different components share: with `full` and `less`, the numbers of whole and one-deletion entries there."""
+    counts = neighbourhoods.groupBy("key").agg(F.sum(F.col("whole").cast("int")).alias("full"), F.sum((~F.col("whole")).cast("int")).alias("less"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return neighbourhoods.join(few(written(counts.where("full > 0 and lo < hi").select("key", "full", "less")), broadcast_limit), "key")
 
 
 def _allotted(rows: DataFrame) -> DataFrame:
@@ -313,7 +484,7 @@ def _allotted(rows: DataFrame) -> DataFrame:
 
     A segment's first unit costs the other whole entries equal to it, the second one the further entries that one deletion on either side
     meets. Where the second is cheaper than the first, both count at their mean, so that a first unit never stands behind its second.
-    Segments that meet nothing are free and taken first: they are the units that these rows don't show.
+    Segments that meet no set of another component are free and taken first: they are the units that these rows don't show.
     """
     whole = F.col("whole")
     per = rows.groupBy("name", "scheme", "segment", "units").agg(
@@ -332,9 +503,9 @@ def _allotted(rows: DataFrame) -> DataFrame:
     return each.withColumn("total", F.sum("cost").over(Window.partitionBy("name", "scheme")))
 
 
-def _across(rows: DataFrame, allotted: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of hot sets in different components that an allotment shows and whose sketches allow a link."""
-    index = _labelled(rows.select("key", "name", "n", "scheme", "segment", "whole"), labels, "name", "label")
+def _across(rows: DataFrame, allotted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of hot sets in different components that an allotment shows and whose sketches allow a link."""
+    index = rows.select("key", "name", "label", "n", "scheme", "segment", "whole")
     index = index.join(allotted.select("name", "scheme", "total").distinct(), ["name", "scheme"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
     index = written(index.join(classes.select("name", *SKETCHES), "name"))
     probes = index.join(allotted.select("name", "scheme", "segment", "unit"), ["name", "scheme", "segment"]).where("whole or unit = 2")
@@ -353,59 +524,50 @@ def _across(rows: DataFrame, allotted: DataFrame, classes: DataFrame, labels: Da
     return found.select(a.alias("a"), b.alias("b")).distinct()
 
 
-def _central(rows: DataFrame) -> DataFrame:
+def _central(wholes: DataFrame) -> DataFrame:
     """(a, b): each hot set and the most central set of its most frequent segment, that is the one whose segments are shared most."""
-    whole = rows.where("whole")
+    whole = written(wholes.join(wholes.groupBy("key").agg(F.count(F.lit(1)).alias("full")).where("full > 1"), "key"))
     popular = whole.groupBy("name").agg(F.sum("full").alias("popularity"), F.max(F.struct("full", "key")).alias("top"))
     centre = whole.select("key", "name").join(popular.select("name", "popularity"), "name").groupBy("key").agg(F.max(F.struct("popularity", "name")).alias("centre"))
     pairs = popular.select("name", F.col("top.key").alias("key")).join(centre, "key").select("name", F.col("centre.name").alias("other")).where("name != other")
     return pairs.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
 
 
-def _sized(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    sizes = classes.select("name", "n")
-    return pairs.join(sizes.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
-
-
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80, small: int = 40, broadcast_limit: int = 2_000_000) -> DataFrame:
+def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80, small: int = 40, broadcast_limit: int = 2_000_000, bucket_keys: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links (itself included).
 
     Two documents link when their sets' Jaccard similarity is percent / 100 or more. Null and empty texts have empty sets and link with
     nothing, as do rows without id, whose component_id is null. Copies and repeated rows share a set. An empty table gives no rows;
-    other columns are not read.
+    other columns are not read. The number of buckets follows the number of keys, about bucket_keys in each.
     """
-    spark = docs.sparkSession
     names = written(_names(docs, n, id_column, text_column))
     classes = written(names.where("name is not null and doc_id is not null").groupBy("name").agg(F.min(F.struct("doc_id", "n", *SKETCHES)).alias("r")).select("name", F.col("r.doc_id").alias("first"), "r.n", *(f"r.{c}" for c in SKETCHES)))
     rows = docs.where(F.col(id_column).isNotNull())
 
-    buckets = written(_buckets(_index(rows, n, percent, small, text_column), small).distinct())
-    _release(spark)
-    hot = buckets.where("size(members) = 1").select(F.col("members")[0]["name"].alias("name")).distinct()
-    pairs = buckets.where("size(members) > 1").select(F.explode(_pairs("members")).alias("p")).select("p.*").where(_size_fits(percent, F.col("na"), F.col("nb"))).distinct()
+    # A set has about 5 (1 - p) / (1 + p) keys for each shingle in its two schemes.
+    keys = (names.agg(F.sum("n")).first()[0] or 0) * 5 * (100 - percent) // (100 + percent) + 1
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(keys // bucket_keys + 1, min(parts, keys // 20_000 + 1))
+    buckets = written(_buckets(_index(rows, n, percent, small, text_column, n_buckets), small))
+    alone = buckets.where("size(members) = 1").groupBy(F.col("members")[0].alias("name"), "slot").agg(F.sum("count").alias("count"))
+    hot = alone.where(F.col("count") > F.floor(F.col("slot") / 2)).select("name").distinct()
+    pairs = buckets.where("size(members) > 1").select("members").distinct().select(F.explode(_pairs("members")).alias("p")).select("p.a", "p.b").distinct()
     near = written(_sketched(pairs, classes, percent))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("name")).union(hot)
-    sets = written(_sets(rows, classes, wanted, n, id_column, text_column, broadcast_limit))
-    _release(spark)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("name"), F.lit(False).alias("hot")).union(hot.select("name", F.lit(True)))
+    repeated = not names.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 and doc_id is not null and name is not null").isEmpty()
+    sets = written(_sets(rows, classes, wanted, repeated, n, id_column, text_column, broadcast_limit))
+    hot_sets, wide = sets.where("hot"), written(_wide(sets))
 
-    around = written(_hot_rows(_neighbourhoods(sets.join(hot, "name", "left_semi").select("name", "shingles"), percent)))
     ends = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("of"))
     nearest = ends.groupBy("of").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    centres = _sketched(_sized(_central(around), classes), classes, percent).select("a", "b")
-    links = written(_verified(nearest.union(centres).distinct(), sets, percent))
-    _release(spark)
+    centres = _sketched(_central(_wholes(hot_sets, percent)), classes, percent).select("a", "b")
+    links = written(_verified(nearest.union(centres).distinct(), sets, wide, percent, broadcast_limit))
     labels = components(links)
 
     rest = _labelled(_labelled(near.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la != lb").select("a", "b")
+    around = written(_crossing(_neighbourhoods(_labelled(hot_sets, labels, "name", "label"), percent), broadcast_limit))
     allotted = written(_allotted(around))
-    more = written(_verified(rest.union(_across(around, allotted, classes, labels, percent)).distinct(), sets, percent))
-    _release(spark)
+    more = written(_verified(rest.union(_across(around, allotted, classes, percent)).distinct(), sets, wide, percent, broadcast_limit))
     if not more.isEmpty():
         labels = components(links.union(more))
     label = _labelled(classes.select("name", "first"), labels, "name", "label")
@@ -414,8 +576,12 @@ def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     return names.join(of_name, "name", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_column: str = "doc_id", **parameters) -> DataFrame:
-    """The rows of docs that are the smallest id of their component; rows without id stay, and so do all rows of a kept id."""
-    names = docs.columns
-    dropped = link(docs, id_column=id_column, **parameters).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col(id_column) == F.col("__id"), "left_anti").select(*names)
+def keep_one(docs: DataFrame, *, id_column: str = "doc_id", broadcast_limit: int = 2_000_000, **parameters) -> DataFrame:
+    """The rows of docs that are the smallest id of their component; rows without id stay, and so do all rows of a kept id.
+
+    The ids that go are sent to the tasks where there are no more than broadcast_limit, else the rows are joined to them.
+    """
+    names, ident = docs.columns, unused(docs, "id")
+    found = link(docs, id_column=id_column, broadcast_limit=broadcast_limit, **parameters)
+    dropped = written(found.where("doc_id != component_id").select(F.col("doc_id").alias(ident)).distinct())
+    return docs.join(few(dropped, broadcast_limit), F.col(id_column) == F.col(ident), "left_anti").select(*names)
