@@ -39,19 +39,11 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents"))
 
 
-def _removed(found: DataFrame) -> DataFrame:
-    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed"))
-
-
-def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines and every run of 50 or more words that an earlier place holds."""
-    return _removed(linededup.remove_repeats(table(spark, sf_dir, "documents"), runs=50))
-
-
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines alone, as the SQL defines them."""
-    return _removed(linededup.remove_repeats(table(spark, sf_dir, "documents")))
+    """Every run of 50 or more words that an earlier place holds goes, wherever its lines break; n_repeated counts the words of first places too."""
+    found = linededup.remove_repeats(table(spark, sf_dir, "documents"), unit=None, runs=50)
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "text", "n_repeated", "n_removed", spans.alias("removed"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +60,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_passages, op7_linededup, op8_toxicity, op9_repetition, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_linededup, op8_toxicity, op9_repetition, op10_hmm)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -94,21 +86,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
-_NORMAL = r"array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ')"
-
-ORACLE_SQL["op7_linededup"] = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM d WHERE text <> ''),
-u AS (SELECT *, {_NORMAL} AS words FROM l),
-p AS (
-  SELECT *, len(string_split(words, ' ')) >= 5 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, r, k) > 1 AS gone,
-    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM u
-)
-SELECT d.doc_id, CASE WHEN any_value(p.r) IS NULL THEN any_value(d.text) ELSE coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') END AS text,
-  CASE WHEN any_value(p.r) IS NOT NULL THEN count(*) WHEN any_value(d.text) IS NULL THEN 0 ELSE 1 END AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
-  coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY k) FILTER (WHERE gone), '') AS removed
-FROM d LEFT JOIN p ON d.r = p.r GROUP BY d.r, d.doc_id
+# Pieces are words and what stands between them; a place is a word's number in its text.
+ORACLE_SQL["op7_linededup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS pieces,
+    """ + _WORDS + r""" AS w
+  FROM documents
+),
+win AS (SELECT r, doc_id, p, array_to_string(w[p : p + 49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+again AS (SELECT r, p, n > 1 AS gone FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, r, p) AS n, count(*) OVER (PARTITION BY g) AS total FROM win) WHERE total > 1),
+covered AS (SELECT r, q, bool_or(gone) AS gone FROM (SELECT r, gone, unnest(range(p, p + 50)) AS q FROM again) GROUP BY r, q),
+piece AS (SELECT r, k, piece, regexp_matches(piece, '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') AS word FROM (SELECT r, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS k FROM d)),
+place AS (
+  SELECT r, k, piece, word, sum(CAST(word AS INT)) OVER o AS q, CAST(coalesce(sum(length(piece)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM piece WINDOW o AS (PARTITION BY r ORDER BY k)
+),
+cut AS (
+  SELECT p.*, coalesce(CASE WHEN word THEN a.gone ELSE a.gone AND b.gone END, false) AS gone, CASE WHEN word THEN a.q IS NOT NULL ELSE false END AS repeated
+  FROM place p LEFT JOIN covered a ON a.r = p.r AND a.q = p.q LEFT JOIN covered b ON b.r = p.r AND b.q = p.q + 1
+),
+run AS (SELECT *, sum(CAST(gone AND NOT before AS INT)) OVER (PARTITION BY r ORDER BY k) AS run FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY r ORDER BY k), false) AS before FROM cut)),
+span AS (SELECT r, run, min(start) AS a, max(start + length(piece)) AS b FROM run WHERE gone GROUP BY r, run),
+removed AS (SELECT r, count(*) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS list FROM span GROUP BY r),
+kept AS (SELECT r, string_agg(piece, '' ORDER BY k) FILTER (WHERE NOT gone) AS text, CAST(sum(CAST(repeated AS INT)) AS BIGINT) AS n FROM cut GROUP BY r)
+SELECT doc_id, CASE WHEN kept.r IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, coalesce(kept.n, 0) AS n_repeated, coalesce(removed.n, 0) AS n_removed, coalesce(list, '') AS removed
+FROM d LEFT JOIN kept USING (r) LEFT JOIN removed USING (r)
 """
 
 ORACLE_SQL["op4_mix"] = r"""
