@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, code_points, map_rows, raw_texts, written
+from .common import LOWER, code_points, few, map_rows, raw_texts, slices, unused, written
 
 RULES_VERSION = "2024-2"
 #: Kinds in the order in which spans of the same start are listed.
@@ -57,9 +57,13 @@ def find(raw: bytes | None) -> list[tuple[str, int, int]]:
     return out
 
 
+_LEDGER = "blob string, findings array<struct<kind:string,start:long,end:long>>"
+
+
 def _scan(batch: pa.RecordBatch) -> dict:
-    found = [find(raw) for raw in raw_texts(batch, "text")]
-    return {"blob": batch.column(0), "findings": [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found]}
+    """Findings of the distinct blobs of a batch."""
+    blobs = dict(zip(batch.column(0).to_pylist(), raw_texts(batch, "text"), strict=True))
+    return {"blob": list(blobs), "findings": [[{"kind": k, "start": a, "end": b} for k, a, b in find(raw)] for raw in blobs.values()]}
 
 
 def blobs(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -67,30 +71,34 @@ def blobs(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return docs.withColumn("blob", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 256))
 
 
-def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, *, id_column: str = "doc_id", text_column: str = "text", rules_version: str = RULES_VERSION) -> DataFrame:
+def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, *, id_column: str = "doc_id", text_column: str = "text", rules_version: str = RULES_VERSION, broadcast_limit: int = 500_000) -> DataFrame:
     """New ledger rows (blob, rules_version, findings): one for each blob of docs that the ledger lacks under this rule version.
 
-    Only ids and digests are grouped to find unseen blobs and one row to read each from; whole texts travel once, for unseen blobs
-    only. A row without id can't be read back by id, so such rows are scanned where they stand.
+    Ids and digests alone are grouped to find unseen blobs and the row to read each from. Where these are no more than broadcast_limit they are sent
+    to the tasks and the rows are scanned where they stand, so that no text is moved; else the texts are joined to them. Where the ledger
+    knows all blobs, no text is read beyond its digest.
     """
     rows = blobs(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")))
     keys = rows.select("blob", "doc_id")
     if ledger is not None:
         keys = keys.join(ledger.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
-    chosen = keys.where("doc_id is not null").groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(chosen.withColumnRenamed("blob", "wanted"), "doc_id").where("blob = wanted").select("blob", "text")
-    loose = rows.where("doc_id is null").join(keys.where("doc_id is null").select("blob").distinct(), "blob", "left_semi").select("blob", "text")
-    found = map_rows(texts, _scan, "blob string, findings array<struct<kind:string,start:long,end:long>>").union(map_rows(loose, _scan, "blob string, findings array<struct<kind:string,start:long,end:long>>"))
-    return found.dropDuplicates(["blob"]).select("blob", F.lit(rules_version).alias("rules_version"), "findings")
+    unseen = written(keys.groupBy("blob").agg(F.min("doc_id").alias("doc_id")))
+    if unseen.isEmpty():
+        found = docs.sparkSession.createDataFrame([], _LEDGER)
+    else:
+        r, u = rows.alias("r"), few(unseen, broadcast_limit).alias("u")
+        here = r.join(u, (F.col("r.blob") == F.col("u.blob")) & F.col("r.doc_id").eqNullSafe(F.col("u.doc_id")), "left_semi")
+        found = map_rows(here.select("blob", "text"), _scan, _LEDGER, 1000).dropDuplicates(["blob"])
+    return found.select("blob", F.lit(rules_version).alias("rules_version"), "findings")
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, *, id_column: str = "doc_id", text_column: str = "text", rules_version: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
+def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, *, id_column: str = "doc_id", text_column: str = "text", rules_version: str = RULES_VERSION, broadcast_limit: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(findings of every row, new ledger rows). A row: doc_id, blob, findings (by start; empty if there are none).
 
     Null and empty texts are the empty blob and have no findings. Repeated rows give repeated rows; an empty table gives none; other
     columns are not read. The new rows are written to the shared folder, so a lost executor doesn't cause a second scan.
     """
-    new = written(update_ledger(docs, ledger, id_column=id_column, text_column=text_column, rules_version=rules_version))
+    new = written(update_ledger(docs, ledger, id_column=id_column, text_column=text_column, rules_version=rules_version, broadcast_limit=broadcast_limit))
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rules_version") == rules_version).select("blob", "rules_version", "findings"))
     hits = known.where(F.size("findings") > 0).select("blob", "findings")
     paths = blobs(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))).select("doc_id", "blob")
@@ -109,22 +117,26 @@ def _redact(text: str | None, findings: list[dict] | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, *, id_column: str = "doc_id", text_column: str = "text", rules_version: str = RULES_VERSION) -> DataFrame:
-    """docs with every finding of scan_secrets in its text replaced by its kind in brackets; other columns and all rows stay as they are."""
-    names = docs.columns
-    found, _ = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column, rules_version=rules_version)
-    hits = found.where(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found")).dropDuplicates(["__blob"])
-    rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 256))
+def redact(docs: DataFrame, ledger: DataFrame | None = None, *, id_column: str = "doc_id", text_column: str = "text", rules_version: str = RULES_VERSION, broadcast_limit: int = 500_000) -> DataFrame:
+    """docs with every finding of scan_secrets in its text replaced by its kind in brackets; other columns, whatever their names, and all rows stay as they are.
+
+    The findings are sent to the tasks where they are no more than broadcast_limit in all, else the rows are joined to them by blob. Null texts
+    stay null and empty ones empty; ids may be null or repeated; an empty table gives none.
+    """
+    names, blob, findings = docs.columns, unused(docs, "blob"), unused(docs, "findings")
+    found, _ = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column, rules_version=rules_version, broadcast_limit=broadcast_limit)
+    hits = written(found.where(F.size("findings") > 0).select(F.col("blob").alias(blob), F.col("findings").alias(findings)).dropDuplicates([blob]))
+    rows = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 256))
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             k = batch.schema.get_field_index(text_column)
             new = [_redact(x, y) for x, y in zip(batch.column(k).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             columns = [batch.column(i) if i != k else pa.array(new, batch.schema.field(k).type) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.join(hits, "__blob", "left").select(*names, "__found").mapInArrow(run, schema)
+    return rows.join(few(hits, broadcast_limit, F.size(findings)), blob, "left").select(*names, findings).mapInArrow(run, schema)
 
 
 def digest_columns(findings: str = "findings"):
