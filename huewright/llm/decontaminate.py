@@ -6,8 +6,8 @@ only (as large as the benchmark, not w times that). Each piece found is widened
 words that text and item share there; a run of w words or more is a run of windows. The result is the same as with a
 pattern per window.
 
-The automaton is built from a benchmark block of at most `max_block_bytes`, a checked bound; a larger benchmark is scanned in
-several blocks, one pass each, whose few hits are joined to the rows by content.
+The automaton is built from a benchmark block of at most `max_block_bytes`, a checked bound. A larger benchmark has several blocks, which are sent one
+by one; each batch of texts is read once and matched against all of them where it stands.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, code_points, map_rows, raw_texts, union_spans
+from .common import alnum_words, code_points, map_rows, raw_texts, slices, union_spans
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SCHEMA = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>, items array<string>"
@@ -31,6 +31,8 @@ class _Matcher:
     """The automaton of a block of items, made once in each Python worker."""
 
     _made: dict[str, _Matcher] = {}
+    #: Automata that a worker keeps; others are made again for each batch.
+    kept = 4
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.items, self.window, self.piece = items, window, (window + 1) // 2
@@ -49,7 +51,8 @@ class _Matcher:
     @classmethod
     def of(cls, key: str, items: list[tuple[str, list[bytes]]], window: int) -> _Matcher:
         if key not in cls._made:
-            cls._made.clear()
+            while len(cls._made) >= cls.kept:
+                cls._made.pop(next(iter(cls._made)))
             cls._made[key] = cls(items, window)
         return cls._made[key]
 
@@ -116,39 +119,23 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, max_block_
         yield [(r.item, alnum_words(r.text.encode())) for r in part.distinct().collect()]
 
 
-class _Blocks:
-    """The benchmark as one or more blocks that tasks can match texts against."""
+def _finder(docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str, window: int, max_block_bytes: int):
+    """A function from texts to (number of words, spans of hit words, ids of items that occur) of each, and how many texts it takes at a time."""
+    context = docs.sparkSession.sparkContext
+    blocks = [(hashlib.sha256(repr((window, block)).encode()).hexdigest(), context.broadcast(block)) for block in _blocks(benchmark, item_column, text_column, max_block_bytes)]
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str, window: int, max_block_bytes: int):
-        context = docs.sparkSession.sparkContext
-        self.window, self.blocks = window, []
-        for block in _blocks(benchmark, item_column, text_column, max_block_bytes):
-            self.blocks.append((hashlib.sha256(repr((window, block)).encode()).hexdigest(), context.broadcast(block)))
-
-    def one(self):
-        """Hits of a text's words where there is one block."""
-        (key, block), window = self.blocks[0], self.window
-        return lambda words: _Matcher.of(key, block.value, window).hits(words)
-
-    def hits(self, rows: DataFrame, text_column: str) -> DataFrame:
-        """rows with the hits of all blocks in __hit and __ids: one pass for each block, joined to the rows by content."""
-        rows = rows.withColumn("__content", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 256))
-        found, window = None, self.window
-        for key, block in self.blocks:
-
-            def part(batch: pa.RecordBatch, key=key, block=block) -> dict:
-                matcher = _Matcher.of(key, block.value, window)
-                out = []
-                for content, raw in zip(batch.column(0).to_pylist(), raw_texts(batch, "text"), strict=True):
-                    spans, ids = matcher.hits(alnum_words(raw))
-                    if ids:
-                        out.append((content, [{"a": a, "b": b} for a, b in spans], sorted(ids)))
-                return {"__content": [x[0] for x in out], "hit": [x[1] for x in out], "ids": [x[2] for x in out]}
+    def find(raws: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        found: list[tuple[int, list[tuple[int, int]], set[str]]] = [(0, [], set()) for _ in raws]
+        for key, block in blocks:
+            matcher = _Matcher.of(key, block.value, window)
+            for k, raw in enumerate(raws):
+                words = alnum_words(raw)
+                spans, ids = matcher.hits(words)
+                found[k] = (len(words), found[k][1] + spans, found[k][2] | ids)
+        return [(n, union_spans(spans), ids) for n, spans, ids in found]
 
-            some = map_rows(rows.select("__content", F.col(text_column).cast("string").alias("text")), part, "__content string, hit array<struct<a:long,b:long>>, ids array<string>")
-            found = some if found is None else found.union(some)
-        found = found.distinct().groupBy("__content").agg(F.flatten(F.collect_list("hit")).alias("__hit"), F.flatten(F.collect_list("ids")).alias("__ids"))
-        return rows.join(found, "__content", "left").drop("__content")
+    # Few texts at a time are enough for the automata that a worker keeps; others are made anew for each batch.
+    return find, 1000 if len(blocks) <= _Matcher.kept else 1 << 20
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 13, max_block_bytes: int = 2_000_000) -> DataFrame:
@@ -160,43 +147,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
     """
     schema = SCHEMA.format(id=docs.schema[id_column].dataType.simpleString())
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    blocks = _Blocks(docs, benchmark, item_column, item_text_column, window, max_block_bytes)
-    columns = [*_row(b"", 0, [], set())]
-    if len(blocks.blocks) == 1:
-        hits = blocks.one()
+    (find, at_once), columns = _finder(docs, benchmark, item_column, item_text_column, window, max_block_bytes), [*_row(b"", 0, [], set())]
 
-        def scan(batch: pa.RecordBatch) -> dict:
-            out = [_row(raw, len(words := alnum_words(raw)), *hits(words)) for raw in raw_texts(batch, "text")]
-            return {"doc_id": batch.column(0)} | {c: [x[c] for x in out] for c in columns}
-
-        return map_rows(rows, scan, schema)
-
-    def merge(batch: pa.RecordBatch) -> dict:
-        out = []
-        for raw, hit, ids in zip(raw_texts(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            out.append(_row(raw, len(alnum_words(raw)), union_spans((x["a"], x["b"]) for x in hit or ()), set(ids or ())))
+    def scan(batch: pa.RecordBatch) -> dict:
+        raws = raw_texts(batch, "text")
+        out = [_row(raw, *found) for raw, found in zip(raws, find(raws), strict=True)]
         return {"doc_id": batch.column(0)} | {c: [x[c] for x in out] for c in columns}
 
-    return map_rows(blocks.hits(rows, "text").select("doc_id", "text", "__hit", "__ids"), merge, schema)
+    return map_rows(rows, scan, schema, at_once)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 13, max_block_bytes: int = 2_000_000) -> DataFrame:
-    """The rows of docs, whole and in place, that decontaminate() doesn't find contaminated."""
-    names, schema = docs.columns, docs.schema
-    blocks = _Blocks(docs, benchmark, item_column, item_text_column, window, max_block_bytes)
-    single = len(blocks.blocks) == 1
-    hits = blocks.one() if single else None
-    rows = docs if single else blocks.hits(docs, text_column).select(*names, "__hit")
+    """The rows of docs, whole and in place, that decontaminate() doesn't find contaminated; other columns, whatever their names, stay as they are."""
+    find, at_once = _finder(docs, benchmark, item_column, item_text_column, window, max_block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            known = None if single else batch.column(len(names)).to_pylist()
-            for k, raw in enumerate(raw_texts(batch, text_column)):
-                words = alnum_words(raw)
-                spans = hits(words)[0] if single else union_spans((x["a"], x["b"]) for x in known[k] or ())
-                hit = sum(b - a for a, b in spans)
-                kept.append(not (hit > 0 and 20 * hit >= len(words)))
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(kept, pa.bool_()))
+        for batch in slices(batches, at_once):
+            hits = [(n, sum(b - a for a, b in spans)) for n, spans, _ in find(raw_texts(batch, text_column))]
+            yield batch.filter(pa.array([not (hit > 0 and 20 * hit >= n) for n, hit in hits], pa.bool_()))
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, code_points, fold, map_rows, raw_texts
+from .common import ALNUM, code_points, fold, map_rows, raw_texts, slices
 
 STEMS = (4, 5, 6, 7)  # lengths of the stems in bytes
 # The bytes that end a sentence.
@@ -55,7 +55,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> float:
         x = sum(self.weights.get(f, 0.0) for f in features(word))
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = x
         return x
 
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
         return {k: batch.column(i) for i, k in enumerate(("doc_id", "label", "weight"))} | out
 
     ident = docs.schema[id_column].dataType.simpleString()
-    bags = map_rows(rows.select("doc_id", "label", "weight", "text"), bag, f"doc_id {ident}, label int, weight double, plain int, bags array<array<int>>")
+    bags = map_rows(rows.select("doc_id", "label", "weight", "text"), bag, f"doc_id {ident}, label int, weight double, plain int, bags array<array<int>>", 1000)
     bags = bags.select("doc_id", "label", "weight", "plain", F.xxhash64("bags").alias("h"), "bags").toArrow()
     bags = bags.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     return _climb(bags, names, rounds, shrink)
@@ -170,8 +170,12 @@ def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_colu
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(model)  # n_features weights at most
 
+    made: list[_Words] = []  # once for each task
+
     def run(batch: pa.RecordBatch) -> dict:
-        weights, bias, constant = _Words(sent.value.weights), sent.value.bias, sent.value.constant
+        if not made:
+            made.append(_Words(sent.value.weights))
+        weights, bias, constant = made[0], sent.value.bias, sent.value.constant
         scores, places = [], []
         for raw in raw_texts(batch, "text"):
             p = _probability(raw, weights, bias, constant)
@@ -180,7 +184,7 @@ def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_colu
         return {"doc_id": batch.column(0), "score": scores, "predicted": [int(p >= 0.5) for p in scores], "offending": places}
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return map_rows(rows, run, f"doc_id {ident}, score double, predicted int, offending array<struct<start:long,end:long,score:double>>")
+    return map_rows(rows, run, f"doc_id {ident}, score double, predicted int, offending array<struct<start:long,end:long,score:double>>", 1000)
 
 
 def _offending(raw: bytes, weights: _Words, bias: float, locate: float) -> list[dict]:
@@ -209,7 +213,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
 
     def run(batches):
         weights, bias, constant = _Words(sent.value.weights), sent.value.bias, sent.value.constant
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([_probability(raw, weights, bias, constant) < 0.5 for raw in raw_texts(batch, text_column)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,10 +1,12 @@
 """The pipeline's stages against the operators' own results and brute force."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from huewright.llm import toxicity
+from huewright.llm import mixing, toxicity
 
 from . import brute
 
@@ -53,9 +55,33 @@ def test_secrets_are_masked(stages):
 
 
 def test_mix(stages):
-    rows = stages[5].collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in stages[4].collect()}
-    assert all(r.taken == r.copies * r.size and r.copies <= 3 for r in rows)
+    """Each row as often as the mix takes it."""
+    taken = {r.doc_id: r.copies for r in mixing.mix(stages[4]).collect()}
+    rows = Counter((r.doc_id, r.text) for r in stages[5].collect())
+    assert rows == {(r.doc_id, r.text): taken[r.doc_id] for r in stages[4].collect() if taken[r.doc_id]}
+    assert max(rows.values()) <= 3 and len(rows) < len(taken) and stages[5].columns == stages[0].columns
+
+
+ODD = [(1, "a b c d e f", "en", "web", 11), (1, "a b c d e f", "en", "web", 11), (None, "x y z", None, None, None), (None, None, "en", "web", 0), (2, "", "en", "web", 0), (3, "password = hunter2hunter " * 3, "en", "forum", 75), (4, "w " * 1_000_000 + "end", "en", "forum", 2_000_003)]
+CLASHES = ["__id", "__blob", "__found", "__content", "__hit", "__ids", "_id", "_blob", "_findings", "copies", "digest", "n", "name"]
+
+
+@pytest.mark.parametrize("nth", range(5))
+def test_odd_rows(spark, small, nth):
+    """Nulls, an empty and a very long text, repeated rows, clashing columns and an empty table through each stage."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit("kept"))
+    got = corpus_pipeline.STAGES[nth][1](spark, docs, small)
+    rows = got.collect()
+    assert got.columns == docs.columns and all(r["__id"] == r["copies"] == "kept" for r in rows)
+    if nth < 4:
+        assert len(rows) == len(ODD) and Counter(r.doc_id for r in rows) == Counter(r[0] for r in ODD)
+    if nth == 3:
+        assert [r.text for r in rows if r.doc_id == 3] == ["[ASSIGN] " * 3]
+    if nth == 4:
+        assert sum(r.source == "web" and r.doc_id == 1 for r in rows) == 6 and sum(r.source == "forum" for r in rows) <= 3
+    assert corpus_pipeline.STAGES[nth][1](spark, docs.limit(0), small).collect() == []
 
 
 def test_run_is_the_stages(spark, small, stages):
