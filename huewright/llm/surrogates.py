@@ -36,7 +36,9 @@ SYLLABLES = {"latin": ("ba", "do", "fen", "gar", "hol", "ker", "lin", "mor", "na
 # The alternatives start with tests of one or two characters, so that most places in a text are left at once.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?(?:[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|[0-9](?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+# The country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 CARD = r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _TITLES = sorted((t for x in TITLES.values() for t in x), key=len, reverse=True)
@@ -117,9 +119,12 @@ def surrogate(of: Column, form: Column, salt: Column, key: str) -> Column:
     tail = F.regexp_extract(domain, r"(\.[^.]+)$", 1)
     host = domain.substr(F.lit(1), F.length(domain) - F.length(tail))
     host_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), domain), 256)
-    email = F.concat(_alike(local, seed), F.lit("@"), _alike(host, host_seed), tail)
+    # Few values are of the length of a short local part: from the fourth draw on it grows.
+    more = F.transform(F.sequence(F.lit(1), F.greatest(salt.cast("int") - 3, F.lit(1))), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _draw(seed, i + 64, 26) + 1, F.lit(1)))
+    email = F.concat(_alike(local, seed), F.when(salt > 3, F.array_join(more, "")).otherwise(""), F.lit("@"), _alike(host, host_seed), tail)
     ip = F.concat_ws(".", *(((_draw(seed, F.lit(i), 254)) + 1).cast("string") for i in range(1, 5)))
-    phone = F.when(form.startswith("+"), F.concat(form.substr(F.lit(1), F.length(form) - 9 - F.when(F.length(form) > 10, 1).otherwise(0)), _alike(form.substr(F.length(form) - 8 - F.when(F.length(form) > 10, 1).otherwise(0), F.lit(10)), seed))).otherwise(_alike(form, seed))
+    code = F.regexp_extract(form, COUNTRY, 0)
+    phone = F.concat(code, _alike(form.substr(F.length(code) + 1, F.length(form)), seed))
     body = F.concat(form.substr(1, 1), _alike(form.substr(F.lit(2), F.length(form) - 2), seed))
     valid = form.substr(F.length(form), F.lit(1)) == _check_digit(form.substr(F.lit(1), F.length(form) - 1))
     card = F.concat(body, F.when(valid, _check_digit(body)).otherwise(_draw(seed, F.lit(40), 10).cast("string")))

@@ -55,7 +55,8 @@ def test_remove_paragraphs(spark):
     assert got == {1: f"{p}\n\nother words stand here now", 2: "new words to begin it\n\nlast", 3: ""}
 
 
-def test_remove_runs(spark, docs):
+@pytest.mark.parametrize("parameters", [{}, {"broadcast_limit": 0, "bucket_words": 500}])
+def test_remove_runs(spark, docs, parameters):
     """Runs of 12 words or more, inside lines and over short lines, against all windows of all documents."""
     run = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     extra = [(2001, f"it begins so {run} and goes on here"), (2002, "other ç words " + run.replace(" ", "\n").upper() + "\nend of it all"), (2003, "q r " * 30)]
@@ -83,7 +84,7 @@ def test_remove_runs(spark, docs):
             at += len(line) + 1
         gone.setdefault(key[0], set()).add(tuple(mark))
     got: dict = {}
-    for r in linededup.remove_repeats(docs, runs=n).collect():
+    for r in linededup.remove_repeats(docs, runs=n, **parameters).collect():
         if n_chars := sum(s.end - s.start for s in r.removed):
             got.setdefault(r.doc_id, set()).add(n_chars)
         assert r.n_removed == len(r.removed)
@@ -140,6 +141,29 @@ def test_surrogates_prefilter(spark):
         assert r.n_entities == 1 and found[r.doc_id] not in r.text
 
 
+PHONES = {"+45 ": "12 34 56 78", "+33 ": "6 12 34 56 78", "+1 ": "(743) 555-3824", "+7 ": "495 123-45-67", "+49-": "30-1234-5678", "+44 ": "20 7946 0958", "+353 ": "1 234 5678", "+420 ": "601 123 456", "+81.": "3.1234.5678", "+1": " 22 222"}
+
+
+def test_phones_keep_country_and_format(spark):
+    texts = [f"ring {a}{b} today" for a, b in PHONES.items()]
+    docs = spark.createDataFrame(list(enumerate([*texts, "ring +4512345678 now", "ring +45-1234-5678 now"])), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs).collect()}
+    for k, (a, b) in enumerate(PHONES.items()):
+        assert got[k].n_phone == 1 and got[k].text.startswith(f"ring {a}") and got[k].text != texts[k], got[k]
+        assert re.sub("[0-9]", "0", got[k].text) == re.sub("[0-9]", "0", texts[k])
+    same = {re.sub(r"[^0-9+]", "", got[k].text) for k in (0, 10, 11)}
+    assert len(same) == 1 and same.pop().startswith("+45")
+    assert len({r.text for r in got.values()}) == len(got)
+
+
+def test_short_addresses_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.createDataFrame([(k, f"{c}@mail.example.org") for k, c in enumerate(letters)], "doc_id long, text string")
+    for key in ("one", "two"):
+        texts = {r.text for r in surrogates.pseudonymise(docs, key=key).collect()}
+        assert len(texts) == 26 and len({x.split("@")[1] for x in texts}) == 1 and all(re.fullmatch(r"[a-z]+@[a-z]{4}\.[a-z]{7}\.org", x) for x in texts)
+
+
 def test_surnames_stay_distinct(spark):
     """As many people as four Cyrillic syllables have values, written with title and surname alone."""
     letters = "абвгдежзик"

@@ -38,11 +38,11 @@ def family_rows(seed):
     return list(enumerate(texts, 3))
 
 
-@pytest.mark.parametrize(("seed", "n", "percent", "small"), [(1, 4, 85, 40), (2, 4, 85, 6), (3, 5, 80, 6), (4, 3, 70, 3)])
-def test_link(spark, seed, n, percent, small):
+@pytest.mark.parametrize(("seed", "n", "percent", "small", "more"), [(1, 4, 85, 40, {}), (2, 4, 85, 6, {}), (3, 5, 80, 6, {"broadcast_limit": 0, "bucket_keys": 900}), (4, 3, 70, 3, {})])
+def test_link(spark, seed, n, percent, small, more):
     rows = family_rows(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs, n=n, percent=percent, small=small).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs, n=n, percent=percent, small=small, **more).collect()}
     assert got == brute.jaccard(rows, n, percent)
 
 

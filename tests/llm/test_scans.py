@@ -186,3 +186,13 @@ def test_empty_tables(spark, docs, small):
 
 def test_queries_are_registered():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_second_run_scans_nothing(spark, docs):
+    """A ledger that knows all blobs leaves no text to scan; where unseen blobs are many, the texts are joined to them."""
+    found, ledger = secrets.scan_secrets(docs)
+    joined, same = secrets.scan_secrets(docs, broadcast_limit=0)
+    assert as_rows(joined, "doc_id", "blob", "findings") == as_rows(found, "doc_id", "blob", "findings") and same.count() == ledger.count()
+    new = secrets.update_ledger(docs, ledger)
+    assert new.count() == 0 and "MapInArrow" not in new._jdf.queryExecution().toString()
+    assert secrets.update_ledger(docs, ledger, rules_version="other").count() == ledger.count()
