@@ -117,6 +117,7 @@ idx AS (SELECT image_id, CAST(q // {size} AS INTEGER) AS y, CAST(q % {size} AS I
 for _kernel in KERNELS[1:]:
     ORACLE_SQL[f"dither_{_kernel.name}"] = _diffusion(_kernel, 1) + " SELECT image_id, y, x, idx FROM idx"
     ORACLE_SQL[f"multisample_2x_{_kernel.name}"] = _diffusion(_kernel, 2) + f", large AS (SELECT image_id, y, x, pr AS r, pg AS g, pb AS b, 255 AS a FROM idx JOIN pal USING (idx)), {_tents('large', 'h', 'v', 'rgba')} SELECT * FROM v"
+    ORACLE_SQL[f"multisample_4x_{_kernel.name}"] = _diffusion(_kernel, 4) + f", large AS (SELECT image_id, y, x, pr AS r, pg AS g, pb AS b, 255 AS a FROM idx JOIN pal USING (idx)), {_tents('large', 'h', 'v', 'rgba')}, {_tents('v', 'h2', 'v2', 'rgba')} SELECT * FROM v2"
 
 _HEX = "printf('%02x%02x%02x', n_nationkey * 53 % 256, n_nationkey * 97 % 256, n_nationkey * 193 % 256)"
 ORACLE_SQL["hex_format"] = f"SELECT CAST(n_regionkey AS VARCHAR) AS palette_id, string_agg({_HEX}, ',' ORDER BY n_nationkey) AS s FROM nation GROUP BY n_regionkey"
