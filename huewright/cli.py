@@ -15,7 +15,7 @@ from .operators.extract import extract_palette
 from .operators.kernels import DEFAULT as DEFAULT_DITHERER
 from .operators.kernels import KERNELS
 from .session import ship
-from .sources.images import apply_palette, encode_images, read_images
+from .sources.images import FORMATS, apply_palette, encode_images, read_images
 from .sources.presets import preset, preset_names
 
 DEFAULT_K = 16
@@ -81,15 +81,16 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         elif args.command == "extract":
             print(format_colours(extract_palette(explode_pixels(_image(spark, args.image)), args.k)))
         else:
-            if not args.output.lower().endswith(".png"):
-                raise ValueError("the output must be a .png file")
+            form = Path(args.output).suffix.lower()[1:]
+            if form not in FORMATS:
+                raise ValueError(f"the output must end in .{', .'.join(FORMATS)}")
             images = _image(spark, args.input)
             palette = _palette(spark, args, images)
-            if args.multisample:
-                rows = encode_images(dither_packed(images, palette, args.dither, scale=int(args.multisample[0])))
+            if args.multisample or form != "png":
+                rows = encode_images(dither_packed(images, palette, args.dither, scale=int((args.multisample or "1")[0])), form)
             else:
                 rows = apply_palette(images, palette, args.dither)
-            Path(args.output).write_bytes(rows.first().png)
+            Path(args.output).write_bytes(rows.first()[form])
     except (ValueError, PaletteError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

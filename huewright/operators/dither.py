@@ -30,9 +30,11 @@ def diffuse(images: np.ndarray, palette: np.ndarray, k: Kernel, *, clamp_once: b
     below = max(dy for _, dy, _ in k.taps)
     slope = 1 + max((-dx for dx, dy, _ in k.taps if dy), default=0)
     order = sorted(k.taps, key=lambda tap: (-tap[1], -tap[0]))  # sources in raster order
-    # Errors of the last fronts by row, `below` rows of zeros above the image; they are zero where a front has no pixel in a row.
+    # Shares of the errors of the last fronts by weight and row, `below` rows of zeros above the image; they are zero where a front has no pixel in a row.
     recent = 1 + max(dx + slope * dy for dx, dy, _ in k.taps)
-    fronts = np.zeros((recent, n, height + below, 3), np.float32)
+    weights = sorted({weight for _, _, weight in k.taps})
+    fronts = np.zeros((recent, len(weights), n, height + below, 3), np.float32)
+    order = [(dx, dy, weights.index(weight)) for dx, dy, weight in order]
     colours = palette.astype(np.float32)
     flat, out = images.reshape(n, height * width, 3), np.empty((n, height * width), np.int32)
     for t in range(width + slope * (height - 1)):
@@ -45,18 +47,21 @@ def diffuse(images: np.ndarray, palette: np.ndarray, k: Kernel, *, clamp_once: b
         first, step = t + top * (width - slope), width - slope
         at = slice(first, first + (end - top - 1) * step + 1, step) if step > 0 else first + step * np.arange(end - top)
         value = flat[:, at].astype(np.float32)
-        for dx, dy, weight in order:
-            error = fronts[(t - dx - slope * dy) % recent, :, top - dy + below : end - dy + below] * np.float32(weight)
-            error /= np.float32(k.divisor)
-            np.trunc(error, out=error)  # exact: quotients of small whole numbers
-            value += error
+        for dx, dy, j in order:
+            value += fronts[(t - dx - slope * dy) % recent, j, :, top - dy + below : end - dy + below]
             if not clamp_once:
-                np.clip(value, 0, 255, out=value)
+                np.maximum(value, 0, out=value)
+                np.minimum(value, 255, out=value)
         if clamp_once:
             np.clip(value, 0, 255, out=value)
         best = search(value.reshape(-1, 3)).reshape(n, end - top)
         out[:, at] = best
-        np.subtract(value, colours[best], out=front[:, top + below : end + below])
+        value -= colours[best]
+        for share, weight in zip(front, weights, strict=True):
+            part = share[:, top + below : end + below]
+            np.multiply(value, np.float32(weight), out=part)
+            part /= np.float32(k.divisor)
+            np.trunc(part, out=part)  # exact: quotients of small whole numbers
     return out.reshape(n, height, width)
 
 

@@ -10,12 +10,14 @@ TILE = 16
 _EVENTS = """px AS (
   SELECT CAST(event_id // 256 AS BIGINT) AS image_id, CAST(event_id % 256 // 16 AS INTEGER) AS y, CAST(event_id % 16 AS INTEGER) AS x,
     CAST(user_id * 37 % 256 AS INTEGER) AS r, CAST(CAST(round(value * 100) AS BIGINT) % 256 AS INTEGER) AS g, CAST(event_id * 101 % 256 AS INTEGER) AS b
-  FROM events WHERE event_id // 256 < (SELECT count(*) // 256 FROM events)
+  FROM events
+  UNION ALL SELECT k // 256, CAST(k % 256 // 16 AS INTEGER), CAST(k % 16 AS INTEGER), 0, 0, 0 FROM (SELECT unnest(range(max(event_id) + 1, (max(event_id) // 256 + 1) * 256)) AS k FROM events)
 )"""
 _ORDERS = """px AS (
   SELECT CAST(o_orderkey // 256 AS BIGINT) AS image_id, CAST(o_orderkey % 256 // 16 AS INTEGER) AS y, CAST(o_orderkey % 16 AS INTEGER) AS x,
     CAST(o_custkey * 37 % 256 AS INTEGER) AS r, CAST(CAST(round(o_totalprice) AS BIGINT) % 256 AS INTEGER) AS g, CAST(o_orderkey * 101 % 256 AS INTEGER) AS b
-  FROM orders WHERE o_orderkey // 256 < (SELECT count(*) // 256 FROM orders)
+  FROM orders
+  UNION ALL SELECT k // 256, CAST(k % 256 // 16 AS INTEGER), CAST(k % 16 AS INTEGER), 0, 0, 0 FROM (SELECT unnest(range(max(o_orderkey) + 1, (max(o_orderkey) // 256 + 1) * 256)) AS k FROM orders)
 )"""
 _LINES = """px AS (
   SELECT CAST(1 AS BIGINT) AS image_id, CAST(l_orderkey * 37 % 256 AS INTEGER) AS r, CAST(l_partkey * 101 % 256 AS INTEGER) AS g, CAST(l_suppkey * 53 % 256 AS INTEGER) AS b FROM lineitem
@@ -49,11 +51,39 @@ _HISTOGRAM = f"WITH {{source}}, {_LEVELS}, ch AS (SELECT image_id, max(level) AS
 ORACLE_SQL["octree_histogram"] = _HISTOGRAM.format(source=_EVENTS, limit=64) + " SELECT * FROM hist"
 ORACLE_SQL["line_histogram"] = _HISTOGRAM.format(source=_LINES, limit=4096) + " SELECT * FROM hist"
 _LINEAR = ", ".join(f"CASE WHEN sum_{c} / n / 255.0 <= 0.04045 THEN sum_{c} / n / 255.0 / 12.92 ELSE pow((sum_{c} / n / 255.0 + 0.055) / 1.055, 2.4) END AS {c}" for c in "rgb")
-ORACLE_SQL["oklab_means"] = _HISTOGRAM.format(source=_EVENTS, limit=64) + f""", lin AS (SELECT image_id, bin, n, {_LINEAR} FROM (SELECT image_id, bin, CAST(n AS DOUBLE) AS n, sum_r, sum_g, sum_b FROM hist)),
-lms AS (SELECT image_id, bin, n, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS l, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS m, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS s FROM lin)
-SELECT image_id, bin, CAST(round((0.2104542553 * l + 0.7936177850 * m - 0.0040720468 * s) * 1e6) AS BIGINT) AS l,
-  CAST(round((1.9779984951 * l - 2.4285922050 * m + 0.4505937099 * s) * 1e6) AS BIGINT) AS a,
-  CAST(round((0.0259040371 * l + 0.7827717662 * m - 0.8086757660 * s) * 1e6) AS BIGINT) AS b, CAST(n AS BIGINT) AS w FROM lms"""
+_LMS = f""", lin AS (SELECT image_id, bin, n, {_LINEAR} FROM (SELECT image_id, bin, CAST(n AS DOUBLE) AS n, sum_r, sum_g, sum_b FROM hist)),
+lms AS (SELECT image_id, bin, n, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS l, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS m, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS s FROM lin)"""
+_LAB = {"l": "0.2104542553 * l + 0.7936177850 * m - 0.0040720468 * s", "a": "1.9779984951 * l - 2.4285922050 * m + 0.4505937099 * s", "b": "0.0259040371 * l + 0.7827717662 * m - 0.8086757660 * s"}
+ORACLE_SQL["oklab_means"] = _HISTOGRAM.format(source=_EVENTS, limit=64) + _LMS + " SELECT image_id, bin, " + ", ".join(f"CAST(round(({e}) * 1e6) AS BIGINT) AS {c}" for c, e in _LAB.items()) + ", CAST(n AS BIGINT) AS w FROM lms"
+
+
+def _extraction(k: int) -> str:
+    """CTEs ending in `found`: (image_id, idx, r, g, b). Each step splits one cluster of each image; eigenvalues by the cubic's cosine form, axes by a cross product of rows."""
+    out = _HISTOGRAM.format(source=_EVENTS, limit=1 << 18) + _LMS + ", c0 AS MATERIALIZED (SELECT image_id, bin, " + ", ".join(f"{e} AS {c}" for c, e in _LAB.items()) + ", n AS w, 0 AS c FROM lms)"
+    for i in range(1, k):
+        pairs = ", ".join(f"sum(t.w * (t.{x} - m{x}) * (t.{y} - m{y})) AS {x}{y}" for x, y in ("ll", "la", "lb", "aa", "ab", "bb"))
+        crosses = ("la * ab - lb * (aa - v), lb * la - (ll - v) * ab, (ll - v) * (aa - v) - la * la", "la * (bb - v) - lb * ab, lb * lb - (ll - v) * (bb - v), (ll - v) * ab - la * lb", "(aa - v) * (bb - v) - ab * ab, ab * lb - la * (bb - v), la * ab - (aa - v) * lb")
+        out += f""",
+m{i} AS MATERIALIZED (SELECT image_id, c, count(*) AS n, sum(w) AS total, sum(w * l) / sum(w) AS ml, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM c{i - 1} GROUP BY image_id, c),
+s{i} AS (SELECT t.image_id, t.c, n, total, ml, ma, mb, {pairs} FROM c{i - 1} t JOIN m{i} m ON t.image_id = m.image_id AND t.c = m.c GROUP BY ALL),
+q{i} AS (SELECT *, (ll + aa + bb) / 3 AS q FROM s{i} WHERE n > 1),
+p{i} AS (SELECT *, sqrt((pow(ll - q, 2) + pow(aa - q, 2) + pow(bb - q, 2) + 2 * (la * la + lb * lb + ab * ab)) / 6) AS p FROM q{i}),
+v{i} AS (SELECT *, q + 2 * p * cos(acos(greatest(-1.0, least(1.0, ((ll - q) * ((aa - q) * (bb - q) - ab * ab) - la * (la * (bb - q) - ab * lb) + lb * (la * ab - (aa - q) * lb)) / (2 * p * p * p)))) / 3) AS v FROM p{i} WHERE p > 0),
+u{i} AS (SELECT image_id, c, ml, ma, mb, list_sort([{", ".join(f"{{'n': list_sum(list_transform([{x}], lambda z: z * z)), 'u': [{x}]}}" for x in crosses)}], 'DESC')[1].u AS u
+  FROM v{i} WHERE v > 1e-14 * total QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, c) = 1),
+w{i} AS MATERIALIZED (SELECT image_id, c, ml, ma, mb, u, CASE WHEN list_max(u) >= -list_min(u) THEN 1 ELSE -1 END AS sign FROM u{i}),
+c{i} AS MATERIALIZED (SELECT t.image_id, t.bin, t.l, t.a, t.b, t.w, CASE WHEN ((t.l - ml) * u[1] + (t.a - ma) * u[2] + (t.b - mb) * u[3]) * sign >= 0 THEN {i} ELSE t.c END AS c FROM c{i - 1} t LEFT JOIN w{i} p ON t.image_id = p.image_id AND t.c = p.c)"""
+    linear = ("4.0767416621 * l - 3.3077115913 * m + 0.2309699292 * s", "-1.2684380046 * l + 2.6097574011 * m - 0.3413193965 * s", "-0.0041960863 * l - 0.7034186147 * m + 1.7076147010 * s")
+    value = "CAST(greatest(0, least(255, floor(CASE WHEN {0} <= 0.0031308 THEN {0} * 12.92 ELSE 1.055 * pow({0}, 1 / 2.4::DOUBLE) - 0.055 END * 255.0 + 0.5))) AS INTEGER) AS {0}"
+    return out + f""",
+mean AS (SELECT image_id, c, sum(w * l) / sum(w) AS l, sum(w * a) / sum(w) AS a, sum(w * b) / sum(w) AS b FROM c{k - 1} GROUP BY image_id, c),
+cone AS (SELECT image_id, c, pow(l + 0.3963377774 * a + 0.2158037573 * b, 3) AS l, pow(l - 0.1055613458 * a - 0.0638541728 * b, 3) AS m, pow(l - 0.0894841775 * a - 1.2914855480 * b, 3) AS s FROM mean),
+light AS (SELECT image_id, c, {", ".join(f"{e} AS {c}" for e, c in zip(linear, "rgb", strict=True))} FROM cone),
+found AS (SELECT image_id, CAST(c AS INTEGER) AS idx, {", ".join(value.format(c) for c in "rgb")} FROM light)"""
+
+
+ORACLE_SQL["extract_palette_8"] = _extraction(8) + " SELECT * FROM found"
+ORACLE_SQL["apply_extracted"] = _extraction(8) + " SELECT px.image_id, px.y, px.x, CAST(min(((px.r - f.r) * (px.r - f.r) + (px.g - f.g) * (px.g - f.g) + (px.b - f.b) * (px.b - f.b)) * 1000 + f.idx) % 1000 AS INTEGER) AS idx FROM px JOIN found f ON f.image_id = px.image_id GROUP BY px.image_id, px.y, px.x"
 ORACLE_SQL["image_moments"] = f"WITH {_EVENTS} SELECT image_id, count(*) AS w, " + ", ".join(f"round(avg({c}), 3) AS mean_{c}" for c in "rgb") + ", " + ", ".join(f"round(sum({x} * {y}) - sum({x}) * sum({y}) / CAST(count(*) AS DOUBLE), 3) AS cov_{x}_{y}" for x, y in ("rr", "rg", "rb", "gg", "gb", "bb")) + " FROM px GROUP BY image_id"
 
 ORACLE_SQL["upsample_2x"] = f"WITH {_EVENTS}, s AS (SELECT unnest([0, 1]) AS k) SELECT image_id, CAST(2 * y + j.k AS INTEGER) AS y, CAST(2 * x + i.k AS INTEGER) AS x, r, g, b, 255 AS a FROM px, s AS j, s AS i"
@@ -143,6 +173,6 @@ ORACLE_SQL["preset_colours"] = f"WITH {_VALUES} SELECT name, ord, idx, key, " +
 ORACLE_SQL["preset_catalogue"] = f"WITH {_VALUES} SELECT DISTINCT ord, name, array_to_string(list_transform(string_split(name, '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS display FROM p"
 ORACLE_SQL["preset_totals"] = f"WITH {_VALUES} SELECT count(DISTINCT name) AS n_palettes, count(*) AS n_colours, CAST(min(len(name)) AS INTEGER) AS shortest, CAST(max(len(name)) AS INTEGER) AS longest FROM p"
 ORACLE_SQL["ditherer_catalogue"] = "SELECT * FROM (VALUES ('none', 'No dithering', 1, 0, 0, 0), ('fs', 'Floyd-Steinberg', 16, 4, 16, 1), ('atkinson', 'Atkinson', 8, 6, 6, 2), ('jjn', 'Jarvis, Judice, and Ninke', 48, 12, 48, 3), ('burkes', 'Burkes', 32, 7, 32, 4), ('sierra32', 'Sierra', 32, 10, 32, 5), ('sierra4', 'Sierra Lite', 4, 3, 4, 6)) AS d(name, display, divisor, n_taps, weight, ord)"
-ORACLE_SQL["nibble_pack"] = f"WITH {_EVENTS}, pal AS (SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS idx, n_nationkey * 53 % 256 AS pr, n_nationkey * 97 % 256 AS pg, n_nationkey * 193 % 256 AS pb FROM nation) WHERE idx < 16), {_BEST} SELECT image_id, y, CAST(x // 2 AS INTEGER) AS k, CAST(sum(CASE WHEN x % 2 = 0 THEN idx * 16 ELSE idx END) AS INTEGER) AS byte FROM px JOIN best USING (r, g, b) WHERE x < 15 GROUP BY image_id, y, x // 2"
+ORACLE_SQL["nibble_pack"] = f"WITH {_EVENTS}, pal AS (SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS idx, n_nationkey * 53 % 256 AS pr, n_nationkey * 97 % 256 AS pg, n_nationkey * 193 % 256 AS pb FROM nation) WHERE idx < 16), {_BEST} SELECT image_id, CAST(p // 15 AS INTEGER) AS y, CAST(p % 15 // 2 AS INTEGER) AS k, CAST(sum(CASE WHEN p % 15 % 2 = 0 THEN idx * 16 ELSE idx END) AS INTEGER) AS byte FROM (SELECT image_id, 16 * y + x AS p, idx FROM px JOIN best USING (r, g, b)) GROUP BY ALL"
 ORACLE_SQL["png_rgb"] = f"WITH {_EVENTS} SELECT image_id, 16 AS width, 16 AS height, string_agg(printf('%02x%02x%02xff', r, g, b), '' ORDER BY y, x) AS pixels FROM px GROUP BY image_id"
 ORACLE_SQL["png_indexed"] = _NEAREST.format(source=_EVENTS) + " SELECT image_id, 16 AS width, 16 AS height, string_agg(printf('%02x%02x%02xff', pr, pg, pb), '' ORDER BY y, x) AS pixels FROM px JOIN best USING (r, g, b) JOIN pal USING (idx) GROUP BY image_id"

@@ -1,6 +1,6 @@
 """The registered queries of the palette operators, over images that are derived from the tables with integer arithmetic.
 
-events and orders make tiles of 16 x 16 pixels (whole ones only), embeddings rows of grey values, nation a palette of 25 colours.
+events and orders make tiles of 16 x 16 pixels, the last one filled up with black, lineitem colours without places, nation a palette of 25 colours.
 """
 
 from __future__ import annotations
@@ -28,11 +28,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, key: str, r, g, b) -> DataFrame:
-    """Pixels of the whole tiles of a table with dense keys."""
-    whole = rows.count() // TILE**2
+    """Pixels of all rows of a table with dense keys from 0, in tiles; the last tile is filled up with black."""
+    last = rows.agg(F.max(key)).first()[0]
     at = F.col(key) % TILE**2
-    found = rows.select(F.floor(F.col(key) / TILE**2).cast("long").alias("image_id"), F.floor(at / TILE).cast("int").alias("y"), (at % TILE).cast("int").alias("x"), *((c % 256).cast("int").alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))), F.lit(255).alias("a"))
-    return found.where(F.col("image_id") < whole)
+    place = (F.floor(F.col(key) / TILE**2).cast("long").alias("image_id"), F.floor(at / TILE).cast("int").alias("y"), (at % TILE).cast("int").alias("x"))
+    found = rows.select(*place, *((c % 256).cast("int").alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))), F.lit(255).alias("a"))
+    if last is None:
+        return found
+    rest = rows.sparkSession.range(last + 1, (last // TILE**2 + 1) * TILE**2, numPartitions=1).withColumnRenamed("id", key)
+    return found.union(rest.select(*place, *(F.lit(0).alias(c) for c in "rgb"), F.lit(255).alias("a")))
 
 
 def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +199,10 @@ def ditherer_catalogue(spark, d):
 
 
 def nibble_pack(spark, d):
-    return pack_nibble_rows(nearest(event_pixels(spark, d), nation_palette(spark, d)[:16]).where("x < 15").select("image_id", "y", "x", "idx"))
+    """The tiles in rows of 15 pixels, an odd number, and one more, in the first 16 colours: a nibble holds no other index."""
+    at = F.col("y") * TILE + F.col("x")
+    found = nearest(event_pixels(spark, d), nation_palette(spark, d)[:16])
+    return pack_nibble_rows(found.select("image_id", F.floor(at / (TILE - 1)).cast("int").alias("y"), (at % (TILE - 1)).alias("x"), "idx"))
 
 
 def png_rgb(spark, d):

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from ..model import IMAGES, Colours, check_palette, to_array
 from ..operators.dither import dither_packed
-from . import png
+from . import png, rasters
+
+#: Encoders of RGB files by the ending of their names.
+FORMATS = {"png": png.encode_rgb, "bmp": rasters.encode_bmp, "ppm": rasters.encode_ppm}
 
 
 def decode_files(files: DataFrame) -> DataFrame:
@@ -67,15 +70,18 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return own.unionByName(rest).select("path", F.xxhash64("path").alias("image_id"), "width", "height", "pixels")
 
 
-def encode_images(images: DataFrame) -> DataFrame:
-    """(image_id, png) of packed images as RGB files; alpha is dropped."""
+def encode_images(images: DataFrame, form: str = "png") -> DataFrame:
+    """(image_id, and a column named after the form) of packed images as RGB files: png, bmp or ppm; alpha is dropped."""
+    if form not in FORMATS:
+        raise ValueError(f"no image format {form!r}; there are {', '.join(FORMATS)}")
+    encode = FORMATS[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [png.encode_rgb(to_array(*x)) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["image_id", "png"])
+            files = [encode(to_array(*x)) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["image_id", form])
 
-    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "image_id long, png binary")
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, f"image_id long, {form} binary")
 
 
 def encode_indexed_images(indexed: DataFrame, palette: Colours) -> DataFrame:

@@ -32,7 +32,10 @@ def _lines(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def presets(spark: SparkSession, path: str | None = None, *, strict: bool = True) -> DataFrame:
-    """(name, ord, idx, key, r, g, b) of a preset file, or of the built-in palettes. A strict read of a bad file raises ValueError."""
+    """(name, ord, idx, key, r, g, b) of a preset file, or of the built-in palettes. A strict read of a bad file raises ValueError.
+
+    A palette without colours is one row of nulls after ord where the read is strict, and left out where it is lenient.
+    """
     lines = _lines(spark, path)
     if strict:
         if path is not None and spark.read.text(path, wholetext=True).where(F.col("value").endswith("\n")).isEmpty():
@@ -44,23 +47,30 @@ def presets(spark: SparkSession, path: str | None = None, *, strict: bool = True
     named = lines.where(F.instr("line", ":") > 0).select("ord", F.substring_index("line", ":", 1).alias("name"), F.expr("substring(line, instr(line, ':') + 1)").alias("rest"))
     tokens = F.regexp_extract_all("rest", F.lit("[a-z0-9-]+=[0-9A-Fa-f]{6}"), F.lit(0)) if strict else F.filter(F.split("rest", r"\s+"), lambda t: t.rlike("=[0-9A-Fa-f]{6}$"))
     first = named.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("ord"))).where("nth = 1")
-    rows = first.select("name", "ord", F.posexplode(tokens).alias("idx", "token"))
+    rows = first.select("name", "ord", (F.posexplode_outer if strict else F.posexplode)(tokens).alias("idx", "token"))
     value = F.substring_index("token", "=", -1)
     channels = [F.conv(F.substring(value, 2 * k + 1, 2), 16, 10).cast("int").alias(c) for k, c in enumerate("rgb")]
     return rows.select("name", "ord", "idx", F.substring_index("token", "=", 1).alias("key"), *channels)
 
 
+def preset_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(name, ord, key, value): what a lenient read of a preset file leaves out for values that aren't six hex digits, of first and later lines of a name."""
+    named = _lines(spark, path).where(F.instr("line", ":") > 0).select(F.substring_index("line", ":", 1).alias("name"), "ord", F.expr("substring(line, instr(line, ':') + 1)").alias("rest"))
+    tokens = named.select("name", "ord", F.explode(F.split("rest", r"\s+")).alias("token")).where(F.col("token").contains("=") & ~F.col("token").rlike("=[0-9A-Fa-f]{6}$"))
+    return tokens.select("name", "ord", F.substring_index("token", "=", 1).alias("key"), F.expr("substring(token, instr(token, '=') + 1)").alias("value"))
+
+
 def preset_names(spark: SparkSession, path: str | None = None) -> list[str]:
     """Names in file order."""
     return [r.name for r in presets(spark, path).groupBy("name").agg(F.min("ord").alias("ord")).orderBy("ord").collect()]
 
 
 def preset(spark: SparkSession, name: str, path: str | None = None) -> Colours:
-    """The colours of a palette by its exact name."""
+    """The colours of a palette by its exact name; it may have none."""
     rows = presets(spark, path).where(F.col("name") == name).orderBy("idx").collect()
     if not rows:
         raise ValueError(f"unknown palette {name!r}; there are {', '.join(preset_names(spark, path))}")
-    return [(r.r, r.g, r.b) for r in rows]
+    return [(r.r, r.g, r.b) for r in rows if r.idx is not None]
 
 
 def display_name(name):
@@ -71,5 +81,5 @@ def display_name(name):
 
 def preset_sizes(presets: DataFrame) -> DataFrame:
     """(n_palettes, n_colours, shortest, longest): totals and name lengths."""
-    per = presets.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    per = presets.groupBy("name").agg(F.count("idx").alias("n"))
     return per.agg(F.count(F.lit(1)).alias("n_palettes"), F.sum("n").alias("n_colours"), F.min(F.length("name")).alias("shortest"), F.max(F.length("name")).alias("longest"))

@@ -81,7 +81,8 @@ def test_presets(spark, tmp_path):
             presets.preset(spark, name)
     f = tmp_path / "p.txt"
     f.write_text("b: x=000001\na: x=000002 y=000003  \nb: x=ffffff\nempty:\n")
-    assert presets.preset(spark, "b", str(f)) == [(0, 0, 1)] and presets.preset_names(spark, str(f)) == ["b", "a"]
+    assert presets.preset(spark, "b", str(f)) == [(0, 0, 1)] and presets.preset_names(spark, str(f)) == ["b", "a", "empty"]
+    assert presets.preset(spark, "empty", str(f)) == [] and presets.preset_sizes(presets.presets(spark, str(f))).first()[:2] == (3, 3)
     for bad in ("noline\n", "\n", "a: x=00000\n", "A: x=000000\n", "a: =000000\n", "a: x=00000g\n", "a:" + " x=000000" * 257 + "\n"):
         f.write_text("ok: x=000000\n" + bad)
         with pytest.raises(ValueError, match="line 2"):
@@ -95,6 +96,7 @@ def test_presets(spark, tmp_path):
     f.write_text("no colon\nsome-Name here: x=000000 junk y=zz z=0000ff\n: \n")
     rows = presets.presets(spark, str(f), strict=False).orderBy("idx").collect()
     assert [(r.key, r.b) for r in rows] == [("x", 0), ("z", 255)]
+    assert [tuple(r) for r in presets.preset_faults(spark, str(f)).collect()] == [("some-Name here", 1, "y", "zz")]
     shown = presets.presets(spark).select(presets.display_name(presets.F.col("name")).alias("d")).distinct().collect()
     assert "Greys 4" in {r.d for r in shown}
 
@@ -129,3 +131,17 @@ def test_cli(spark, picture, tmp_path, capsys):
     for usage in (["apply", "a", "b", "-p", "x", "-c", "000000"], ["apply", "a", "b", "-p", "x", "-k", "3"], ["apply", "a", "b", "-k", "0"], ["apply", "a", "b", "-k", "257"], ["apply", "a", "b", "-d", "other"], []):
         with pytest.raises(SystemExit):
             cli.run(spark, usage)
+
+
+def test_cli_formats(spark, picture, tmp_path):
+    """The same pixels in every format; BMP by Spark's own reader."""
+    from huewright.sources.images import read_images
+
+    files = {form: tmp_path / f"out.{form}" for form in ("png", "bmp", "ppm")}
+    for f in files.values():
+        assert cli.run(spark, ["apply", str(picture), str(f), "-c", "102030,ff8000,00ffff"]) == 0
+    want = png.decode(files["png"].read_bytes())
+    assert len({tuple(p) for p in want.reshape(-1, 4).tolist()}) == 3
+    assert files["ppm"].read_bytes() == b"P6\n13 9\n255\n" + want[..., :3].tobytes()
+    row = read_images(spark, str(files["bmp"])).first()
+    assert (row.width, row.height, row.pixels) == (13, 9, want.tobytes())
