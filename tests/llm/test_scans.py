@@ -1,5 +1,8 @@
 """Operators that read each text by itself, against brute force on a whole small table and on awkward rows."""
 
+import re
+from math import exp, isclose
+
 import pytest
 
 from huewright.llm import decontaminate, licenses, mixing, queries, repetition, secrets, toxicity
@@ -145,6 +148,29 @@ def test_toxicity(spark, small):
     assert odd.count() == toxicity.toxicity(odd, labels.limit(0)).where("score between 0 and 1 and predicted = 0").count()
 
 
+def test_noisy_or():
+    """Scores and offending sentences of a fixed model against the definition, sentence by sentence."""
+    weights, bias = {b"vile": 3.0, b"vile****": 1.0, b"vilest": -0.5, b"kind": -2.0, b"grub": 2.5}, -3.0
+    texts = ["", "kind words. all of them", "Vile! kind vile\nthe vilest grub é. grub, grub", "grub " * 2000 + "é vile. end", None, "... \n!"]
+    for text in texts:
+        spans, clean, at = [], 1.0, 0
+        for m in [*re.finditer(r"[.!?\n]+", text or ""), None]:
+            end = m.start() if m else len(text or "")
+            words = brute.alnum((text or "")[at:end])
+            if words:
+                z = bias + sum(weights.get(w.encode(), 0) + sum(weights.get(w.encode()[:n] + b"*" * n, 0) for n in toxicity.STEMS if n < len(w.encode())) for w in words)
+                p = 1 / (1 + exp(-min(50, z)))
+                clean *= 1 - p
+                spans.append((at, end, p))
+            at = m.end() if m else end
+        raw, made = None if text is None else text.encode(), toxicity._Words(weights)
+        assert isclose(toxicity._probability(raw, made, bias, None), 1 - clean, abs_tol=1e-9)
+        if spans:
+            found = [(x["start"], x["end"], round(x["score"], 9)) for x in toxicity._offending(raw, made, bias, 0.5)]
+            worst = [x for x in spans if x[2] >= 0.5] or [max(spans, key=lambda x: (x[2], x[0]))]
+            assert found == [(a, b, round(p, 9)) for a, b, p in worst]
+
+
 def test_mix(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size for r in rows)
