@@ -10,11 +10,14 @@ partners are in the same or the next band, and m is fixed for a band and the nex
    with each of its partners in one of the others, so a pair that no small bucket shows is a pair of hot sets.
 2. A candidate is kept if parity sketches (512 bits, each toggled by the shingles that hash to it) don't show more than H differences. Each set is
    verified with its nearest candidate, and each hot set with the most central set of its most frequent segment; the links found are joined to
-   components. Only candidates in different components are verified after that: links inside a component can't change it.
+   components. Hot sets then go on to meet one set of another component for each of some of their segments, as long as that joins components, so a
+   large group is one component before its sets are compared. Only candidates in different components are verified after that: links inside a
+   component can't change it.
 3. Hot sets are indexed by whole segments and by their one-deletion neighbourhoods, of which only those count that sets of different components
    share. Each set allots its H + 1 units to segments: 0 skips a segment, 1 looks for equal ones, 2 looks for those that differ in up to one shingle.
    The units are chosen at the least cost, the number of index entries that they would meet. So a set whose own passages fill enough segments
-   never meets the thousands of others that share the rest. Of two sets only the one of the lower cost looks for the other.
+   never meets the thousands of others that share the rest. Of two sets only the one of the smaller component looks for the other (of equal ones,
+   the one of the lower cost), so the largest component only stands in the index, and there only at the entries that others look up.
 
 Exact copies are one set throughout: a set is named by a 64-bit hash of its shingles, and shingles by 64-bit hashes of their words. For n
 distinct sets two share a name with probability of about n**2 / 2**65. Verification compares whole sets.
@@ -424,6 +427,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _united(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links (a, b): only the components that these touch are joined anew."""
+    ends = _labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a != b")
+    over = components(ends)
+    new = over.select(F.col("name").alias("label"), F.col("label").alias("over"))
+    old = labels.join(new, "label", "left").select("name", F.coalesce("over", "label").alias("label"))
+    return written(old.union(over.join(labels, "name", "left_anti").select("name", "label")))
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataFrame:
     """rows with the label of a name; a name without links is its own."""
     found = labels.select(F.col("name").alias(column), F.col("label").alias(to))
@@ -449,13 +461,22 @@ def _wholes(hot_sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(hot_sets.select("name", "shingles"), run, "key long, name long")
 
 
+def _ranked(hot_sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Hot sets with label and rank, the number of hot sets in their component; the largest component's rank, which no other has."""
+    rows = _labelled(hot_sets, labels, "name", "label")
+    counts = written(rows.groupBy("label").agg(F.count(F.lit(1)).alias("rank")))
+    top = counts.agg(F.max(F.struct("rank", "label")).alias("top")).select("top.rank", "top.label").first()
+    most = (top.rank or 0) + 1
+    return rows.join(counts, "label").withColumn("rank", F.when(F.col("label") == top.label, F.lit(most)).otherwise(F.col("rank"))), most
+
+
 def _neighbourhoods(hot_sets: DataFrame, percent: int) -> DataFrame:
-    """(key, name, label, n, scheme, segment, whole, units): the whole segments of hot sets and those without one shingle."""
+    """(key, name, label, rank, n, scheme, segment, whole, units): the whole segments of hot sets and those without one shingle."""
 
     def run(batch: pa.RecordBatch) -> dict:
         bands = Bands(percent)
         parts: list[tuple] = []
-        for name, raw, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for name, raw, label, rank in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             s = np.frombuffer(raw, np.uint64)
             mixed = _mix(s + _ODD[0])
             for scheme, most in bands.of(len(s)):
@@ -466,17 +487,19 @@ def _neighbourhoods(hot_sets: DataFrame, percent: int) -> DataFrame:
                 of = np.repeat(number, np.diff(np.append(starts, len(s))))  # segment of each shingle
                 segment = np.concatenate([np.arange(m), of])
                 key = _key(scheme, m, segment, np.concatenate([content, content[of] - mixed]))
-                parts.append((key, np.full(len(key), name), np.full(len(key), label), np.full(len(key), len(s), np.int32), np.full(len(key), scheme, np.int32), segment.astype(np.int32), np.arange(len(key)) < m, np.full(len(key), m, np.int32)))
-        names = ("key", "name", "label", "n", "scheme", "segment", "whole", "units")
+                same = lambda x, kind=np.int64: np.full(len(key), x, kind)  # noqa: B023, E731
+                parts.append((key, same(name), same(label), same(rank), same(len(s), np.int32), same(scheme, np.int32), segment.astype(np.int32), np.arange(len(key)) < m, same(m, np.int32)))
+        names = ("key", "name", "label", "rank", "n", "scheme", "segment", "whole", "units")
         return {c: pa.array(np.concatenate([p[k] for p in parts])) if parts else [] for k, c in enumerate(names)}
 
-    return map_rows(hot_sets.select("name", "shingles", "label"), run, "key long, name long, label long, n int, scheme int, segment int, whole boolean, units int", 500)
+    return map_rows(hot_sets.select("name", "shingles", "label", "rank"), run, "key long, name long, label long, rank long, n int, scheme int, segment int, whole boolean, units int", 500)
 
 
-def _crossing(neighbourhoods: DataFrame, broadcast_limit: int) -> DataFrame:
-    """The neighbourhood rows at keys that sets of different components share: with `full` and `less`, the numbers of whole and one-deletion entries there."""
-    counts = neighbourhoods.groupBy("key").agg(F.sum(F.col("whole").cast("int")).alias("full"), F.sum((~F.col("whole")).cast("int")).alias("less"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return neighbourhoods.join(few(written(counts.where("full > 0 and lo < hi").select("key", "full", "less")), broadcast_limit), "key")
+def _crossing(hot_sets: DataFrame, most: int, percent: int, broadcast_limit: int) -> DataFrame:
+    """The neighbourhood rows of the sets that look for others, at keys that sets of different components share: with `full` and `less`, the numbers of whole and one-deletion entries there."""
+    counts = _neighbourhoods(hot_sets, percent).groupBy("key").agg(F.sum(F.col("whole").cast("int")).alias("full"), F.sum((~F.col("whole")).cast("int")).alias("less"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    crossing = few(written(counts.where("full > 0 and lo < hi").select("key", "full", "less")), broadcast_limit)
+    return _neighbourhoods(hot_sets.where(F.col("rank") < most), percent).join(crossing, "key")
 
 
 def _allotted(rows: DataFrame) -> DataFrame:
@@ -503,20 +526,25 @@ def _allotted(rows: DataFrame) -> DataFrame:
     return each.withColumn("total", F.sum("cost").over(Window.partitionBy("name", "scheme")))
 
 
-def _across(rows: DataFrame, allotted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _across(hot_sets: DataFrame, rows: DataFrame, allotted: DataFrame, classes: DataFrame, percent: int, broadcast_limit: int) -> DataFrame:
     """(a, b) of hot sets in different components that an allotment shows and whose sketches allow a link."""
-    index = rows.select("key", "name", "label", "n", "scheme", "segment", "whole")
-    index = index.join(allotted.select("name", "scheme", "total").distinct(), ["name", "scheme"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    index = written(index.join(classes.select("name", *SKETCHES), "name"))
-    probes = index.join(allotted.select("name", "scheme", "segment", "unit"), ["name", "scheme", "segment"]).where("whole or unit = 2")
+    columns = ("key", "name", "label", "rank", "n", "whole", "total")
+    probes = rows.join(allotted.select("name", "scheme", "segment", "unit", "total"), ["name", "scheme", "segment"]).where("whole or unit = 2")
+    probes = written(probes.select(*columns, "unit").join(classes.select("name", *SKETCHES), "name"))
+    # A segment without one shingle answers only whole ones that are looked up so.
+    asked = few(written(probes.groupBy("key").agg(F.max(F.col("whole") & (F.col("unit") == 2)).alias("deep"))), broadcast_limit)
+    totals = allotted.select("name", "scheme", "total").distinct()
+    index = _neighbourhoods(hot_sets, percent).withColumnRenamed("key", "at").join(asked, (F.col("at") == F.col("key")) & (F.col("whole") | F.col("deep"))).join(totals, ["name", "scheme"], "left")
+    index = index.withColumn("total", F.coalesce("total", F.lit(0.0))).select(*columns).join(classes.select("name", *SKETCHES), "name")
     x, y = probes.alias("x"), index.alias("y")
+    order = lambda c: F.struct(F.col(f"{c}.rank"), F.col(f"{c}.total").cast("double"), F.col(f"{c}.name"))
     found = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.whole") | F.col("y.whole"))
         & (F.col("y.whole") | (F.col("x.unit") == 2))
         & (F.col("x.label") != F.col("y.label"))
-        & ((F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.name") < F.col("y.name"))))
+        & (order("x") < order("y"))
         & _size_fits(percent, F.col("x.n"), F.col("y.n"))
         & _may_link(percent, F.col("x.n"), F.col("y.n"), _difference("x", "y")),
     )
@@ -524,13 +552,43 @@ def _across(rows: DataFrame, allotted: DataFrame, classes: DataFrame, percent: i
     return found.select(a.alias("a"), b.alias("b")).distinct()
 
 
-def _central(wholes: DataFrame) -> DataFrame:
-    """(a, b): each hot set and the most central set of its most frequent segment, that is the one whose segments are shared most."""
+def _shared(wholes: DataFrame) -> DataFrame:
+    """(key, name, full, popularity) of the whole segments that several hot sets share: full sets have the segment; a set's popularity is the sum of its segments' numbers."""
     whole = written(wholes.join(wholes.groupBy("key").agg(F.count(F.lit(1)).alias("full")).where("full > 1"), "key"))
-    popular = whole.groupBy("name").agg(F.sum("full").alias("popularity"), F.max(F.struct("full", "key")).alias("top"))
-    centre = whole.select("key", "name").join(popular.select("name", "popularity"), "name").groupBy("key").agg(F.max(F.struct("popularity", "name")).alias("centre"))
-    pairs = popular.select("name", F.col("top.key").alias("key")).join(centre, "key").select("name", F.col("centre.name").alias("other")).where("name != other")
-    return pairs.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    return written(whole.join(whole.groupBy("name").agg(F.sum("full").alias("popularity")), "name").select("key", "name", "full", "popularity"))
+
+
+def _central(shared: DataFrame) -> DataFrame:
+    """(a, b): each hot set and the most central set of its most frequent segment, that is the one whose segments are shared most."""
+    top = shared.groupBy("name").agg(F.max(F.struct("full", "key")).alias("top")).select("name", F.col("top.key").alias("key"))
+    centre = shared.groupBy("key").agg(F.max(F.struct("popularity", "name")).alias("centre"))
+    pairs = top.join(centre, "key").select("name", F.col("centre.name").alias("other")).where("name != other")
+    return _ordered(pairs, F.col("other"))
+
+
+def _ordered(rows: DataFrame, other: Column) -> DataFrame:
+    """(a, b) of name and the other one, each pair once."""
+    return rows.select(F.least("name", other).alias("a"), F.greatest("name", other).alias("b")).distinct()
+
+
+def _meetings(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each hot set, for each of its shared segments, with one set there of another component: the most central one at turn 0, then one drawn by a hash.
+
+    A segment names two sets of different components, by aggregates alone, so these are no more pairs than there are shared segments.
+    """
+    rows = _labelled(shared, labels, "name", "label")
+    rank = F.col("popularity") if turn == 0 else F.xxhash64("key", "name", F.lit(turn))
+    one = F.struct(rank.alias("rank"), "name", "label")
+    topped = rows.join(rows.groupBy("key").agg(F.max(one).alias("top")), "key")
+    elsewhere = F.col("label") != F.col("top.label")
+    met = topped.join(topped.where(elsewhere).groupBy("key").agg(F.max(one).alias("second")), "key")
+    return _ordered(met, F.when(elsewhere, F.col("top.name")).otherwise(F.col("second.name")))
+
+
+def _nearest(near: DataFrame) -> DataFrame:
+    """(a, b): each set's nearest candidate of the (a, b, d)."""
+    ends = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("of"))
+    return ends.groupBy("of").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
 def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80, small: int = 40, broadcast_limit: int = 2_000_000, bucket_keys: int = 1_000_000) -> DataFrame:
@@ -558,18 +616,25 @@ def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     sets = written(_sets(rows, classes, wanted, repeated, n, id_column, text_column, broadcast_limit))
     hot_sets, wide = sets.where("hot"), written(_wide(sets))
 
-    ends = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("of"))
-    nearest = ends.groupBy("of").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    centres = _sketched(_central(_wholes(hot_sets, percent)), classes, percent).select("a", "b")
-    links = written(_verified(nearest.union(centres).distinct(), sets, wide, percent, broadcast_limit))
-    labels = components(links)
+    shared = _shared(_wholes(hot_sets, percent))
+    centres = _sketched(_central(shared), classes, percent).select("a", "b")
+    labels = components(written(_verified(_nearest(near).union(centres).distinct(), sets, wide, percent, broadcast_limit)))
+    n_hot = joined = hot_sets.count()
+    turn = 0
+    while joined and 50 * joined >= n_hot:  # ends where a turn joins few sets: the rest is step 3's
+        met = _sketched(_meetings(shared, labels, turn), classes, percent)
+        links = written(_verified(_nearest(met), sets, wide, percent, broadcast_limit))
+        turn, joined = turn + 1, links.count()
+        labels = _united(labels, links) if joined else labels
 
     rest = _labelled(_labelled(near.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la != lb").select("a", "b")
-    around = written(_crossing(_neighbourhoods(_labelled(hot_sets, labels, "name", "label"), percent), broadcast_limit))
+    hot_sets, most = _ranked(hot_sets, labels)
+    around = written(_crossing(hot_sets, most, percent, broadcast_limit))
     allotted = written(_allotted(around))
-    more = written(_verified(rest.union(_across(around, allotted, classes, percent)).distinct(), sets, wide, percent, broadcast_limit))
+    across = _across(hot_sets, around, allotted, classes, percent, broadcast_limit)
+    more = written(_verified(rest.union(across).distinct(), sets, wide, percent, broadcast_limit))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = _united(labels, more)
     label = _labelled(classes.select("name", "first"), labels, "name", "label")
     firsts = label.groupBy("label").agg(F.min("first").alias("component"))
     of_name = label.join(firsts, "label").select("name", "component")
