@@ -88,3 +88,15 @@ def test_components(spark):
         root[q] = p
     got = {r.name: r.label for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_united(spark):
+    """Further links join the components that they touch, names without links before included; the others stay."""
+    rng = random.Random(9)
+    first = [(k, k + 1) for k in range(50, 70)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(12)]
+    further = [(rng.randrange(48), rng.randrange(48)) for _ in range(10)] + [(200, 201), (60, 201)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    got = {r.name: r.label for r in jaccard._united(jaccard.components(frame(first)), frame(further)).collect()}
+    want = {r.name: r.label for r in jaccard.components(frame(first + further)).collect()}
+    loops = {a for a, b in further if a == b}  # a link to itself names nothing new
+    assert {k: v for k, v in got.items()} == {k: v for k, v in want.items() if k in got} and want.keys() - got.keys() <= loops
