@@ -208,7 +208,7 @@ def _index(docs: DataFrame, n: int, percent: int, small: int, text_column: str,
 
     def rows(names: list, keys: list, slots: list, counted: list, known: set) -> pa.RecordBatch:
         sizes = [len(k) for k in keys]
-        key, name, slot = np.concatenate(keys).view(np.uint64), np.repeat(np.array(names, np.int64), sizes), np.repeat(np.array(slots, np.int16), sizes)
+        key, name, slot = np.concatenate(keys).view(np.uint64), np.repeat(np.array(names, np.int64), sizes), np.repeat(np.array(slots, np.int32), sizes)
         order = np.argsort(key)
         starts, counts = _runs(key[order])
         much = counts > small
@@ -230,7 +230,7 @@ def _index(docs: DataFrame, n: int, percent: int, small: int, text_column: str,
         deal(1, bucket(key[whole]), name[whole], raw)
         deal(2, bucket(key[whole]), slot[whole], raw)
         deal(3, bucket(new), new, _packed)
-        hot = _counted(np.concatenate([name[gone], np.array([x[0] for x in counted], np.int64)]), np.concatenate([slot[gone], np.array([x[1] for x in counted], np.int16)]), np.concatenate([np.ones(gone.sum(), np.int32), np.array([x[2] for x in counted], np.int32)]))
+        hot = _counted(np.concatenate([name[gone], np.array([x[0] for x in counted], np.int64)]), np.concatenate([slot[gone], np.array([x[1] for x in counted], np.int32)]), np.concatenate([np.ones(gone.sum(), np.int32), np.array([x[2] for x in counted], np.int32)]))
         for at, x in zip((4, 5, 6), hot, strict=True):
             deal(at, hot[0] % buckets, x, raw)
         return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), *(pa.array([v[k] for v in parts.values()], pa.binary()) for k in range(len(_ENTRIES)))], schema=schema)
@@ -279,7 +279,7 @@ def _buckets(index: DataFrame, small: int) -> DataFrame:
     def gather(table: pa.Table) -> pa.Table:
         column = lambda c: [x for x in table.column(c).to_pylist() if x]
         numbers = lambda c, kind: np.frombuffer(b"".join(column(c)), kind)
-        keys, names, slots = _unpacked(column("keys")), numbers("names", np.int64), numbers("slots", np.int16)
+        keys, names, slots = _unpacked(column("keys")), numbers("names", np.int64), numbers("slots", np.int32)
         frequent = np.unique(_unpacked(column("frequent")))
         order = np.argsort(keys)
         k = keys[order]
@@ -293,7 +293,7 @@ def _buckets(index: DataFrame, small: int) -> DataFrame:
         starts, counts = _runs(k)
         much = (counts > small) | np.isin(k[starts], frequent)
         each = np.repeat(much, counts)
-        hot = _counted(np.concatenate([v[each], numbers("hot", np.int64)]), np.concatenate([w[each], numbers("hot_slots", np.int16)]), np.concatenate([np.ones(each.sum(), np.int32), numbers("hot_counts", np.int32)]))
+        hot = _counted(np.concatenate([v[each], numbers("hot", np.int64)]), np.concatenate([w[each], numbers("hot_slots", np.int32)]), np.concatenate([np.ones(each.sum(), np.int32), numbers("hot_counts", np.int32)]))
         lists = [hot[0].reshape(-1, 1)]
         for c in np.unique(counts[~much & (counts > 1)]).tolist():
             lists.append(np.unique(v[starts[~much & (counts == c)][:, None] + np.arange(c)], axis=0))

@@ -100,3 +100,11 @@ def test_united(spark):
     want = {r.name: r.label for r in jaccard.components(frame(first + further)).collect()}
     loops = {a for a, b in further if a == b}  # a link to itself names nothing new
     assert {k: v for k, v in got.items()} == {k: v for k, v in want.items() if k in got} and want.keys() - got.keys() <= loops
+
+
+def test_link_very_long_texts(spark):
+    """1.4 million different words: the segments that such a set can spare pass 16 bits."""
+    text = "concat_ws(' ', transform(sequence(1, 1400000), k -> concat('w', k)))"
+    docs = spark.sql(f"select 1L as doc_id, {text} as text union all select 2L, concat({text}, ' more') union all select 3L, 'a b c d e f'")
+    got = sorted(tuple(r) for r in jaccard.link(docs).collect())
+    assert got == [(1, 1399996, 1), (2, 1399997, 1), (3, 2, 3)]
