@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, hmm, jaccard, licenses, linededup, mixing, repetition, secrets, surrogates, toxicity
+from . import collocations, decontaminate, filter_audit, hmm, jaccard, licenses, linededup, mixing, repetition, secrets, surrogates, toxicity
 from .common import fold
 
 
@@ -64,9 +64,13 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard, op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_linededup, op8_toxicity, op9_repetition, op10_hmm, op11_filters)
+    for f in (op1_jaccard, op2_decontaminate, op3_secrets, op4_mix, op5_licenses, op6_surrogates, op7_linededup, op8_toxicity, op9_repetition, op10_hmm, op11_filters, op13_collocations)
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -188,3 +192,31 @@ SELECT part, o AS filter_order, CAST(k AS INT) AS step, CAST(kept AS BIGINT) AS
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM r
 """
+
+# All phrases of up to five words, cut out of pieces of text; their parts are looked up among them.
+ORACLE_SQL["op13_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+f AS (
+  SELECT lang, phrase, m, count(*) AS f
+  FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM s))
+  GROUP BY lang, phrase, m HAVING count(*) >= 100
+),
+c AS (SELECT lang, phrase, f AS a, m, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+k AS (SELECT lang, phrase, a, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : m], ' ') AS rest, k FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+x AS (
+  SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, n, CAST((1000 * CAST(a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.first JOIN f y ON y.lang = k.lang AND y.phrase = k.rest JOIN n ON n.lang = k.lang
+),
+best AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, a, array_to_string(w[i : i + j - 1], ' ') AS phrase
+  FROM (SELECT lang, a, w, m, j, unnest(range(1, m - j + 2)) AS i FROM (SELECT lang, a, w, m, unnest(range(2, m)) AS j FROM c WHERE m > 2))
+),
+over AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase),
+left_ AS (SELECT best.* FROM best LEFT JOIN over USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
