@@ -70,7 +70,7 @@ def labelled(labels: DataFrame, *, id_column: str = "doc_id", label_column: str
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     keep = {k: min(1.0, sample / 2 / n) for k, n in counts.items()}
     share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / (1 << 20)
-    limit = F.when(F.col("label") == 1, keep.get(1, 0.0)).otherwise(keep.get(0, 0.0))
+    limit = F.when(F.col("label") == 1, keep.get(1, 1.0)).otherwise(keep.get(0, 1.0))
     return rows.where(share < limit).withColumn("weight", 1 / limit)
 
 
