@@ -1,11 +1,10 @@
 """Collocations by suffix-sigma: phrases of up to max_n words that are more frequent than their parts lead one to expect.
 
-1. Words are counted by language. A word below min_count is in no candidate; a bitmap of fixed size, which may let some such words through but stops no other, tells
-   the tasks of the next step where a suffix can end.
-2. Every place where a piece of text goes on for two words or more gives one suffix of max_n words at most, cut before the first infrequent word. Equal ones are
-   counted together in each task. Suffixes are dealt by ranges of language, first word and what follows, so that a frequent first word is split among tasks, and sorted in
-   reverse order. One stack then counts all prefixes: what leaves it won't come again. Only the phrases that a task's first and last suffixes begin with can go on in
-   other tasks; their counts are added up afterwards.
+1. Words are counted by language, and pairs of neighbours by the hash of language and pair. A pair below min_count is in no candidate, so a bitmap of the hashes that reach
+   it, of fixed size, tells the tasks of the next step where a suffix can end: it may let some rare pairs through, but stops no other.
+2. Every place where a piece of text goes on with pairs of the bitmap gives one suffix of max_n words at most. Equal ones are counted together in each task. Suffixes are dealt by
+   ranges of language, first word and what follows, so that a frequent first word is split among tasks, and sorted in reverse order. One stack then counts all prefixes: what
+   leaves it won't come again. Only the phrases that a task's first and last suffixes begin with can go on in other tasks; their counts are added up afterwards.
 3. Candidates are cut after each word, and the counts of the parts are joined. Parts that hold a thousandth of all words (a few thousand of them at most) are sent
    to all tasks, so no hot part gathers in one. Longer candidates tell the phrases inside them, by a grouped maximum, that they are covered.
 """
@@ -21,45 +20,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import LOWER, map_rows, raw_texts, slices, written
+from .common import LOWER, raw_texts, slices, written
 
-# The bytes that end a piece. Full stops don't occur in words, so they stand for a word's NUL bytes, and NUL parts words.
+# The bytes that end a piece. Commas and full stops don't occur in words, so they stand for ends of pieces and for a word's NUL bytes; NUL parts words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-_TABLE = bytes(0x2E if x == 0 else 0x0A if x in _ENDS else 0x20 if x == 9 else LOWER[x] for x in range(256))
+_TABLE = bytes(0x2E if x == 0 else 0x2C if x in _ENDS else 0x20 if x == 9 else LOWER[x] for x in range(256))
 
-#: Bits of the bitmap of frequent words, and words or suffixes that a task counts before it passes them on.
-BITS, HELD = 1 << 26, 400_000
+#: Bits of the hashes of pairs and of their blocks' places; distinct words, or suffixes, and pairs that a task counts before it passes them on.
+BITS, PLACES = 28, 16
+HELD, HELD_PAIRS = 400_000, 4_000_000
 #: Parts with 1 / HOT of all words are sent to all tasks: at most HOT of each length.
 HOT = 1000
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
-def pieces(raw: bytes | None) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, A-Z in lower case; a word's NULs are full stops."""
-    for piece in (raw or b"").translate(_TABLE).split(b"\n"):
-        if words := piece.split():
-            yield words
+def tokens(raw: bytes) -> list[bytes]:
+    """The words of a text, A-Z in lower case, with a comma for each end of a piece; a word's NULs are full stops."""
+    return raw.translate(_TABLE).replace(b",", b" , ").split()
 
 
-def _place(lang: bytes, word: bytes) -> int:
-    return xxh3_64_intdigest(lang + b"\0" + word) & (BITS - 1)
+class _Hashes(dict):
+    """Words to odd hashes, ends of pieces to 0; at most 200,000 words are remembered."""
 
-
-class _Known(dict):
-    """Whether words of a language may be frequent, by the bitmap; the first 200,000 are remembered."""
-
-    def __init__(self, lang: bytes, bits: np.ndarray):
-        self.lang, self.bits = lang, bits
-
-    def __missing__(self, word: bytes) -> bool:
-        at = _place(self.lang, word)
-        x = bool(self.bits[at >> 3] >> (at & 7) & 1)
+    def __missing__(self, word: bytes) -> int:
+        x = 0 if word == b"," else xxh3_64_intdigest(word) | 1
         if len(self) < 200_000:
             self[word] = x
         return x
 
 
+def pair_hashes(words: list[bytes], lang: str, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word and the next one, whether both are of one piece), one entry less than there are words."""
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    x = (h[:-1] * _ODD[0] + np.uint64(xxh3_64_intdigest(lang.encode()))) ^ h[1:]
+    x = (x ^ (x >> np.uint64(31))) * _ODD[1]
+    return (x >> np.uint64(64 - BITS)).astype(np.int64), (h[:-1] != 0) & (h[1:] != 0)
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(lang, tokens) of texts: those of one language in a slice of a batch together, ends of pieces between them."""
+    for part in slices(batches, 200):
+        found: dict[str, list[bytes]] = {}
+        for lang, raw in zip(part.column(0).to_pylist(), raw_texts(part, "text"), strict=True):
+            if raw:
+                found.setdefault(lang, []).append(raw)
+        for lang, raws in found.items():
+            yield lang, tokens(b",".join(raws))
+
+
 def _counted(rows: DataFrame, count, name: str) -> DataFrame:
-    """(lang, name, n): what count(counter, lang, raw) finds in the (lang, text) of each task, counted together up to HELD entries."""
+    """(lang, name, n): what count(counter, lang, words) finds in the (lang, text) of each task, counted together up to HELD entries."""
     schema = f"lang string, {name} binary, n long"
 
     def batch(lang: str, counter: Counter) -> pa.RecordBatch:
@@ -68,10 +78,8 @@ def _counted(rows: DataFrame, count, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        for part in slices(batches, 200):
-            for lang, raw in zip(part.column(0).to_pylist(), raw_texts(part, "text"), strict=True):
-                if raw:
-                    count(held.setdefault(lang, Counter()), lang, raw)
+        for lang, words in _by_lang(batches):
+            count(held.setdefault(lang, Counter()), lang, words)
             if sum(map(len, held.values())) >= HELD:
                 yield from (batch(k, c) for k, c in held.items() if c)
                 held = {}
@@ -83,53 +91,84 @@ def _counted(rows: DataFrame, count, name: str) -> DataFrame:
 def word_counts(rows: DataFrame) -> DataFrame:
     """(lang, word, n): occurrences of each word of the (lang, text)."""
 
-    def count(counter: Counter, lang: str, raw: bytes) -> None:
-        for words in pieces(raw):
-            counter.update(words)
+    def count(counter: Counter, lang: str, words: list[bytes]) -> None:
+        counter.update(words)
+        counter.pop(b",", None)
 
     return _counted(rows, count, "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def frequent_bits(frequent: DataFrame) -> np.ndarray:
-    """The bitmap of the (lang, word): BITS / 8 bytes, whatever their number. Tasks pack it in blocks."""
-    width = 1 << 16
+def frequent_pairs(rows: DataFrame, min_count: int) -> np.ndarray:
+    """The bitmap of the hashes that min_count pairs or more have: 2^BITS bits, however many pairs there are.
 
-    def places(batch: pa.RecordBatch) -> dict:
-        at = [_place(a.encode(), b) for a, b in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)]
-        return {"block": [x // width for x in at], "at": [x % width for x in at]}
+    A task passes on its counts by blocks of hashes, no more than min_count of each; blocks are summed as they come, so a task holds the counts of one block.
+    """
+    kind, most = (np.uint8, 255) if min_count <= 255 else (np.uint32, min_count)
+    schema = "block int, places binary, counts binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        held: list[np.ndarray] = []
 
-    def pack(table: pa.Table) -> pa.Table:
-        bits = np.zeros(width, np.uint8)
-        bits[table.column("at").to_numpy()] = 1
-        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        def ready() -> pa.RecordBatch:
+            x, n = np.unique(np.concatenate(held), return_counts=True)
+            block = x >> PLACES
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            places, counts = (x & (1 << PLACES) - 1).astype(np.uint16), np.minimum(n, most).astype(kind)
+            ends = [*starts[1:].tolist(), len(x)]
+            parts = [(places[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(starts.tolist(), ends, strict=True)]
+            return pa.RecordBatch.from_pydict({"block": pa.array(block[starts], pa.int32()), "places": pa.array([p for p, _ in parts], pa.binary()), "counts": pa.array([c for _, c in parts], pa.binary())})
+
+        for lang, words in _by_lang(batches):
+            if len(words) > 1:
+                x, same = pair_hashes(words, lang, known)
+                held.append(x[same])
+            if sum(map(len, held)) >= HELD_PAIRS:
+                yield ready()
+                held.clear()
+        if any(map(len, held)):
+            yield ready()
 
-    found = map_rows(frequent.select("lang", "word"), places, "block int, at int").distinct().groupBy("block").applyInArrow(pack, "block int, bits binary")
-    out = np.zeros((BITS // width, width // 8), np.uint8)
-    for row in found.toLocalIterator():
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, np.zeros(1 << PLACES, np.int64)
+        ready = lambda: pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(sums >= min_count, bitorder="little").tobytes()], pa.binary())})
+        for batch in batches:
+            for b, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block and block is not None:
+                    yield ready()
+                    sums[:] = 0
+                block = b
+                sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, kind)
+        if block is not None:
+            yield ready()
+
+    blocks = rows.mapInArrow(run, schema).repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary")
+    out = np.zeros((1 << BITS - PLACES, 1 << PLACES - 3), np.uint8)
+    for row in blocks.toLocalIterator():
         out[row.block] = np.frombuffer(row.bits, np.uint8)
     return out.ravel()
 
 
 def suffixes(rows: DataFrame, bits: np.ndarray, max_n: int) -> DataFrame:
-    """(lang, suffix, n): suffixes of 2 to max_n words, cut before the first word that isn't in the bitmap; a suffix may come from several tasks."""
-    sent = rows.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes
-    known: dict[str, _Known] = {}
-
-    def count(counter: Counter, lang: str, raw: bytes) -> None:
-        if lang not in known:
-            known[lang] = _Known(lang.encode(), sent.value)
-        may = known[lang]
-        for words in pieces(raw):
-            run: list[bytes] = []
-            for word in words:
-                if may[word]:
-                    run.append(word)
-                else:
-                    if len(run) > 1:
-                        counter.update([b"\0".join(run[k : k + max_n]) for k in range(len(run) - 1)])
-                    run = []
-            if len(run) > 1:
-                counter.update([b"\0".join(run[k : k + max_n]) for k in range(len(run) - 1)])
+    """(lang, suffix, n): suffixes of 2 to max_n words, cut before the first pair that isn't in the bitmap; a suffix may come from several tasks."""
+    sent = rows.sparkSession.sparkContext.broadcast(bits)  # 2^BITS bits
+    known = _Hashes()
+
+    def count(counter: Counter, lang: str, words: list[bytes]) -> None:
+        if len(words) < 2:
+            return
+        x, same = pair_hashes(words, lang, known)
+        on = same & (sent.value[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1)
+        # Pairs that follow each other from a place on, max_n - 1 at most: a suffix has one word more.
+        length = on.astype(np.int64)
+        for k in range(1, max_n - 1):
+            length[:-k] += on[k:] & (length[:-k] == k)
+        first = np.flatnonzero(length)
+        last = first + length[first]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        text = b"\0".join(words)
+        counter.update([text[a:b] for a, b in zip(begins[first].tolist(), ends[last].tolist(), strict=True)])
 
     return _counted(rows, count, "suffix")
 
@@ -146,32 +185,35 @@ class PrefixStack:
         self.out: list[tuple[str, bytes, int]] = []
 
     def _leave(self, depth: int, end: bool = False) -> None:
-        while len(self.words) > depth:
-            n = self.counts.pop()
+        words, counts = self.words, self.counts
+        while len(words) > depth:
+            n = counts.pop()
             # What the first suffix begins with, or the last one, may stand in other tasks too.
-            edge = end or (self.first[0] == self.lang and self.first[1][: len(self.words)] == self.words)
-            if len(self.words) > 1 and (n >= self.min_count or edge):
-                self.out.append((self.lang, b" ".join(self.words), n))
-            if self.counts:
-                self.counts[-1] += n
-            self.words.pop()
-
-    def push(self, lang: str, suffix: bytes, n: int) -> None:
-        words = suffix.split(b"\0")
-        if self.first is None:
-            self.first = (lang, words)
-        depth = 0
-        if lang == self.lang:
-            for a, b in zip(self.words, words, strict=False):
-                if a != b:
-                    break
-                depth += 1
-        if depth < len(self.words):
-            self._leave(depth)
-        self.lang = lang
-        self.words += words[depth:]
-        self.counts += [0] * (len(words) - depth)
-        self.counts[-1] += n
+            if len(words) > 1 and (n >= self.min_count or end or self.first[0] == self.lang and self.first[1][: len(words)] == words):
+                self.out.append((self.lang, b" ".join(words), n))
+            if counts:
+                counts[-1] += n
+            words.pop()
+
+    def push(self, langs: list[str], suffixes: list[bytes], numbers: list[int]) -> None:
+        if self.first is None and langs:
+            self.first = (langs[0], suffixes[0].split(b"\0"))
+        words, counts = self.words, self.counts
+        for lang, suffix, n in zip(langs, suffixes, numbers, strict=True):
+            new = suffix.split(b"\0")
+            depth = 0
+            if lang == self.lang:
+                for a, b in zip(words, new, strict=False):
+                    if a != b:
+                        break
+                    depth += 1
+            if depth < len(words):
+                self._leave(depth)
+            self.lang = lang
+            if depth < len(new):
+                words += new[depth:]
+                counts += [0] * (len(new) - depth)
+            counts[-1] += n
 
     def close(self) -> None:
         self._leave(0, True)
@@ -189,8 +231,7 @@ def phrase_counts(found: DataFrame, min_count: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stack.push(*row)
+            stack.push(*(c.to_pylist() for c in batch.columns))
             if len(stack.out) > 10_000:
                 yield ready()
         stack.close()
@@ -244,7 +285,7 @@ def collocations(docs: DataFrame, *, text_column: str = "text", lang_column: str
     n counts a language's words, a the phrase's occurrences within pieces of text (overlaps included), l and r those of the parts of its lowest-scoring cut (the first
     of equal ones); score is floor(1000 a n / (l r)). Phrases of a below min_count, and those inside a longer candidate with cover_percent % of their occurrences
     or more, are left out. Null languages are `und`; null and empty texts have no words; repeated rows count as often as they stand; an empty table gives no
-    rows. Very long texts are counted one at a time, and a task passes its counts on whenever it holds HELD of them. Other columns are not read.
+    rows. Very long texts are read whole, at most 200 texts at a time, and a task passes its counts on whenever it holds HELD of them. Other columns are not read.
     Counts are exact up to 10^17 words.
     """
     if not 2 <= max_n <= 20 or min_count < 1:
@@ -254,7 +295,7 @@ def collocations(docs: DataFrame, *, text_column: str = "text", lang_column: str
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")))
     total = totals.agg(F.sum("n")).first()[0] or 0
     frequent = words.where(F.col("n") >= min_count)
-    found = written(suffixes(rows, frequent_bits(frequent), max_n))
+    found = written(suffixes(rows, frequent_pairs(rows, min_count), max_n), "zstd")
     candidates = written(phrase_counts(found, min_count))
     counts = candidates.union(frequent.select("lang", _text("word"), "n"))
     scored = _scored(candidates, counts, totals, total, max_n)

@@ -114,9 +114,9 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, gives true sizes to the planner."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/huewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -53,6 +53,7 @@ def test_collocations(spark, monkeypatch, max_n, min_count, cover, top, held, pa
     rows = made(max_n)
     docs = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "1 as n", "2 as phrase", "3 as word").repartition(4)
     monkeypatch.setattr(collocations, "HELD", held)
+    monkeypatch.setattr(collocations, "HELD_PAIRS", held)
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         got = collocations.collocations(docs, max_n=max_n, min_count=min_count, cover_percent=cover, top=top, buckets=parts).collect()
@@ -70,6 +71,15 @@ def test_odd_tables(spark):
     assert [tuple(r) for r in collocations.collocations(long).collect()] == [("en", 1, "a b", 1_000_000, 1_000_000, 1_000_000, 2_000_000, 2000)]
 
 
+def test_pairs_by_chance(spark, monkeypatch):
+    """Where all pairs share a few hashes, rare ones pass the bitmap and drop out later."""
+    monkeypatch.setattr(collocations, "BITS", 17)
+    monkeypatch.setattr(collocations, "pair_hashes", lambda words, lang, known, f=collocations.pair_hashes: (f(words, lang, known)[0] & 7, f(words, lang, known)[1]))
+    rows = made(9)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), min_count=10).collect()
+    assert {(r.lang, r["rank"]): (r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got} == brute(rows, 5, 10, 100, 2000)
+
+
 def test_stack_joins_what_tasks_cut(spark):
     """However sorted suffixes are cut into runs, the counts add up."""
     rng = np.random.default_rng(2)
@@ -84,8 +94,7 @@ def test_stack_joins_what_tasks_cut(spark):
         got = Counter()
         for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
             stack = collocations.PrefixStack(20)
-            for row in rows[a:b]:
-                stack.push(*row)
+            stack.push(*([r[k] for r in rows[a:b]] for k in range(3)))
             stack.close()
             for _, phrase, n in stack.out:
                 got[phrase] += n
