@@ -37,6 +37,24 @@ def searcher(palette: np.ndarray, at_once: int = 4096):
     return search
 
 
+class Remembered:
+    """A searcher for whole colours 0 to 255 that looks each colour up once: a table of all 2^24, whose pages come into being as they are used."""
+
+    def __init__(self, palette: np.ndarray):
+        self.search = searcher(palette)
+        self.table = np.zeros(1 << 24, np.int16)  # index + 1
+        self.weights = np.array([65536, 256, 1], np.float32)
+
+    def __call__(self, colours: np.ndarray) -> np.ndarray:
+        """Indices of (n, 3) colours in single precision (a key is under 2^24, so it is exact)."""
+        key = (colours @ self.weights).astype(np.int32)
+        found = self.table[key]
+        if not found.all():
+            new = np.flatnonzero(found == 0)
+            found[new] = self.table[key[new]] = self.search(colours[new]) + 1
+        return found - 1
+
+
 def nearest_indices(colours: np.ndarray, palette: np.ndarray) -> np.ndarray:
     """Index of the nearest palette colour for each row of an (n, 3) array."""
     return searcher(palette)(colours)

@@ -19,6 +19,12 @@ _ORDERS = """px AS (
   FROM orders
   UNION ALL SELECT k // 256, CAST(k % 256 // 16 AS INTEGER), CAST(k % 16 AS INTEGER), 0, 0, 0 FROM (SELECT unnest(range(max(o_orderkey) + 1, (max(o_orderkey) // 256 + 1) * 256)) AS k FROM orders)
 )"""
+_PARTS = """px AS (
+  SELECT CAST(p_partkey // 16 AS INTEGER) AS y, CAST(p_partkey % 16 AS INTEGER) AS x,
+    CAST(p_partkey * 37 % 256 AS INTEGER) AS r, CAST(CAST(round(p_retailprice * 10) AS BIGINT) % 256 AS INTEGER) AS g, CAST(p_size * 101 % 256 AS INTEGER) AS b
+  FROM part
+  UNION ALL SELECT CAST(k // 16 AS INTEGER), CAST(k % 16 AS INTEGER), 0, 0, 0 FROM (SELECT unnest(range(max(p_partkey) + 1, (max(p_partkey) // 256 + 1) * 256)) AS k FROM part)
+)"""
 _LINES = """px AS (
   SELECT CAST(1 AS BIGINT) AS image_id, CAST(l_orderkey * 37 % 256 AS INTEGER) AS r, CAST(l_partkey * 101 % 256 AS INTEGER) AS g, CAST(l_suppkey * 53 % 256 AS INTEGER) AS b FROM lineitem
 )"""
@@ -144,6 +150,35 @@ t AS (
 idx AS (SELECT image_id, CAST(q // {size} AS INTEGER) AS y, CAST(q % {size} AS INTEGER) AS x, idx FROM (SELECT image_id, unnest(found) AS idx, unnest(range(0, {size * size})) AS q FROM t WHERE p = {size * size}))"""
 
 
+def _tall_diffusion(k: Kernel) -> str:
+    """One image of all parts: a recursion over its pixels that holds the errors of the last two rows."""
+    taps = sorted(k.taps, key=lambda t: (-t[1], -t[0]))
+    held = max(dy * TILE + dx for dx, dy, _ in taps)
+
+    def value(c: str) -> str:
+        v = f"s{c}[p + 2]"
+        for dx, dy, w in taps:
+            v = f"greatest(0, least(255, {v} + CASE WHEN (p + 1) % {TILE} - ({dx}) BETWEEN 0 AND {TILE - 1} AND (p + 1) // {TILE} >= {dy} THEN e{c}[{held + 1 - dy * TILE - dx}] * {w} // {k.divisor} ELSE 0 END))"
+        return v
+
+    lists = ", ".join(f"list({c} ORDER BY y, x) AS s{c}" for c in "rgb")
+    start = ", ".join(f"CAST(list_transform(range(0, {held}), lambda z: 0) AS INTEGER[]) AS e{c}" for c in "rgb")
+    return f"""WITH RECURSIVE {_PARTS}, {_PALETTE},
+pl AS (SELECT list({{'i': idx, 'r': pr, 'g': pg, 'b': pb}} ORDER BY idx) AS pal FROM pal),
+src AS (SELECT count(*) AS n, {lists} FROM px),
+t AS (
+  SELECT -1 AS p, {start}, -1 AS k
+  UNION ALL
+  SELECT p + 1, {", ".join(f"list_append(e{c}[2:], v{c} - pal[k + 1].{c})" for c in "rgb")}, k
+  FROM (
+    SELECT p, er, eg, eb, vr, vg, vb, pal, CAST(list_min(list_transform(pal, lambda c: ((vr - c.r) * (vr - c.r) + (vg - c.g) * (vg - c.g) + (vb - c.b) * (vb - c.b)) * 1000 + c.i)) % 1000 AS INTEGER) AS k
+    FROM (SELECT p, er, eg, eb, pal, {", ".join(f"CAST({value(c)} AS INTEGER) AS v{c}" for c in "rgb")} FROM t, src, pl WHERE p + 1 < n)
+  )
+)
+SELECT CAST(0 AS BIGINT) AS image_id, CAST(p // {TILE} AS INTEGER) AS y, CAST(p % {TILE} AS INTEGER) AS x, k AS idx FROM t WHERE p >= 0"""
+
+
+ORACLE_SQL["dither_tall_jjn"] = _tall_diffusion(next(k for k in KERNELS if k.name == "jjn"))
 for _kernel in KERNELS[1:]:
     ORACLE_SQL[f"dither_{_kernel.name}"] = _diffusion(_kernel, 1) + " SELECT image_id, y, x, idx FROM idx"
     ORACLE_SQL[f"multisample_2x_{_kernel.name}"] = _diffusion(_kernel, 2) + f", large AS (SELECT image_id, y, x, pr AS r, pg AS g, pb AS b, 255 AS a FROM idx JOIN pal USING (idx)), {_tents('large', 'h', 'v', 'rgba')} SELECT * FROM v"

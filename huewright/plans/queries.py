@@ -139,6 +139,16 @@ def _multisample(name, scale):
     return lambda spark, d: dither(event_pixels(spark, d), nation_palette(spark, d), name, scale=scale)
 
 
+def _tall(spark, d):
+    """All parts in tiles, one below the other: one image 16 pixels wide."""
+    tiles = _tiles(_table(spark, d, "part"), "p_partkey", F.col("p_partkey") * 37, F.round(F.col("p_retailprice") * 10).cast("long"), F.col("p_size") * 101)
+    return tiles.select(F.lit(0).cast("long").alias("image_id"), (F.col("image_id") * TILE + F.col("y")).cast("int").alias("y"), "x", "r", "g", "b", "a")
+
+
+def dither_tall_jjn(spark, d):
+    return dither_indices(_tall(spark, d), nation_palette(spark, d), "jjn")
+
+
 def _palette_texts(spark, d):
     """One hex text for each region, of its nations' colours."""
     rows = _table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("palette_id"), F.col("n_nationkey").alias("idx"), *((F.col("n_nationkey") * k % 256).cast("int").alias(c) for k, c in ((53, "r"), (97, "g"), (193, "b"))))
@@ -229,7 +239,7 @@ def apply_extracted(spark, d):
     return rows.select("image_id", "y", "x", nearest_of_array(F.col("palette")).alias("idx"))
 
 
-_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted)
+_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn)
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"dither_{k.name}": _dither(k.name) for k in KERNELS}
 QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS[1:]} | {f"multisample_4x_{k.name}": _multisample(k.name, 4) for k in KERNELS[1:]}

@@ -1,6 +1,9 @@
 """Nearest colours, dithering, resampling, histograms, extraction and codecs against plain versions."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +278,70 @@ def test_catalogue(spark):
     rows = kernels.ditherers(spark).orderBy("ord").collect()
     assert [r.name for r in rows] == NAMES and NAMES[1] == kernels.DEFAULT
     assert {r.name: sum(t.weight for t in r.taps) for r in rows} == {"none": 0, "fs": 16, "atkinson": 6, "jjn": 48, "burkes": 32, "sierra32": 32, "sierra4": 4}
+
+
+@pytest.mark.parametrize("name", [k.name for k in kernels.KERNELS])
+@pytest.mark.parametrize("rows", [1, 2, 3, 7])
+def test_bands_carry_errors(name, rows):
+    """Bands of any height give what a whole image gives, at all scales."""
+    rng = np.random.default_rng(rows)
+    palette = rng.integers(0, 256, (7, 3)).astype(np.int32)
+    k = kernels.kernel(name)
+    for width, height in ((1, 9), (5, 8), (13, 11), (2, 1)):
+        images = rng.integers(0, 256, (2, height, width, 4)).astype(np.uint8)
+        assert (dither.diffuse(images[..., :3], palette, k, rows=rows) == dither.diffuse(images[..., :3], palette, k)).all()
+        for scale in (2, 4):
+            large = images.repeat(scale, 1).repeat(scale, 2)
+            index = dither.diffuse(large[..., :3], palette, k, clamp_once=True)
+            want = np.concatenate([palette[index], large[..., 3:]], -1)
+            for _ in range(scale // 2):
+                want = resample.tent(want)
+            worker = dither.Multisampler(dither.Remembered(palette), palette, k, scale, rows=rows * scale, at_once=rows)
+            assert (np.concatenate(list(worker.feed(images, True)), 1) == want).all()
+            worker = dither.Multisampler(dither.Remembered(palette), palette, k, scale, rows=rows * scale, at_once=rows)
+            fed = [x for top in range(height) for x in worker.feed(images[:, top : top + 1], top + 1 == height)]
+            assert (np.concatenate(fed, 1) == want).all()
+
+
+def test_multisampling_holds_bands():
+    """An image four times as tall takes no more memory beyond its own pixels."""
+    palette, peaks = np.array([(0, 0, 0), (200, 30, 60), (255, 255, 255)], np.int32), []
+    search = dither.Remembered(palette)
+    for height in (300, 1200):
+        images = np.random.default_rng(1).integers(0, 256, (1, height, 400, 4)).astype(np.uint8)
+        tracemalloc.start()
+        dither.multisample(images, palette, kernels.kernel("fs"), 4, search=search, rows=64)
+        peaks.append(tracemalloc.get_traced_memory()[1] - images.nbytes)
+        tracemalloc.stop()
+    assert max(peaks) < 1.2 * min(peaks) < 16 * 400 * 300 * 4
+
+
+@pytest.mark.parametrize("scale", [1, 2])
+def test_streamed_rows(spark, monkeypatch, scale):
+    """Exploded images are dithered as whole ones are, whichever bands a task holds; small ones of one size go together."""
+    pictures = [random_image(k, w, h) for k, (w, h) in enumerate([(3, 40), (16, 5), (16, 5), (1, 70), (50, 1), (9, 9), (9, 9), (200, 3)])]
+    images = packed(spark, pictures)
+    palette = [(0, 0, 0), (250, 10, 60), (20, 200, 90), (255, 255, 255)]
+    want = {r.image_id: bytes(r.pixels) for r in dither.dither_packed(images, palette, "jjn", scale=scale).collect()}
+    run = dither.image_rows
+    for most in (1, 20, 1000):
+        monkeypatch.setattr(dither, "image_rows", lambda batches, most=most: run(batches, most))
+        assert run_stream(pictures, palette, scale) == want
+    monkeypatch.setattr(dither, "image_rows", run)
+    got = {r.image_id: bytes(r.pixels) for r in model.pack_pixels(dither.dither(model.explode_pixels(images).repartition(5), palette, "jjn", scale=scale)).collect()}
+    assert got == want
+    with pytest.raises(Exception, match="whole grid"):
+        dither.dither(model.explode_pixels(images).where("not (image_id = 5 and x = 4 and y = 3)"), palette).collect()
+
+
+def run_stream(pictures, palette, scale):
+    """The streamed form over record batches of 33 pixels, in this process."""
+    table = np.array(palette, np.int32)
+    rows = [(k, y, x, *map(int, p[y, x])) for k, p in enumerate(pictures) for y in range(p.shape[0]) for x in range(p.shape[1])]
+    columns = list(zip(*rows, strict=True))
+    whole = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["image_id", "y", "x", "r", "g", "b", "a"])
+    out = {}
+    for batch in dither.streamed((whole.slice(k, 33) for k in range(0, len(rows), 33)), table, kernels.kernel("jjn"), scale, False):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out.setdefault(row[0], []).append(row[1:])
+    return {k: np.array([r[2:] for r in sorted(v)], np.uint8).tobytes() for k, v in out.items()}
