@@ -1,81 +1,130 @@
 """License scans with a positional index of rare words.
 
-Each licence template is a list of words. The index maps the rarest word (highest IDF) of each of its mandatory key phrases to its postings (template,
-position). Each occurrence at file position p of such a word at template position q gives the alignment (template, p - q). An alignment is scored by
-the share of template words in place, and its licence is reported only if one of its key phrases stands
-where the alignment puts it. A key phrase in place holds its rarest word, so every such alignment of every licence is tried, however many a file
-holds. IDF comes from document frequencies over all documents and decides which word is looked up, never what is found.
+Each licence is a set of passages, each a list of words with a mandatory key phrase. The index holds, for each passage, the places of its rarest words (highest IDF): two more than a
+passage may lack. Each occurrence at file position p of a word at passage position q is a vote for the alignment (passage, p - q); votes are intersected by
+relative position, and where two or more agree, up to SLACK words apart, the passage is compared there. Its score is the share of its words that stand within SLACK words of
+where the alignment puts them, so a word more or less in the file costs that word alone. The licence is reported if the score reaches `least` and the
+key phrase, in one of its wordings, stands within SLACK words of its place.
+
+A passage of score `least` has at least two of those words in place, whichever words are the rarest: so IDF, from document frequencies over all documents, decides which
+words are looked up, never what is found.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, map_rows, raw_texts
+from .license_texts import PASSAGES
 
 # Phrases whose places are counted, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Opening or notice texts of common licences and their mandatory key phrases.
-TEMPLATES = {
-    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ("permission is hereby granted free of charge",)),
-    "mit-notice": ("Released under the MIT License", ("mit license",)),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3", ("gnu general public license version 3",)),
-    "gpl-2.0": ("it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2", ("general public license as published by the free software foundation either version 2",)),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License", ("lesser general public license",)),
-    "agpl": ("This work is licensed under the GNU Affero General Public License", ("affero general public license",)),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license v 2 0",)),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
-    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
-    "cc-by-4.0": ("Licensed under CC BY 4.0", ("cc by 4 0",)),
-    "cc0": ("To the extent possible under law, the author has waived all copyright; released under CC0 1.0 Universal", ("cc0 1 0 universal",)),
-    "unlicense": ("This is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
-}
+#: Words by which a passage's word may stand beside its place.
+SLACK = 2
+_NEAR = sorted(range(-SLACK, SLACK + 1), key=abs)
+
+
+def key_phrase(text: str) -> list[tuple[frozenset[bytes], bool]]:
+    """(wordings, may be missing) of each word of a key phrase."""
+    return [(frozenset(x.rstrip("?").encode().split(b"|")), x.endswith("?")) for x in text.split(" ")]
+
+
+def stands(key: list[tuple[frozenset[bytes], bool]], words: list[bytes], at: int) -> bool:
+    """Whether a key phrase begins at a place of the words; a missing word is passed over."""
+    for wordings, optional in key:
+        if 0 <= at < len(words) and words[at] in wordings:
+            at += 1
+        elif not optional:
+            return False
+    return True
+
+
+class Passage:
+    """A licence's passage: its words and the places of its key phrase."""
+
+    def __init__(self, licence: str, text: str, key: str):
+        self.licence, self.words, self.key = licence, alnum_words(text.encode()), key_phrase(key)
+        self.places = [q for q in range(len(self.words)) if stands(self.key, self.words, q)]
+        if not self.places:
+            raise ValueError(f"a passage of {licence} doesn't hold its key phrase")
+
+    def least_words(self, least: float) -> int:
+        return math.ceil(least * len(self.words) - 1e-9)
+
+    def verified(self, words: list[bytes], shift: int) -> bool:
+        return any(0 <= shift + q + d and stands(self.key, words, shift + q + d) for q in self.places for d in _NEAR)
 
 
 class Index:
-    """The templates' words and places of their key phrases."""
-
-    def __init__(self, templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES):
-        self.words = {name: alnum_words(text.encode()) for name, (text, _) in templates.items()}
-        self.keys: dict[str, list[tuple[int, list[bytes]]]] = {}
-        for name, words in self.words.items():
-            keys = [alnum_words(k.encode()) for k in templates[name][1]]
-            self.keys[name] = [(q, k) for k in keys for q in range(len(words) - len(k) + 1) if words[q : q + len(k)] == k]
-            if not self.keys[name]:
-                raise ValueError(f"template {name} doesn't hold its key phrase")
-        self.vocabulary = frozenset(w for words in self.words.values() for w in words)
-
-    def anchors(self, idf: dict[bytes, float]) -> dict[bytes, list[tuple[str, int]]]:
-        """Postings (template, position) of the rarest word of each key phrase."""
-        out: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        for name, keys in self.keys.items():
-            for q, key in keys:
-                k = min(range(len(key)), key=lambda i: (-idf.get(key[i], math.inf), key[i]))
-                out[key[k]].append((name, q + k))
+    """The passages and their vocabulary; `least` is the share of a passage's words that must be in place."""
+
+    def __init__(self, passages: dict[str, tuple[tuple[str, str], ...]] = PASSAGES, least: float = 0.6):
+        self.passages = [Passage(name, text, key) for name, parts in passages.items() for text, key in parts]
+        self.least = least
+        self.vocabulary = frozenset(w for p in self.passages for w in p.words)
+        self.number = {w: k for k, w in enumerate(sorted(self.vocabulary), 1)}
+
+    def postings(self, idf: dict[bytes, float]) -> dict[int, list[tuple[int, int]]]:
+        """(passage, position) of the rarest words, by their numbers: as many that a passage of score `least` lacks all but two of them at most."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, p in enumerate(self.passages):
+            n = len(p.words) - p.least_words(self.least) + 2
+            for q in sorted(range(len(p.words)), key=lambda q: (-idf.get(p.words[q], math.inf), p.words[q], q))[:n]:
+                out[self.number[p.words[q]]].append((t, q))
         return dict(out)
 
-    def scan(self, words: list[bytes], anchors: dict[bytes, list[tuple[str, int]]], least: float) -> dict[str, float]:
-        """Score of each licence found, the share of its best alignment's words that are in place."""
-        if anchors.keys().isdisjoint(words):
-            return {}
+    def in_place(self, ids: np.ndarray, passage: Passage, shifts: np.ndarray) -> np.ndarray:
+        """For each alignment the words of the passage that stand within SLACK words of their places, in the numbered words of a file."""
+        margin = len(passage.words) + SLACK
+        padded = np.pad(ids, margin)
+        found = np.zeros(len(shifts), np.int32)
+        for q, word in enumerate(passage.words):
+            at = shifts + (margin + q)
+            here = np.zeros(len(shifts), bool)
+            for d in range(-SLACK, SLACK + 1):
+                here |= padded[at + d] == self.number[word]
+            found += here
+        return found
+
+    def scan(self, words: list[bytes], postings: dict[int, list[tuple[int, int]]]) -> dict[str, float]:
+        """Score of each licence found, that of its best alignment."""
+        ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
+        hits = np.flatnonzero(ids)
+        hits = hits[np.argsort(ids[hits], kind="stable")]
+        starts = np.flatnonzero(np.diff(ids[hits], prepend=0))
+        votes: dict[int, list[np.ndarray]] = defaultdict(list)
+        for word, places in zip(ids[hits[starts]].tolist(), np.split(hits, starts[1:]), strict=False):
+            for t, q in postings.get(word, ()):
+                votes[t].append(places - q)
         found: dict[str, float] = {}
-        for name, shift in {(name, p - q) for p, word in enumerate(words) if word in anchors for name, q in anchors[word]}:
-            template = self.words[name]
-            for q, key in self.keys[name]:
-                if shift + q >= 0 and words[shift + q : shift + q + len(key)] == key:
-                    score = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template)) / len(template)
-                    if score >= least and score > found.get(name, 0):
-                        found[name] = score
-                    break
+        for t, lists in votes.items():
+            passage = self.passages[t]
+            size = len(passage.words)
+            enough = min(2, size)
+            if sum(map(len, lists)) < enough:
+                continue
+            # Votes by relative position; those up to SLACK words apart count together.
+            low = -size - 2 * SLACK
+            dense = np.bincount(np.concatenate(lists) - low, minlength=len(words) - low + SLACK)
+            near = np.convolve(dense, np.ones(2 * SLACK + 1, np.int64), "same")
+            shifts = np.flatnonzero(near >= enough) + low
+            shifts = shifts[(shifts > -size) & (shifts < len(words))]
+            for at in range(0, len(shifts), 100_000):
+                some = shifts[at : at + 100_000]
+                n = self.in_place(ids, passage, some)
+                good = np.flatnonzero((n >= passage.least_words(self.least)) & (n > found.get(passage.licence, 0.0) * size))
+                for k in good[np.argsort(-n[good], kind="stable")].tolist():
+                    if passage.verified(words, int(some[k])):
+                        found[passage.licence] = float(n[k]) / size
+                        break
         return found
 
 
@@ -97,29 +146,31 @@ def inverse_frequencies(docs: DataFrame, index: Index, *, text_column: str = "te
 
 
 def _places(words: list[bytes]) -> dict[str, list[int]]:
-    """Start words of each phrase."""
+    """Start words of each phrase, found in one pass."""
     line = b" " + b" ".join(words) + b" "
     out = {}
     if b" license " in line:
         for phrase in PHRASES:
-            key, at, found = b" " + phrase.encode() + b" ", -1, []
-            while (at := line.find(key, at + 1)) >= 0:
-                found.append(line.count(b" ", 0, at))
+            key, found, at, before = b" " + phrase.encode() + b" ", [], -1, 0
+            while (new := line.find(key, at + 1)) >= 0:
+                before += line.count(b" ", max(at, 0), new)
+                at = new
+                found.append(before)
             if found:
                 out[phrase] = found
     return out
 
 
-def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", templates: dict = TEMPLATES, least: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", passages: dict = PASSAGES, least: float = 0.6) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, licenses (name to score), labels, score.
 
     labels are the base labels and the licences found, distinct, sorted and comma-joined; score is the best alignment's, 1 for a
-    base phrase, 0 without either. Null and empty texts have no words, places or labels. Repeated rows give repeated rows, an
+    base phrase, 0 without either. Null and empty texts have no words, places or labels; very long ones are read whole, in time that grows with their words. Repeated rows give repeated rows, an
     empty table gives none, and other columns are not read.
     """
     ident = docs.schema[id_column].dataType.simpleString()
-    index = Index(templates)
-    anchors = index.anchors(inverse_frequencies(docs, index, text_column=text_column))
+    index = Index(passages, least)
+    postings = index.postings(inverse_frequencies(docs, index, text_column=text_column))
 
     def scan(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "licenses", "labels", "score")}
@@ -128,11 +179,11 @@ def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
             places = _places(words)
             starts = [x for found in places.values() for x in found]
             base = {PHRASES[p] for p in places}
-            found = index.scan(words, anchors, least)
+            found = index.scan(words, postings)
             row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), sorted(found.items()), ",".join(sorted(base | set(found))), 1.0 if base else max(found.values(), default=0.0))
             for k, x in zip(out, row, strict=True):
                 out[k].append(x)
         return {"doc_id": batch.column(0)} | out
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return map_rows(rows, scan, f"doc_id {ident}, n_words long, n_base long, first_word long, last_word long, base_labels string, licenses map<string,double>, labels string, score double")
+    return map_rows(rows, scan, f"doc_id {ident}, n_words long, n_base long, first_word long, last_word long, base_labels string, licenses map<string,double>, labels string, score double", 1000)

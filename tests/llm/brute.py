@@ -86,6 +86,31 @@ def licenses(text):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def license_scores(passages, words, least):
+    """{licence: score} of its best alignment of all, by the definition."""
+    found = {}
+    at = lambda k: words[k] if 0 <= k < len(words) else None
+    for name, parts in passages.items():
+        for text, key in parts:
+            passage = [w.encode() for w in alnum(text)]
+            key = [([x.encode() for x in k.rstrip("?").split("|")], k.endswith("?")) for k in key.split(" ")]
+
+            def holds(k, get, key=key):
+                for wordings, optional in key:
+                    if get(k) in wordings:
+                        k += 1
+                    elif not optional:
+                        return False
+                return True
+
+            starts = [q for q in range(len(passage)) if holds(q, lambda k, passage=passage: passage[k] if k < len(passage) else None)]
+            for shift in range(-len(passage), len(words)):
+                n = sum(any(at(shift + q + d) == w for d in range(-2, 3)) for q, w in enumerate(passage))
+                if n >= least * len(passage) - 1e-9 and any(shift + q + d >= 0 and holds(shift + q + d, at) for q in starts for d in range(-2, 3)):
+                    found[name] = max(found.get(name, 0), n / len(passage))
+    return found
+
+
 def repetition(text, window=8):
     words = space(text)
     lines = [x for x in (text or "").split("\n") if space(x)]

@@ -1,6 +1,8 @@
 """Operators that read each text by itself, against brute force on a whole small table and on awkward rows."""
 
+import random
 import re
+import time
 from math import exp, isclose
 
 import pytest
@@ -103,25 +105,72 @@ def test_long_url_password():
 def test_licenses(spark, docs):
     got = as_rows(licenses.scan_licenses(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert got == sorted(((r.doc_id, *brute.licenses(r.text)) for r in docs.collect()), key=repr)
-    named = spark.createDataFrame([(k, f"Some words. {t} and more") for k, (t, _) in enumerate(licenses.TEMPLATES.values())] + [(99, "license under the cc by"), (100, None)], "doc_id long, text string")
+    texts = [(name, t) for name, parts in licenses.PASSAGES.items() for t, _ in parts]
+    named = spark.createDataFrame([(k, f"Some words. {t} and more") for k, (_, t) in enumerate(texts)] + [(99, "license under the cc by"), (100, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in licenses.scan_licenses(named).collect()}
-    for k, name in enumerate(licenses.TEMPLATES):
+    for k, (name, _) in enumerate(texts):
         assert name in rows[k].labels.split(",") and rows[k].score == 1
     assert rows[99].labels == rows[100].labels == "" and rows[99].score == 0
 
 
 def test_licenses_of_one_text(spark):
-    """A text of all templates, by itself and among others, and a short notice in a text that holds every template word out of place."""
-    texts = [t for t, _ in licenses.TEMPLATES.values()]
+    """A text of all passages, by itself and among others, and a short notice in a text that holds every passage's words out of place."""
+    texts = [t for parts in licenses.PASSAGES.values() for t, _ in parts]
     every = "\n\n".join(texts)
     scattered = " ".join(" ".join(reversed(t.split())) for t in texts) + ". Licensed under CC BY 4.0"
     docs = spark.createDataFrame([(1, every), (2, scattered)], "doc_id long, text string")
     for df in (docs, docs.union(spark.createDataFrame([(k, "licensed software free of charge " * 3) for k in range(9, 40)], docs.schema))):
         rows = {r.doc_id: r for r in licenses.scan_licenses(df).where("doc_id < 9").collect()}
-        assert rows[1].licenses == dict.fromkeys(licenses.TEMPLATES, 1.0)
+        assert rows[1].licenses == dict.fromkeys(licenses.PASSAGES, 1.0)
         assert rows[2].licenses == {"cc-by-4.0": 1.0}
 
 
+def altered(rng, words, share):
+    """Words with some left out, changed or put in."""
+    out = []
+    for w in words:
+        x = rng.random()
+        if x < share / 3:
+            continue
+        out.append(f"x{rng.randrange(99)}" if x < 2 * share / 3 else w)
+        if x > 1 - share / 3:
+            out.append("furthermore")
+    return out
+
+
+def test_licenses_by_definition():
+    """Labels and scores of altered passages are those of trying every alignment of every passage, whichever words are rare."""
+    rng = random.Random(4)
+    index = licenses.Index()
+    for turn in range(40):
+        noise = [f"n{rng.randrange(50)}" for _ in range(rng.randrange(0, 12))]
+        words = list(noise)
+        for p in rng.sample(index.passages, 2):
+            words += altered(rng, p.words, rng.choice([0, 0.1, 0.3, 0.6])) + [rng.choice(["software", "license", "n1"])]
+        words = [w if isinstance(w, bytes) else w.encode() for w in words]
+        postings = index.postings({w: rng.random() for w in index.vocabulary})
+        assert index.scan(words, postings) == pytest.approx(brute.license_scores(licenses.PASSAGES, words, 0.6)), turn
+    assert {x for p in index.passages for x in index.scan(p.words, index.postings({}))} == set(licenses.PASSAGES)
+
+
+def test_licenses_altered_wordings():
+    index = licenses.Index()
+    scan = lambda text: index.scan([w.encode() for w in brute.alnum(text)], index.postings({}))
+    assert scan(licenses.PASSAGES["mit"][0][0].replace("charge", "charges"))["mit"] == pytest.approx(28 / 29)
+    assert scan(licenses.PASSAGES["bsd"][0][0].replace("and", "&"))["bsd"] == pytest.approx(19 / 21)
+    assert "mit" not in scan(licenses.PASSAGES["bsl-1.0"][0][0]) and "gpl-2.0" not in scan(licenses.PASSAGES["gpl-3.0"][1][0])
+
+
+def test_licenses_in_very_long_texts(spark):
+    """Half a million hits in one text; the time grows with the words, not with their square."""
+    docs = spark.sql("select 1L as doc_id, repeat('mit license ', 500000) as text union all select 2L, concat(repeat('licensed words ', 300000), 'Licensed under CC BY-SA 4.0')")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert (rows[1].n_base, rows[1].first_word, rows[1].last_word, rows[1].labels) == (500_000, 0, 999_998, "mit")
+    assert rows[2].labels == "cc-by-sa-4.0" and rows[2].score == 1
+
+
 def test_repetition(docs):
     found = repetition.repetition(docs)
     got = as_rows(found, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
