@@ -99,6 +99,13 @@ def few(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """rows (a written table) with the values of their keys; the hot keys, whose number has a bound, are sent to all tasks, so none of them gathers in one."""
+    few_ = F.broadcast(values.where(hot))
+    rest = rows.join(F.broadcast(values.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few_, keys).unionByName(rest.join(values.where(~hot), keys))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset, but only in local mode.
 
