@@ -470,8 +470,9 @@ def _ranked(hot_sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(counts, "label").withColumn("rank", F.when(F.col("label") == top.label, F.lit(most)).otherwise(F.col("rank"))), most
 
 
-def _neighbourhoods(hot_sets: DataFrame, percent: int) -> DataFrame:
-    """(key, name, label, rank, n, scheme, segment, whole, units): the whole segments of hot sets and those without one shingle."""
+def _neighbourhoods(hot_sets: DataFrame, percent: int, sketched: bool = False) -> DataFrame:
+    """(key, name, label, rank, n, scheme, segment, whole, units): the whole segments of hot sets and those without one shingle; their sets' sketches too where asked for."""
+    further = SKETCHES if sketched else []
 
     def run(batch: pa.RecordBatch) -> dict:
         bands = Bands(percent)
@@ -488,18 +489,26 @@ def _neighbourhoods(hot_sets: DataFrame, percent: int) -> DataFrame:
                 segment = np.concatenate([np.arange(m), of])
                 key = _key(scheme, m, segment, np.concatenate([content, content[of] - mixed]))
                 same = lambda x, kind=np.int64: np.full(len(key), x, kind)  # noqa: B023, E731
-                parts.append((key, same(name), same(label), same(rank), same(len(s), np.int32), same(scheme, np.int32), segment.astype(np.int32), np.arange(len(key)) < m, same(m, np.int32)))
-        names = ("key", "name", "label", "rank", "n", "scheme", "segment", "whole", "units")
+                bits = [same(x) for x in sketch(s)] if sketched else []
+                parts.append((key, same(name), same(label), same(rank), same(len(s), np.int32), same(scheme, np.int32), segment.astype(np.int32), np.arange(len(key)) < m, same(m, np.int32), *bits))
+        names = ("key", "name", "label", "rank", "n", "scheme", "segment", "whole", "units", *further)
         return {c: pa.array(np.concatenate([p[k] for p in parts])) if parts else [] for k, c in enumerate(names)}
 
-    return map_rows(hot_sets.select("name", "shingles", "label", "rank"), run, "key long, name long, label long, rank long, n int, scheme int, segment int, whole boolean, units int", 500)
+    return map_rows(hot_sets.select("name", "shingles", "label", "rank"), run, "key long, name long, label long, rank long, n int, scheme int, segment int, whole boolean, units int" + "".join(f", {c} long" for c in further), 500)
 
 
 def _crossing(hot_sets: DataFrame, most: int, percent: int, broadcast_limit: int) -> DataFrame:
-    """The neighbourhood rows of the sets that look for others, at keys that sets of different components share: with `full` and `less`, the numbers of whole and one-deletion entries there."""
-    counts = _neighbourhoods(hot_sets, percent).groupBy("key").agg(F.sum(F.col("whole").cast("int")).alias("full"), F.sum((~F.col("whole")).cast("int")).alias("less"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    crossing = few(written(counts.where("full > 0 and lo < hi").select("key", "full", "less")), broadcast_limit)
-    return _neighbourhoods(hot_sets.where(F.col("rank") < most), percent).join(crossing, "key")
+    """The neighbourhood rows of the sets that look for others, at keys that sets of different components share: with `full` and `less`, the numbers of whole and one-deletion entries there.
+
+    A segment without one shingle is kept only where a whole one of another component is equal to it, as two of them prove nothing.
+    """
+    whole = F.when(F.col("whole"), F.col("label"))
+    counts = _neighbourhoods(hot_sets, percent).groupBy("key").agg(
+        F.sum(F.col("whole").cast("int")).alias("full"), F.sum((~F.col("whole")).cast("int")).alias("less"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(whole).alias("first"), F.max(whole).alias("last")
+    )
+    crossing = few(written(counts.where("full > 0 and lo < hi").select(F.col("key").alias("at"), "full", "less", "first", "last")), broadcast_limit)
+    useful = F.col("whole") | (F.col("first") != F.col("label")) | (F.col("last") != F.col("label"))
+    return _neighbourhoods(hot_sets.where(F.col("rank") < most), percent).join(crossing, (F.col("key") == F.col("at")) & useful).drop("at", "first", "last")
 
 
 def _allotted(rows: DataFrame) -> DataFrame:
@@ -534,8 +543,8 @@ def _across(hot_sets: DataFrame, rows: DataFrame, allotted: DataFrame, classes:
     # A segment without one shingle answers only whole ones that are looked up so.
     asked = few(written(probes.groupBy("key").agg(F.max(F.col("whole") & (F.col("unit") == 2)).alias("deep"))), broadcast_limit)
     totals = allotted.select("name", "scheme", "total").distinct()
-    index = _neighbourhoods(hot_sets, percent).withColumnRenamed("key", "at").join(asked, (F.col("at") == F.col("key")) & (F.col("whole") | F.col("deep"))).join(totals, ["name", "scheme"], "left")
-    index = index.withColumn("total", F.coalesce("total", F.lit(0.0))).select(*columns).join(classes.select("name", *SKETCHES), "name")
+    index = _neighbourhoods(hot_sets, percent, True).withColumnRenamed("key", "at").join(asked, (F.col("at") == F.col("key")) & (F.col("whole") | F.col("deep"))).join(totals, ["name", "scheme"], "left")
+    index = index.withColumn("total", F.coalesce("total", F.lit(0.0))).select(*columns, *SKETCHES)
     x, y = probes.alias("x"), index.alias("y")
     order = lambda c: F.struct(F.col(f"{c}.rank"), F.col(f"{c}.total").cast("double"), F.col(f"{c}.name"))
     found = x.join(
@@ -572,17 +581,17 @@ def _ordered(rows: DataFrame, other: Column) -> DataFrame:
 
 
 def _meetings(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each hot set, for each of its shared segments, with one set there of another component: the most central one at turn 0, then one drawn by a hash.
+    """(a, b): each hot set, for each of its shared segments, with one set there of another component: the most central one of all at turn 0, then one drawn by a hash, unless
+    that is of its own component: then one of the components that a hash puts first and last.
 
-    A segment names two sets of different components, by aggregates alone, so these are no more pairs than there are shared segments.
+    A segment names three sets of two components or more, by aggregates alone, so these are no more pairs than there are shared segments.
     """
     rows = _labelled(shared, labels, "name", "label")
     rank = F.col("popularity") if turn == 0 else F.xxhash64("key", "name", F.lit(turn))
-    one = F.struct(rank.alias("rank"), "name", "label")
-    topped = rows.join(rows.groupBy("key").agg(F.max(one).alias("top")), "key")
-    elsewhere = F.col("label") != F.col("top.label")
-    met = topped.join(topped.where(elsewhere).groupBy("key").agg(F.max(one).alias("second")), "key")
-    return _ordered(met, F.when(elsewhere, F.col("top.name")).otherwise(F.col("second.name")))
+    end = F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), "label", "name")
+    ends = rows.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "name", "label")).alias("top"), F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.label != hi.label")
+    other = lambda c: F.when(F.col("label") != F.col(f"{c}.label"), F.col(f"{c}.name"))
+    return _ordered(rows.join(ends, "key"), F.coalesce(other("top"), other("lo"), other("hi")))
 
 
 def _nearest(near: DataFrame) -> DataFrame:
