@@ -63,9 +63,9 @@ _LAB = {"l": "0.2104542553 * l + 0.7936177850 * m - 0.0040720468 * s", "a": "1.9
 ORACLE_SQL["oklab_means"] = _HISTOGRAM.format(source=_EVENTS, limit=64) + _LMS + " SELECT image_id, bin, " + ", ".join(f"CAST(round(({e}) * 1e6) AS BIGINT) AS {c}" for c, e in _LAB.items()) + ", CAST(n AS BIGINT) AS w FROM lms"
 
 
-def _extraction(k: int) -> str:
+def _extraction(k: int, source: str = _EVENTS) -> str:
     """CTEs ending in `found`: (image_id, idx, r, g, b). Each step splits one cluster of each image; eigenvalues by the cubic's cosine form, axes by a cross product of rows."""
-    out = _HISTOGRAM.format(source=_EVENTS, limit=1 << 18) + _LMS + ", c0 AS MATERIALIZED (SELECT image_id, bin, " + ", ".join(f"{e} AS {c}" for c, e in _LAB.items()) + ", n AS w, 0 AS c FROM lms)"
+    out = _HISTOGRAM.format(source=source, limit=1 << 18) + _LMS + ", c0 AS MATERIALIZED (SELECT image_id, bin, " + ", ".join(f"{e} AS {c}" for c, e in _LAB.items()) + ", n AS w, 0 AS c FROM lms)"
     for i in range(1, k):
         pairs = ", ".join(f"sum(t.w * (t.{x} - m{x}) * (t.{y} - m{y})) AS {x}{y}" for x, y in ("ll", "la", "lb", "aa", "ab", "bb"))
         crosses = ("la * ab - lb * (aa - v), lb * la - (ll - v) * ab, (ll - v) * (aa - v) - la * la", "la * (bb - v) - lb * ab, lb * lb - (ll - v) * (bb - v), (ll - v) * ab - la * lb", "(aa - v) * (bb - v) - ab * ab, ab * lb - la * (bb - v), la * ab - (aa - v) * lb")
@@ -89,6 +89,7 @@ found AS (SELECT image_id, CAST(c AS INTEGER) AS idx, {", ".join(value.format(c)
 
 
 ORACLE_SQL["extract_palette_8"] = _extraction(8) + " SELECT * FROM found"
+ORACLE_SQL["line_palette"] = _extraction(16, _LINES) + " SELECT * FROM found"
 ORACLE_SQL["apply_extracted"] = _extraction(8) + " SELECT px.image_id, px.y, px.x, CAST(min(((px.r - f.r) * (px.r - f.r) + (px.g - f.g) * (px.g - f.g) + (px.b - f.b) * (px.b - f.b)) * 1000 + f.idx) % 1000 AS INTEGER) AS idx FROM px JOIN found f ON f.image_id = px.image_id GROUP BY px.image_id, px.y, px.x"
 ORACLE_SQL["image_moments"] = f"WITH {_EVENTS} SELECT image_id, count(*) AS w, " + ", ".join(f"round(avg({c}), 3) AS mean_{c}" for c in "rgb") + ", " + ", ".join(f"round(sum({x} * {y}) - sum({x}) * sum({y}) / CAST(count(*) AS DOUBLE), 3) AS cov_{x}_{y}" for x, y in ("rr", "rg", "rb", "gg", "gb", "bb")) + " FROM px GROUP BY image_id"
 

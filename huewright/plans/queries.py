@@ -18,6 +18,7 @@ from ..operators.nearest import lookup, nearest, nearest_of_array, nearest_unrol
 from ..operators.resample import downsample, tent_horizontal, upsample
 from ..sources.images import decode_files, encode_images, encode_indexed_images, pack_nibble_rows
 from ..sources.presets import display_name, preset_sizes, presets
+from ..storage import written
 from . import oracle
 
 TILE = oracle.TILE
@@ -90,7 +91,7 @@ def image_error(spark, d):
 
 
 def octree_levels(spark, d):
-    return level_counts(colour_counts(event_pixels(spark, d)))
+    return level_counts(written(colour_counts(event_pixels(spark, d))))
 
 
 def octree_histogram(spark, d):
@@ -231,6 +232,11 @@ def extract_palette_8(spark, d):
     return extract_palettes(event_pixels(spark, d), 8)
 
 
+def line_palette(spark, d):
+    """One palette of 16 colours for the whole table."""
+    return extract_palettes(line_colours(spark, d).withColumn("image_id", F.lit(1).cast("long")), 16)
+
+
 def apply_extracted(spark, d):
     """Every image in its own palette of 8 colours."""
     pixels = event_pixels(spark, d)
@@ -239,7 +245,7 @@ def apply_extracted(spark, d):
     return rows.select("image_id", "y", "x", nearest_of_array(F.col("palette")).alias("idx"))
 
 
-_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn)
+_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette)
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"dither_{k.name}": _dither(k.name) for k in KERNELS}
 QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS[1:]} | {f"multisample_4x_{k.name}": _multisample(k.name, 4) for k in KERNELS[1:]}

@@ -345,3 +345,35 @@ def run_stream(pictures, palette, scale):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             out.setdefault(row[0], []).append(row[1:])
     return {k: np.array([r[2:] for r in sorted(v)], np.uint8).tobytes() for k, v in out.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_levels_of_sorted_keys(spark, parts):
+    """Cells of all levels, however the sorted colours are cut into ranges."""
+    rng = np.random.default_rng(parts)
+    pictures = [np.full((4, 4, 4), 7, np.uint8), random_image(2, 40, 30), (random_image(3, 30, 30) // 64), random_image(4, 1, 1), rng.integers(100, 104, (20, 20, 4)).astype(np.uint8)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        counts = histogram.colour_counts(model.explode_pixels(packed(spark, pictures)))
+        got = {(r.image_id, r.level): r.n_cells for r in histogram.level_counts(counts.repartition(parts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == {(i, k): len({tuple(c) for c in (p[..., :3].reshape(-1, 3) >> (8 - k)).tolist()}) for i, p in enumerate(pictures) for k in range(9)}
+    assert histogram.level_counts(counts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 23])
+def test_rounds_split_as_whole_images(spark, k):
+    """Splitting many images in rounds gives each the clusters, and their order, of splitting it whole."""
+    rng = np.random.default_rng(k)
+    sizes = [1, 2, 3, 40, 300, 60]
+    clouds = [np.column_stack([np.sort(rng.random(n)), rng.normal(0, 0.1, (n, 2)) * rng.random() + rng.integers(0, 3, (n, 2)) * 0.2, rng.integers(1, 50, n)]) for n in sizes]
+    clouds.append(np.column_stack([np.full((5, 3), 0.25), np.ones(5)]))
+    rows = [(i, b, *map(float, c)) for i, cloud in enumerate(clouds) for b, c in enumerate(cloud)]
+    bins = spark.createDataFrame(rows, "image_id long, bin long, l double, a double, b double, w double").repartition(3)
+    got = {}
+    for r in extract.split_rounds(bins, k).collect():
+        got.setdefault(r.image_id, {})[r.idx] = (r.l, r.a, r.b)
+    for i, cloud in enumerate(clouds):
+        want = extract.split_whole(cloud[:, :3], cloud[:, 3], k)
+        assert sorted(got[i]) == list(range(len(want))) and np.allclose([got[i][j] for j in range(len(want))], want, atol=1e-9), i
