@@ -112,6 +112,9 @@ ORACLE_SQL["tent_rows"] = f"WITH {_ORDERS}, {_tents('px', 'h', 'v', 'rgb')} SELE
 ORACLE_SQL["tent_2x"] = f"WITH {_ORDERS}, {_tents('px', 'h', 'v', 'rgb')} SELECT * FROM v"
 
 
+ORACLE_SQL["tent_tall_4x"] = f"WITH {_ORDERS}, tall AS (SELECT CAST(0 AS BIGINT) AS image_id, CAST(image_id * {TILE} + y AS INTEGER) AS y, x, r, g, b FROM px), {_tents('tall', 'h', 'v', 'rgb')}, {_tents('v', 'h2', 'v2', 'rgb')} SELECT * FROM v2"
+
+
 def _large(scale: int) -> str:
     return f"none AS (SELECT image_id, y, x, pr AS r, pg AS g, pb AS b, 255 AS a FROM px JOIN best USING (r, g, b) JOIN pal USING (idx)), s AS (SELECT unnest(range(0, {scale})) AS k), large AS (SELECT image_id, CAST({scale} * y + j.k AS INTEGER) AS y, CAST({scale} * x + i.k AS INTEGER) AS x, r, g, b, a FROM none, s AS j, s AS i)"
 

@@ -377,3 +377,19 @@ def test_rounds_split_as_whole_images(spark, k):
     for i, cloud in enumerate(clouds):
         want = extract.split_whole(cloud[:, :3], cloud[:, 3], k)
         assert sorted(got[i]) == list(range(len(want))) and np.allclose([got[i][j] for j in range(len(want))], want, atol=1e-9), i
+
+
+@pytest.mark.parametrize("scale", [2, 4])
+@pytest.mark.parametrize("rows", [1, 2, 5, 64])
+def test_bands_with_edge_rows(spark, scale, rows):
+    """Bands of any height give what the tents give on whole images."""
+    pictures = [random_image(k, w * scale, h * scale) for k, (w, h) in enumerate([(1, 1), (3, 1), (2, 7), (4, 10), (1, 13)])]
+    got = arrays(model.pack_pixels(resample.downsample(model.explode_pixels(packed(spark, pictures)), scale=scale, rows=rows)))
+    assert len(got) == len(pictures)
+    for k, picture in enumerate(pictures):
+        want = picture[None]
+        for _ in range(scale // 2):
+            want = resample.tent(want)
+        assert (got[k] == want[0]).all()
+    with pytest.raises(Exception, match="whole grid"):
+        resample.downsample(model.explode_pixels(packed(spark, [random_image(1, 6, 4)])).where("x != 3 or y != 2"), scale=2).collect()
