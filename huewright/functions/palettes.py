@@ -55,9 +55,9 @@ def parse_errors(df: DataFrame, *, id_column: str = "palette_id", text_column: s
 
 
 def parse_lines(df: DataFrame, *, id_column: str = "palette_id", text_column: str = "s") -> DataFrame:
-    """Lenient reading of one #rrggbb in a line: other lines are skipped, and so is what comes after 256 colours."""
+    """Lenient reading of one #rrggbb in a line: other lines are skipped. All colours are kept, however many; check_palette() refuses more than an operator can take."""
     lines = F.filter(F.split(F.col(text_column), "\r?\n"), lambda x: F.trim(x).rlike("^#[0-9A-Fa-f]{6}$"))
-    rows = df.select(F.col(id_column).alias("palette_id"), F.posexplode(F.slice(lines, 1, MAX_COLOURS)).alias("idx", "line"))
+    rows = df.select(F.col(id_column).alias("palette_id"), F.posexplode(lines).alias("idx", "line"))
     return rows.select("palette_id", "idx", *(_channel(F.substring(F.trim("line"), 2, 6), k).alias(c) for k, c in enumerate("rgb")))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators.kernels import KERNELS, Kernel
-from ..sources.presets import BUILT_IN
 
 TILE = 16
 
@@ -204,14 +203,28 @@ firsts AS (SELECT palette_id, arg_min({'kind': kind, 'colour': colour, 'pos': po
 ORACLE_SQL["hex_errors"] = f"WITH {_ODD} SELECT palette_id, e.kind AS kind, e.colour AS colour, e.pos AS pos FROM firsts"
 _CHANNEL = "CAST(CAST('0x' || substr(t, {at}, 2) AS BIGINT) AS INTEGER)"
 ORACLE_SQL["hex_sound"] = f"WITH {_ODD} SELECT palette_id, count(*) AS n, CAST(sum({_CHANNEL.format(at=1)} * (i + 1)) AS BIGINT) AS check_r, CAST(sum({_CHANNEL.format(at=5)} * (i + 1)) AS BIGINT) AS check_b FROM tok WHERE palette_id NOT IN (SELECT palette_id FROM firsts) GROUP BY palette_id"
-ORACLE_SQL["line_import"] = f"WITH {_ODD} SELECT * FROM (SELECT palette_id, CAST(row_number() OVER (PARTITION BY palette_id ORDER BY i) - 1 AS INTEGER) AS idx, " + ", ".join(f"{_CHANNEL.format(at=a)} AS {c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM bad WHERE ok = 6 AND len(t) = 6) WHERE idx < 256"
-
-_PRESETS = [(line.split(":")[0], k, i, *token.split("=")) for k, line in enumerate(BUILT_IN.strip().split("\n")) for i, token in enumerate(line.split(":")[1].split())]
-_VALUES = "p(name, ord, idx, key, t) AS (VALUES " + ", ".join(f"('{n}', {k}, {i}, '{key}', '{t}')" for n, k, i, key, t in _PRESETS) + ")"
-ORACLE_SQL["preset_colours"] = f"WITH {_VALUES} SELECT name, ord, idx, key, " + ", ".join(f"{_CHANNEL.format(at=a)} AS {c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM p"
-ORACLE_SQL["preset_catalogue"] = f"WITH {_VALUES} SELECT DISTINCT ord, name, array_to_string(list_transform(string_split(name, '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS display FROM p"
-ORACLE_SQL["preset_totals"] = f"WITH {_VALUES} SELECT count(DISTINCT name) AS n_palettes, count(*) AS n_colours, CAST(min(len(name)) AS INTEGER) AS shortest, CAST(max(len(name)) AS INTEGER) AS longest FROM p"
-ORACLE_SQL["ditherer_catalogue"] = "SELECT * FROM (VALUES ('none', 'No dithering', 1, 0, 0, 0), ('fs', 'Floyd-Steinberg', 16, 4, 16, 1), ('atkinson', 'Atkinson', 8, 6, 6, 2), ('jjn', 'Jarvis, Judice, and Ninke', 48, 12, 48, 3), ('burkes', 'Burkes', 32, 7, 32, 4), ('sierra32', 'Sierra', 32, 10, 32, 5), ('sierra4', 'Sierra Lite', 4, 3, 4, 6)) AS d(name, display, divisor, n_taps, weight, ord)"
+ORACLE_SQL["line_import"] = f"WITH {_ODD} SELECT * FROM (SELECT palette_id, CAST(row_number() OVER (PARTITION BY palette_id ORDER BY i) - 1 AS INTEGER) AS idx, " + ", ".join(f"{_CHANNEL.format(at=a)} AS {c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM bad WHERE ok = 6 AND len(t) = 6)"
+
+_LISTED = """named AS (SELECT replace(lower(p_brand), '#', '-') || '-' || p_partkey // 1000 AS name, p_partkey AS k, printf('%06x', p_partkey * 7919 % 16777216) AS t FROM part),
+p AS (SELECT name, CAST(min(k) OVER (PARTITION BY name) AS INTEGER) AS ord, CAST(row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS INTEGER) AS idx, 'k' || k AS key, t FROM named)"""
+_SHOWN = "array_to_string(list_transform(string_split(name, '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+ORACLE_SQL["preset_colours"] = f"WITH {_LISTED} SELECT name, ord, idx, key, " + ", ".join(f"{_CHANNEL.format(at=a)} AS {c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM p"
+ORACLE_SQL["preset_catalogue"] = f"WITH {_LISTED} SELECT DISTINCT ord, name, {_SHOWN} AS display FROM p"
+ORACLE_SQL["preset_totals"] = f"WITH {_LISTED} SELECT count(DISTINCT name) AS n_palettes, count(*) AS n_colours, CAST(min(len(name)) AS INTEGER) AS shortest, CAST(max(len(name)) AS INTEGER) AS longest FROM p"
+ORACLE_SQL["preset_listed"] = """WITH c AS (SELECT CAST(p_partkey AS INTEGER) AS ord, lower(p_type) AS name, printf('%06x', p_partkey * 7919 % 16777216) AS t, p_partkey % 5 AS m FROM part),
+e AS (
+  SELECT ord, name, 0 AS idx, 'a' AS key, t AS v FROM c WHERE m = 0
+  UNION ALL SELECT ord, name, 1, 'b', 'zz' FROM c WHERE m = 0
+  UNION ALL SELECT ord, name, 0, 'c', t || '0' FROM c WHERE m = 2
+  UNION ALL SELECT ord, name, 1, 'd', '=' || t FROM c WHERE m = 2
+  UNION ALL SELECT ord, 'p', 0, t, '#' || t FROM c WHERE m = 4
+)
+SELECT ord, name, CAST(idx AS INTEGER) AS idx, key, '#' || v AS colour, """ + ", ".join(f"CASE WHEN key = 'a' THEN CAST(CAST('0x' || substr(v, {a}, 2) AS BIGINT) AS INTEGER) ELSE -1 END AS {c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM e"
+ORACLE_SQL["preset_applied"] = f"""WITH {_EVENTS}, {_LISTED},
+pal AS (SELECT name, idx, """ + ", ".join(f"{_CHANNEL.format(at=a)} AS p{c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + f""" FROM p WHERE name LIKE '%-0')
+SELECT image_id, y, x, name, CAST(min(((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 1000 + idx) % 1000 AS INTEGER) AS idx
+FROM px JOIN pal ON pal.name = 'brand-' || (image_id % 25 + 1) || '-0' GROUP BY image_id, y, x, name"""
+ORACLE_SQL["ditherer_catalogue"] = f"WITH {_EVENTS}, t AS (SELECT CAST(image_id % 7 AS INTEGER) AS ord, count(DISTINCT image_id) AS n_images FROM px GROUP BY 1) SELECT d.*, coalesce(n_images, 0) AS n_images FROM (VALUES ('none', 'No dithering', 1, 0, 0, 0), ('fs', 'Floyd-Steinberg', 16, 4, 16, 1), ('atkinson', 'Atkinson', 8, 6, 6, 2), ('jjn', 'Jarvis, Judice, and Ninke', 48, 12, 48, 3), ('burkes', 'Burkes', 32, 7, 32, 4), ('sierra32', 'Sierra', 32, 10, 32, 5), ('sierra4', 'Sierra Lite', 4, 3, 4, 6)) AS d(name, display, divisor, n_taps, weight, ord) LEFT JOIN t USING (ord)"
 ORACLE_SQL["nibble_pack"] = f"WITH {_EVENTS}, pal AS (SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS idx, n_nationkey * 53 % 256 AS pr, n_nationkey * 97 % 256 AS pg, n_nationkey * 193 % 256 AS pb FROM nation) WHERE idx < 16), {_BEST} SELECT image_id, CAST(p // 15 AS INTEGER) AS y, CAST(p % 15 // 2 AS INTEGER) AS k, CAST(sum(CASE WHEN p % 15 % 2 = 0 THEN idx * 16 ELSE idx END) AS INTEGER) AS byte FROM (SELECT image_id, 16 * y + x AS p, idx FROM px JOIN best USING (r, g, b)) GROUP BY ALL"
 ORACLE_SQL["png_rgb"] = f"WITH {_EVENTS} SELECT image_id, 16 AS width, 16 AS height, string_agg(printf('%02x%02x%02xff', r, g, b), '' ORDER BY y, x) AS pixels FROM px GROUP BY image_id"
 ORACLE_SQL["png_indexed"] = _NEAREST.format(source=_EVENTS) + " SELECT image_id, 16 AS width, 16 AS height, string_agg(printf('%02x%02x%02xff', pr, pg, pb), '' ORDER BY y, x) AS pixels FROM px JOIN best USING (r, g, b) JOIN pal USING (idx) GROUP BY image_id"

@@ -17,7 +17,7 @@ from ..operators.kernels import KERNELS, ditherers
 from ..operators.nearest import lookup, nearest, nearest_of_array, nearest_unrolled, psnr, recolour, recolour_distinct, squared_error
 from ..operators.resample import downsample, tent_horizontal, upsample
 from ..sources.images import decode_files, encode_images, encode_indexed_images, pack_nibble_rows
-from ..sources.presets import display_name, preset_sizes, presets
+from ..sources.presets import display_name, listed, preset_rows, preset_sizes
 from ..storage import written
 from . import oracle
 
@@ -200,20 +200,50 @@ def line_import(spark, d):
     return parse_lines(texts)
 
 
+def _preset_lines(spark, d):
+    """A preset file's lines (ord, line) made of the parts: a palette for each brand and thousand of keys."""
+    part = _table(spark, d, "part")
+    k = F.col("p_partkey")
+    name = F.concat(F.lower(F.regexp_replace("p_brand", "#", "-")), F.lit("-"), F.floor(k / 1000).cast("string"))
+    token = F.format_string("k%d=%06x", k, k * 7919 % 16777216)
+    rows = part.groupBy(name.alias("name")).agg(F.min(k).alias("ord"), F.sort_array(F.collect_list(F.struct(k, token.alias("t")))).alias("all"))
+    return rows.select(F.col("ord").cast("int").alias("ord"), F.concat("name", F.lit(": "), F.array_join("all.t", " ")).alias("line"))
+
+
 def preset_colours(spark, d):
-    return presets(spark)
+    return preset_rows(_preset_lines(spark, d))
 
 
 def preset_catalogue(spark, d):
-    return presets(spark).select("ord", "name", display_name(F.col("name")).alias("display")).distinct()
+    return preset_rows(_preset_lines(spark, d)).select("ord", "name", display_name(F.col("name")).alias("display")).distinct()
 
 
 def preset_totals(spark, d):
-    return preset_sizes(presets(spark))
+    return preset_sizes(preset_rows(_preset_lines(spark, d)))
+
+
+def preset_listed(spark, d):
+    """Odd preset lines, a part each: equal names, values that are no colours, tokens without '=', lines without a colon."""
+    k = F.col("p_partkey")
+    code = F.lower(F.lpad(F.conv((k * 7919 % 16777216).cast("string"), 10, 16), 6, "0"))
+    line = F.when(k % 5 == 0, F.concat(F.lower("p_type"), F.lit(": a="), code, F.lit("  b=zz"))).when(k % 5 == 1, F.concat(F.lower("p_type"), F.lit(" x="), code)).when(k % 5 == 2, F.concat(F.lower("p_type"), F.lit(":junk c="), code, F.lit("0 d=="), code)).when(k % 5 == 3, F.lit("none: a b")).otherwise(F.concat(F.lit("p:"), code, F.lit("=#"), code))
+    found = listed(_table(spark, d, "part").select(k.cast("int").alias("ord"), line.alias("line")))
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in "rgb"})
+
+
+def preset_applied(spark, d):
+    """Every tile of the events in the preset that its number names, the brands in turn."""
+    lines = _preset_lines(spark, d)
+    named = preset_rows(lines).where("name rlike '-0$'").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("palette"))
+    pixels = event_pixels(spark, d).withColumn("name", F.concat(F.lit("brand-"), (F.col("image_id") % 25 + 1).cast("string"), F.lit("-0")))
+    return pixels.join(named, "name").select("image_id", "y", "x", "name", nearest_of_array(F.col("palette")).alias("idx"))
 
 
 def ditherer_catalogue(spark, d):
-    return ditherers(spark).select("ord", "name", "display", "divisor", F.size("taps").alias("n_taps"), F.aggregate("taps", F.lit(0), lambda a, t: a + t["weight"]).alias("weight"))
+    """The ditherers in their order, with the tiles of the events that take turns at naming them."""
+    tiles = event_pixels(spark, d).select((F.col("image_id") % len(KERNELS)).cast("int").alias("ord"), "image_id").groupBy("ord").agg(F.countDistinct("image_id").alias("n_images"))
+    rows = ditherers(spark).select("ord", "name", "display", "divisor", F.size("taps").alias("n_taps"), F.aggregate("taps", F.lit(0), lambda a, t: a + t["weight"]).alias("weight"))
+    return rows.join(tiles, "ord", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0).cast("long")))
 
 
 def nibble_pack(spark, d):
@@ -252,7 +282,7 @@ def apply_extracted(spark, d):
     return rows.select("image_id", "y", "x", nearest_of_array(F.col("palette")).alias("idx"))
 
 
-_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x)
+_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x, preset_listed, preset_applied)
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"dither_{k.name}": _dither(k.name) for k in KERNELS}
 QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS[1:]} | {f"multisample_4x_{k.name}": _multisample(k.name, 4) for k in KERNELS[1:]}

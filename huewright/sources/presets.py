@@ -36,10 +36,14 @@ def presets(spark: SparkSession, path: str | None = None, *, strict: bool = True
 
     A palette without colours is one row of nulls after ord where the read is strict, and left out where it is lenient.
     """
-    lines = _lines(spark, path)
+    if strict and path is not None and spark.read.text(path, wholetext=True).where(F.col("value").endswith("\n")).isEmpty():
+        raise ValueError("a preset file isn't empty and ends in a newline")
+    return preset_rows(_lines(spark, path), strict=strict)
+
+
+def preset_rows(lines: DataFrame, *, strict: bool = True) -> DataFrame:
+    """presets() of the lines (ord, line) of a preset file."""
     if strict:
-        if path is not None and spark.read.text(path, wholetext=True).where(F.col("value").endswith("\n")).isEmpty():
-            raise ValueError("a preset file isn't empty and ends in a newline")
         values = F.size(F.regexp_extract_all("line", F.lit(r"="), F.lit(0)))
         bad = lines.where(~F.col("line").rlike(_LINE) | (values > MAX_COLOURS)).orderBy("ord").first()
         if bad:
@@ -53,6 +57,17 @@ def presets(spark: SparkSession, path: str | None = None, *, strict: bool = True
     return rows.select("name", "ord", "idx", F.substring_index("token", "=", 1).alias("key"), *channels)
 
 
+def listed(lines: DataFrame) -> DataFrame:
+    """(ord, name, idx, key, colour, r, g, b) of all palettes in lines (ord, line), as a list to choose from shows them: palettes of equal names and values that aren't colours stay, the latter
+    with null channels. Lines without a colon, tokens without '=' and palettes without tokens are left out."""
+    named = lines.where(F.instr("line", ":") > 0).select("ord", F.substring_index("line", ":", 1).alias("name"), F.expr("substring(line, instr(line, ':') + 1)").alias("rest"))
+    tokens = named.select("ord", "name", F.posexplode(F.filter(F.split("rest", r"\s+"), lambda t: t.contains("="))).alias("idx", "token"))
+    value = F.expr("substring(token, instr(token, '=') + 1)")
+    sound = value.rlike("^[0-9A-Fa-f]{6}$")
+    channels = [F.when(sound, F.conv(F.substring(value, 2 * k + 1, 2), 16, 10).cast("int")).alias(c) for k, c in enumerate("rgb")]
+    return tokens.select("ord", "name", "idx", F.substring_index("token", "=", 1).alias("key"), F.concat(F.lit("#"), value).alias("colour"), *channels)
+
+
 def preset_faults(spark: SparkSession, path: str) -> DataFrame:
     """(name, ord, key, value): what a lenient read of a preset file leaves out for values that aren't six hex digits, of first and later lines of a name."""
     named = _lines(spark, path).where(F.instr("line", ":") > 0).select(F.substring_index("line", ":", 1).alias("name"), "ord", F.expr("substring(line, instr(line, ':') + 1)").alias("rest"))
