@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..model import Colours, check_palette
+from ..storage import written
 
 
 def searcher(palette: np.ndarray, at_once: int = 4096):
@@ -90,6 +91,55 @@ def nearest_of_array(palette: Column, r: str = "r", g: str = "g", b: str = "b")
     return F.array_min(F.transform(palette, key)).bitwiseAND(255)
 
 
+def candidates(palette: np.ndarray, cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """For each cell (upper bits of r, g and b in one number) the positions of the colours that can be the nearest of one of its points.
+
+    A colour can't be if its least distance to the cell is more than another's greatest.
+    """
+    side = 1 << (8 - bits)
+    low = np.stack([cells >> 2 * bits, cells >> bits & (1 << bits) - 1, cells & (1 << bits) - 1], 1) * side
+    out = []
+    for corner in low.astype(np.int64):
+        below, above = corner - palette, palette - (corner + side - 1)
+        least = (np.maximum(np.maximum(below, above), 0) ** 2).sum(1)
+        greatest = (np.maximum(np.abs(palette - corner), np.abs(palette - (corner + side - 1))) ** 2).sum(1)
+        out.append(np.flatnonzero(least <= greatest.min()))
+    return out
+
+
+def nearest_many(pixels: DataFrame, palette: DataFrame, *, bits: int = 4, most: int = 1 << 16, column: str = "idx") -> DataFrame:
+    """pixels with the index of the nearest colour of a large palette (idx, r, g, b), the lowest index on ties, and n_candidates, the colours that were compared.
+
+    RGB space is cut into cells; each lists the only colours that can be the nearest of its points. Pixels are joined to their cell's list, so a pixel is compared with few of the colours. The palette
+    (`most` colours at most, else ValueError) goes to all tasks; of equal colours the first one counts. The lists are sent to all tasks up to 4,000,000 entries in all, else joined.
+    """
+    if column in pixels.columns or "n_candidates" in pixels.columns:
+        raise ValueError(f"there is a column {column} or n_candidates already")
+    first = palette.groupBy("r", "g", "b").agg(F.min("idx").alias("idx"))
+    rows = sorted((r.idx, r.r, r.g, r.b) for r in first.limit(most + 1).collect())
+    if not 0 < len(rows) <= most:
+        raise ValueError(f"a palette has 1 to {most} different colours")
+    table = np.array(rows, np.int64)
+    if table[:, 1:].min() < 0 or table[:, 1:].max() > 255:
+        raise ValueError("colour values are 0 to 255")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            lists = [[{"idx": i, "r": r, "g": g, "b": b} for i, r, g, b in table[k].tolist()] for k in candidates(table[:, 1:], cells, bits)]
+            kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("idx", "r", "g", "b")]))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(lists, kind)], names=["cell", "colours"])
+
+    spark = pixels.sparkSession
+    index = written(spark.range(1 << 3 * bits).mapInArrow(run, "cell long, colours array<struct<idx:int,r:int,g:int,b:int>>"))
+    small = (index.agg(F.sum(F.size("colours"))).first()[0] or 0) <= 4_000_000
+    cell = sum(F.shiftright(F.col(c), 8 - bits) * (1 << k * bits) for k, c in ((1, "g"), (0, "b"))) + F.shiftright("r", 8 - bits) * (1 << 2 * bits)
+    joined = pixels.withColumn("_cell", cell.cast("long")).join((F.broadcast(index) if small else index).withColumnRenamed("cell", "_cell"), "_cell")
+    distance = lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in "gb"), (F.col("r") - p["r"]) * (F.col("r") - p["r"]))
+    best = F.array_min(F.transform("colours", lambda p: F.struct(distance(p).alias("d"), p["idx"].alias("i"))))["i"]
+    return joined.select(*pixels.columns, best.alias(column), F.size("colours").alias("n_candidates"))
+
+
 def lookup(pixels: DataFrame, palette: Colours, *, column: str = "idx") -> DataFrame:
     """pixels with r, g, b set to the palette's colour at the index; other columns, alpha among them, stay."""
     table = check_palette(palette)

@@ -48,6 +48,30 @@ SELECT image_id, n_pixels, sse, CASE WHEN sse > 0 THEN round(10 * log10(255.0::D
 FROM (SELECT image_id, count(*) AS n_pixels, CAST(sum((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) AS BIGINT) AS sse
   FROM px JOIN best USING (r, g, b) JOIN pal USING (idx) GROUP BY image_id)"""
 
+_MANY = ", ".join(f"CAST(p_partkey * 7919 // {256**i} % 256 AS INTEGER) AS p{c}" for i, c in enumerate("rgb"))
+ORACLE_SQL["nearest_of_parts"] = f"""WITH {_EVENTS}, pal AS (SELECT min(CAST(p_partkey AS INTEGER)) AS idx, pr, pg, pb FROM (SELECT p_partkey, {_MANY} FROM part) GROUP BY pr, pg, pb),
+box AS (SELECT DISTINCT r // 16 * 16 AS lr, g // 16 * 16 AS lg, b // 16 * 16 AS lb FROM px),
+dist AS (
+  SELECT lr, lg, lb, idx, {" + ".join(f"pow(greatest(l{c} - p{c}, p{c} - l{c} - 15, 0), 2)" for c in "rgb")} AS least, {" + ".join(f"pow(greatest(abs(p{c} - l{c}), abs(p{c} - l{c} - 15)), 2)" for c in "rgb")} AS most FROM box, pal
+),
+lists AS (SELECT lr, lg, lb, CAST(count(*) AS INTEGER) AS n_candidates FROM (SELECT *, min(most) OVER (PARTITION BY lr, lg, lb) AS bound FROM dist) WHERE least <= bound GROUP BY lr, lg, lb),
+best AS (SELECT r, g, b, CAST(min(((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 1000000 + idx) % 1000000 AS INTEGER) AS idx FROM (SELECT DISTINCT CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM px), pal GROUP BY r, g, b)
+SELECT image_id, y, x, idx, n_candidates FROM px JOIN best USING (r, g, b) JOIN lists ON lr = r // 16 * 16 AND lg = g // 16 * 16 AND lb = b // 16 * 16"""
+_FRAME = "ROWS BETWEEN 7 PRECEDING AND CURRENT ROW"
+ORACLE_SQL["ssim_recoloured"] = _NEAREST.format(source=_ORDERS) + f""",
+n AS (SELECT (max(image_id) + 1) // 4 * 16 AS whole FROM px),
+g AS (
+  SELECT CAST(image_id // 4 * 16 + y AS INTEGER) AS y, CAST(image_id % 4 * 16 + x AS INTEGER) AS x, (299 * r + 587 * g + 114 * b) // 1000 AS a, (299 * pr + 587 * pg + 114 * pb) // 1000 AS b
+  FROM px JOIN best USING (r, g, b) JOIN pal USING (idx)
+),
+i AS (SELECT CASE WHEN y >= whole THEN 1 ELSE 0 END AS image_id, CASE WHEN y >= whole THEN y - whole ELSE y END AS y, x, a, b, a * a AS aa, b * b AS bb, a * b AS ab FROM g, n),
+h AS (SELECT image_id, y, x, {", ".join(f"sum({c}) OVER w AS {c}" for c in ("a", "b", "aa", "bb", "ab"))} FROM i WINDOW w AS (PARTITION BY image_id, y ORDER BY x {_FRAME})),
+v AS (SELECT image_id, y, x, {", ".join(f"sum({c}) OVER w AS {c}" for c in ("a", "b", "aa", "bb", "ab"))} FROM h WINDOW w AS (PARTITION BY image_id, x ORDER BY y {_FRAME})),
+m AS (SELECT *, a / 64 AS ma, b / 64 AS mb FROM v WHERE x >= 7 AND y >= 7)
+SELECT CAST(image_id AS BIGINT) AS image_id, count(*) AS n_windows, {", ".join(f"CAST(sum({c}) AS BIGINT) AS sum_{c}" for c in ("a", "b", "aa", "bb", "ab"))},
+  round(avg((2 * ma * mb + 6.5025::DOUBLE) * (2 * (ab / 64 - ma * mb) + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * ((aa + bb) / 64 - ma * ma - mb * mb + 58.5225::DOUBLE))), 6) AS ssim
+FROM m GROUP BY image_id"""
+
 _CELL = "((r >> (8 - level)) * 65536 + (g >> (8 - level)) * 256 + (b >> (8 - level)))"
 _MORTON = "CAST((" + " + ".join(f"((r >> {k} & 1) << {3 * k + 2}) + ((g >> {k} & 1) << {3 * k + 1}) + ((b >> {k} & 1) << {3 * k})" for k in range(8)) + ") >> (24 - 3 * level) AS BIGINT)"
 _LEVELS = f"lv AS (SELECT image_id, level, count(DISTINCT {_CELL}) AS n_cells FROM px, (SELECT CAST(unnest(range(0, 9)) AS INTEGER) AS level) GROUP BY image_id, level)"

@@ -14,8 +14,9 @@ from ..operators.dither import dither, dither_indices, dither_packed
 from ..operators.extract import extract_palettes
 from ..operators.histogram import colour_counts, histogram, level_counts, moments, oklab_bins
 from ..operators.kernels import KERNELS, ditherers
-from ..operators.nearest import lookup, nearest, nearest_of_array, nearest_unrolled, psnr, recolour, recolour_distinct, squared_error
+from ..operators.nearest import lookup, nearest, nearest_many, nearest_of_array, nearest_unrolled, psnr, recolour, recolour_distinct, squared_error
 from ..operators.resample import downsample, tent_horizontal, upsample
+from ..operators.similarity import brightness, ssim
 from ..sources.images import decode_files, encode_images, encode_indexed_images, pack_nibble_rows
 from ..sources.presets import display_name, listed, preset_rows, preset_sizes
 from ..storage import written
@@ -78,6 +79,25 @@ def palette_usage(spark, d):
     return found.groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.sum(error).cast("long").alias("sse"))
 
 
+def nearest_of_parts(spark, d):
+    """A palette of as many colours as there are parts."""
+    k = F.col("p_partkey") * 7919
+    palette = _table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("idx"), *((F.floor(k / 256**i) % 256).cast("int").alias(c) for i, c in enumerate("rgb")))
+    return nearest_many(event_pixels(spark, d), palette).select("image_id", "y", "x", "idx", "n_candidates")
+
+
+def ssim_recoloured(spark, d):
+    """The tiles of the orders, side by side in rows of 64 pixels, against what recolouring makes of them."""
+    rows = nearest(order_pixels(spark, d), nation_palette(spark, d))
+    new = lookup(rows.withColumn("a", brightness(F.col("r"), F.col("g"), F.col("b"))), nation_palette(spark, d)).withColumn("b", brightness(F.col("r"), F.col("g"), F.col("b")))
+    tile = F.col("image_id")
+    placed = new.select(F.lit(0).cast("long").alias("image_id"), (F.floor(tile / 4) * TILE + F.col("y")).cast("int").alias("y"), (tile % 4 * TILE + F.col("x")).cast("int").alias("x"), "a", "b")
+    whole = F.floor((F.lit(new.agg(F.max("image_id")).first()[0]) + 1) / 4) * TILE  # a last row of fewer tiles is an image of its own
+    last = F.col("y") >= whole
+    found = ssim(placed.select(F.when(last, 1).otherwise(0).cast("long").alias("image_id"), F.when(last, F.col("y") - whole).otherwise(F.col("y")).cast("int").alias("y"), "x", "a", "b"))
+    return found.select("image_id", "n_windows", "sum_a", "sum_b", "sum_aa", "sum_bb", "sum_ab", F.round("ssim", 6).alias("ssim"))
+
+
 def recolour_none(spark, d):
     return recolour(event_pixels(spark, d), nation_palette(spark, d))
 
@@ -282,7 +302,7 @@ def apply_extracted(spark, d):
     return rows.select("image_id", "y", "x", nearest_of_array(F.col("palette")).alias("idx"))
 
 
-_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x, preset_listed, preset_applied)
+_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x, preset_listed, preset_applied, nearest_of_parts, ssim_recoloured)
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"dither_{k.name}": _dither(k.name) for k in KERNELS}
 QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS[1:]} | {f"multisample_4x_{k.name}": _multisample(k.name, 4) for k in KERNELS[1:]}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from huewright import model
 from huewright.functions import colour
-from huewright.operators import dither, extract, histogram, kernels, nearest, resample
+from huewright.operators import dither, extract, histogram, kernels, nearest, resample, similarity
 from huewright.sources import images, png
 from huewright.streaming import apply_stream, read_image_stream
 
@@ -393,3 +393,37 @@ def test_bands_with_edge_rows(spark, scale, rows):
         assert (got[k] == want[0]).all()
     with pytest.raises(Exception, match="whole grid"):
         resample.downsample(model.explode_pixels(packed(spark, [random_image(1, 6, 4)])).where("x != 3 or y != 2"), scale=2).collect()
+
+
+def test_nearest_many(spark):
+    """Thousands of colours, some equal, some far away in one corner: the index and ties are those of comparing all."""
+    rng = np.random.default_rng(6)
+    palette = np.concatenate([rng.integers(0, 256, (1500, 3)), rng.integers(250, 256, (300, 3)), rng.integers(0, 256, (5, 3)).repeat(3, 0)])
+    colours = np.concatenate([rng.integers(0, 256, (3000, 3)), palette[::50], [[0, 0, 0], [255, 255, 255]]])
+    pixels = spark.createDataFrame([(k, *map(int, c)) for k, c in enumerate(colours)], "k long, r int, g int, b int").repartition(3)
+    rows = nearest.nearest_many(pixels, spark.createDataFrame([(k, *map(int, c)) for k, c in enumerate(palette)], "idx int, r int, g int, b int")).collect()
+    distance = ((colours[:, None] - palette[None]) ** 2).sum(2)
+    assert {r.k: r.idx for r in rows} == dict(enumerate(distance.argmin(1).tolist()))
+    assert max(r.n_candidates for r in rows) < 400
+    with pytest.raises(ValueError, match="1 to 10"):
+        nearest.nearest_many(pixels, spark.range(11).selectExpr("cast(id as int) idx", "cast(id as int) r", "0 g", "0 b"), most=10)
+
+
+@pytest.mark.parametrize("rows", [7, 9, 64])
+def test_ssim(spark, rows):
+    rng = np.random.default_rng(rows)
+    pairs, want = [], {}
+    for k, (h, w) in enumerate([(8, 8), (23, 11), (7, 30), (40, 8), (16, 16)]):
+        a = rng.integers(0, 256, (h, w))
+        b = a if k == 4 else np.clip(a + rng.integers(-40, 41, (h, w)), 0, 255)
+        pairs += [(k, y, x, int(a[y, x]), int(b[y, x])) for y in range(h) for x in range(w)]
+        found = []
+        for y in range(h - 7):
+            for x in range(w - 7):
+                p, q = (v[y : y + 8, x : x + 8].astype(float) for v in (a, b))
+                cov = ((p - p.mean()) * (q - q.mean())).mean()
+                found.append((2 * p.mean() * q.mean() + similarity.C1) * (2 * cov + similarity.C2) / ((p.mean() ** 2 + q.mean() ** 2 + similarity.C1) * (p.var() + q.var() + similarity.C2)))
+        if found:
+            want[k] = (len(found), pytest.approx(np.mean(found), abs=1e-9))
+    got = similarity.ssim(spark.createDataFrame(pairs, "image_id long, y int, x int, a int, b int").repartition(3), rows=rows).collect()
+    assert {r.image_id: (r.n_windows, r.ssim) for r in got} == want and want[4][1] == 1
