@@ -229,6 +229,10 @@ _CHANNEL = "CAST(CAST('0x' || substr(t, {at}, 2) AS BIGINT) AS INTEGER)"
 ORACLE_SQL["hex_sound"] = f"WITH {_ODD} SELECT palette_id, count(*) AS n, CAST(sum({_CHANNEL.format(at=1)} * (i + 1)) AS BIGINT) AS check_r, CAST(sum({_CHANNEL.format(at=5)} * (i + 1)) AS BIGINT) AS check_b FROM tok WHERE palette_id NOT IN (SELECT palette_id FROM firsts) GROUP BY palette_id"
 ORACLE_SQL["line_import"] = f"WITH {_ODD} SELECT * FROM (SELECT palette_id, CAST(row_number() OVER (PARTITION BY palette_id ORDER BY i) - 1 AS INTEGER) AS idx, " + ", ".join(f"{_CHANNEL.format(at=a)} AS {c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM bad WHERE ok = 6 AND len(t) = 6)"
 
+ORACLE_SQL["sql_parse"] = f"WITH {_ODD} SELECT palette_id, CAST(i AS INTEGER) AS idx, " + ", ".join(f"{_CHANNEL.format(at=a)} AS {c}" for a, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM tok WHERE palette_id NOT IN (SELECT palette_id FROM firsts)"
+ORACLE_SQL["sql_format"] = ORACLE_SQL["hex_format"]
+ORACLE_SQL["sql_nearest"] = f"""WITH {_EVENTS}, pal AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k, n_nationkey * 53 % 256 AS pr, n_nationkey * 97 % 256 AS pg, n_nationkey * 193 % 256 AS pb FROM nation)
+SELECT image_id, y, x, CAST(min(((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 1000 + k) % 1000 AS INTEGER) AS idx FROM px JOIN pal ON n_regionkey = image_id % 5 GROUP BY image_id, y, x"""
 _LISTED = """named AS (SELECT replace(lower(p_brand), '#', '-') || '-' || p_partkey // 1000 AS name, p_partkey AS k, printf('%06x', p_partkey * 7919 % 16777216) AS t FROM part),
 p AS (SELECT name, CAST(min(k) OVER (PARTITION BY name) AS INTEGER) AS ord, CAST(row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS INTEGER) AS idx, 'k' || k AS key, t FROM named)"""
 _SHOWN = "array_to_string(list_transform(string_split(name, '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.palettes import format_palettes, parse_errors, parse_lines, parse_palettes
+from ..functions.sql import register
 from ..model import Colours, pack_pixels
 from ..operators.dither import dither, dither_indices, dither_packed
 from ..operators.extract import extract_palettes
@@ -230,6 +231,23 @@ def _preset_lines(spark, d):
     return rows.select(F.col("ord").cast("int").alias("ord"), F.concat("name", F.lit(": "), F.array_join("all.t", " ")).alias("line"))
 
 
+def sql_parse(spark, d):
+    _odd_texts(register(spark), d).createOrReplaceTempView("palette_texts")
+    return spark.sql("SELECT t.palette_id, p.idx, p.r, p.g, p.b FROM palette_texts t, LATERAL parse_palette(t.s) p")
+
+
+def sql_format(spark, d):
+    _palette_texts(register(spark), d).createOrReplaceTempView("palette_texts")
+    return spark.sql("SELECT palette_id, format_palette(palette_of(upper(s))) AS s FROM palette_texts")
+
+
+def sql_nearest(spark, d):
+    """Each tile in the colours of a region, the regions in turn."""
+    _palette_texts(register(spark), d).createOrReplaceTempView("palette_texts")
+    event_pixels(spark, d).createOrReplaceTempView("event_pixels")
+    return spark.sql("SELECT image_id, y, x, nearest_index(palette_of(s), r, g, b) AS idx FROM event_pixels JOIN palette_texts ON palette_id = cast(image_id % 5 AS string)")
+
+
 def preset_colours(spark, d):
     return preset_rows(_preset_lines(spark, d))
 
@@ -302,7 +320,7 @@ def apply_extracted(spark, d):
     return rows.select("image_id", "y", "x", nearest_of_array(F.col("palette")).alias("idx"))
 
 
-_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x, preset_listed, preset_applied, nearest_of_parts, ssim_recoloured)
+_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x, preset_listed, preset_applied, nearest_of_parts, ssim_recoloured, sql_parse, sql_format, sql_nearest)
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"dither_{k.name}": _dither(k.name) for k in KERNELS}
 QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS[1:]} | {f"multisample_4x_{k.name}": _multisample(k.name, 4) for k in KERNELS[1:]}

@@ -41,33 +41,45 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, width int, height int, pixels binary, error string")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image_id, width, height, pixels) of the image files under a path. image_id is a hash of the path.
+def scan_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, image_id, width, height, pixels, error) of all files under a path; image_id is a hash of the path. A file that no reader can decode has an error and nulls.
 
-    Rows are read with Spark's file sources, so any file system works; files that no reader can decode are left out.
+    Rows are read with Spark's file sources, so any file system works. PNG files, by content, are decoded here, all others by Spark's image reader.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     is_png = F.substring("content", 1, 8) == F.lit(bytearray(png.SIGNATURE))
-    own = decode_files(files.where(is_png)).where("error is null").drop("error")
+    own = decode_files(files.where(is_png))
     place = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     known = files.where(is_png).select(place("path").alias("place"))
-    other = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
+    other = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path).select("image.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = []
+            out: dict[str, list] = {"path": batch.column(0).to_pylist(), "width": [], "height": [], "pixels": [], "error": []}
             for width, height, channels, raw in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                sound = width > 0 and height > 0 and channels in (1, 3, 4)
+                out["width"].append(width if sound else None)
+                out["height"].append(height if sound else None)
+                out["error"].append(None if sound else "no image that can be read")
+                if not sound:
+                    out["pixels"].append(None)
+                    continue
                 array = np.frombuffer(raw, np.uint8).reshape(height, width, channels)
                 rgba = np.full((height, width, 4), 255, np.uint8)
                 rgba[..., :3] = array[..., [2, 1, 0]] if channels > 1 else array
                 if channels == 4:
                     rgba[..., 3] = array[..., 3]
-                new.append(rgba.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.binary())], names=["path", "width", "height", "pixels"])
+                out["pixels"].append(rgba.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["path"], pa.string()), pa.array(out["width"], pa.int32()), pa.array(out["height"], pa.int32()), pa.array(out["pixels"], pa.binary()), pa.array(out["error"], pa.string())], names=list(out))
 
     plain = other.join(known, place("origin") == F.col("place"), "left_anti").select(F.col("origin").alias("path"), "width", "height", "nChannels", "data")
-    rest = plain.mapInArrow(run, "path string, width int, height int, pixels binary")
-    return own.unionByName(rest).select("path", F.xxhash64("path").alias("image_id"), "width", "height", "pixels")
+    rest = plain.mapInArrow(run, "path string, width int, height int, pixels binary, error string")
+    return own.unionByName(rest).select("path", F.xxhash64("path").alias("image_id"), "width", "height", "pixels", "error")
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, image_id, width, height, pixels) of the sound image files under a path; scan_images() tells of the others."""
+    return scan_images(spark, path).where("error is null").drop("error")
 
 
 def encode_images(images: DataFrame, form: str = "png") -> DataFrame:
@@ -112,4 +124,4 @@ def pack_nibble_rows(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("image_id", "y", F.floor(F.col("x") / 2).cast("int").alias("k")).agg(F.bit_or(value).cast("int").alias("byte"))
 
 
-__all__ = ["IMAGES", "apply_palette", "decode_files", "encode_images", "encode_indexed_images", "pack_nibble_rows", "read_images"]
+__all__ = ["IMAGES", "apply_palette", "decode_files", "encode_images", "encode_indexed_images", "pack_nibble_rows", "read_images", "scan_images"]

@@ -255,6 +255,9 @@ def test_files(spark, tmp_path):
     for k, p in enumerate(pictures):
         (tmp_path / f"{k}.dat").write_bytes(png.encode_rgb(p))
     (tmp_path / "bad.png").write_bytes(png.SIGNATURE + b"rest")
+    (tmp_path / "text.jpg").write_bytes(b"no image")
+    told = {r.path.rsplit("/", 1)[-1]: r for r in images.scan_images(spark, str(tmp_path)).where("error is not null").collect()}
+    assert sorted(told) == ["bad.png", "text.jpg"] and all(r.pixels is None and r.width is None for r in told.values())
     rows = images.read_images(spark, str(tmp_path)).collect()
     assert sorted((r.width, r.height) for r in rows) == [(8 + k, 6) for k in range(4)]
     by_width = {r.width: np.frombuffer(bytes(r.pixels), np.uint8).reshape(6, r.width, 4) for r in rows}

@@ -145,3 +145,22 @@ def test_cli_formats(spark, picture, tmp_path):
     assert files["ppm"].read_bytes() == b"P6\n13 9\n255\n" + want[..., :3].tobytes()
     row = read_images(spark, str(files["bmp"])).first()
     assert (row.width, row.height, row.pixels) == (13, 9, want.tobytes())
+
+
+def test_sql_functions(spark):
+    """The functions are SQL all the way: no Python in the plans, texts as strict reading takes them."""
+    from huewright.functions.sql import register
+
+    register(register(spark))
+    texts = ["000000,ff00Aa", "zz", "", None, "0000001", "000000,", ",".join(["0a0b0c"] * 256), ",".join(["0a0b0c"] * 257), " 000000"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string").createOrReplaceTempView("some_texts")
+    rows = spark.sql("SELECT k, p.* FROM some_texts, LATERAL parse_palette(s) p")
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.k, []).append((r.idx, r.r, r.g, r.b))
+    assert sorted(got) == [0, 6] and got[0] == [(0, 0, 0, 0), (1, 255, 0, 170)] and len(got[6]) == 256
+    one = spark.sql("SELECT k, format_palette(palette_of(s)) AS f, nearest_index(palette_of(s), 250, 3, 160) AS i, nearest_index(array(), 1, 2, 3) AS none FROM some_texts")
+    assert [(r.f, r.i, r.none) for r in one.orderBy("k").collect()][:2] == [("000000,ff00aa", 1, None), (None, None, None)]
+    assert spark.sql("SELECT nearest_index(palette_of('010000,010000,ffffff'), 0, 0, 0)").first()[0] == 0
+    for df in (rows, one):
+        assert "EvalPython" not in df._jdf.queryExecution().toString()
