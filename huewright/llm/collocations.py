@@ -2,15 +2,17 @@
 
 1. Words are counted by language, and pairs of neighbours by the hash of language and pair. A pair below min_count is in no candidate, so a bitmap of the hashes that reach
    it, of fixed size, tells the tasks of the next step where a suffix can end: it may let some rare pairs through, but stops no other.
-2. Every place where a piece of text goes on with pairs of the bitmap gives one suffix of max_n words at most. Equal ones are counted together in each task. Suffixes are dealt by
-   ranges of language, first word and what follows, so that a frequent first word is split among tasks, and sorted in reverse order. One stack then counts all prefixes: what
-   leaves it won't come again. Only the phrases that a task's first and last suffixes begin with can go on in other tasks; their counts are added up afterwards.
+2. Every place where a piece of text goes on with pairs of the bitmap gives one suffix of max_n words at most. Equal ones are counted together in each task. Suffixes are packed
+   and dealt by language and their first two words, so that a frequent first word is split among tasks, and sorted in reverse order. One stack then counts all prefixes of two
+   words or more: what leaves it won't come again. Suffixes that begin with two of the most frequent words (a hundredth of all words each) are dealt by all their words instead; what
+   their prefixes count in several tasks is added up afterwards.
 3. Candidates are cut after each word, and the counts of the parts are joined. Parts that hold a thousandth of all words (a few thousand of them at most) are sent
    to all tasks, so no hot part gathers in one. Longer candidates tell the phrases inside them, by a grouped maximum, that they are covered.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import LOWER, raw_texts, slices, written
+from .common import LOWER, looked_up, raw_texts, slices, written
 
 # The bytes that end a piece. Commas and full stops don't occur in words, so they stand for ends of pieces and for a word's NUL bytes; NUL parts words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -31,6 +33,8 @@ BITS, PLACES = 28, 16
 HELD, HELD_PAIRS = 400_000, 4_000_000
 #: Parts with 1 / HOT of all words are sent to all tasks: at most HOT of each length.
 HOT = 1000
+#: Words that hold 1 / HOT_WORDS of all are most frequent: at most HOT_WORDS of them.
+HOT_WORDS = 100
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -68,34 +72,24 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byte
             yield lang, tokens(b",".join(raws))
 
 
-def _counted(rows: DataFrame, count, name: str) -> DataFrame:
-    """(lang, name, n): what count(counter, lang, words) finds in the (lang, text) of each task, counted together up to HELD entries."""
-    schema = f"lang string, {name} binary, n long"
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(lang, word, n): occurrences of each word of the (lang, text); tasks count up to HELD words together."""
 
     def batch(lang: str, counter: Counter) -> pa.RecordBatch:
-        keys = sorted(counter)
-        return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys)), name: pa.array(keys, pa.binary()), "n": pa.array([counter[k] for k in keys], pa.int64())})
+        return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counter)), "word": pa.array(list(counter), pa.binary()), "n": pa.array(list(counter.values()), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         for lang, words in _by_lang(batches):
-            count(held.setdefault(lang, Counter()), lang, words)
+            counter = held.setdefault(lang, Counter())
+            counter.update(words)
+            counter.pop(b",", None)
             if sum(map(len, held.values())) >= HELD:
                 yield from (batch(k, c) for k, c in held.items() if c)
                 held = {}
         yield from (batch(k, c) for k, c in held.items() if c)
 
-    return rows.mapInArrow(run, schema)
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(lang, word, n): occurrences of each word of the (lang, text)."""
-
-    def count(counter: Counter, lang: str, words: list[bytes]) -> None:
-        counter.update(words)
-        counter.pop(b",", None)
-
-    return _counted(rows, count, "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def frequent_pairs(rows: DataFrame, min_count: int) -> np.ndarray:
@@ -149,14 +143,16 @@ def frequent_pairs(rows: DataFrame, min_count: int) -> np.ndarray:
     return out.ravel()
 
 
-def suffixes(rows: DataFrame, bits: np.ndarray, max_n: int) -> DataFrame:
-    """(lang, suffix, n): suffixes of 2 to max_n words, cut before the first pair that isn't in the bitmap; a suffix may come from several tasks."""
+def suffixes(rows: DataFrame, bits: np.ndarray, hot: set[tuple[str, bytes]], max_n: int, buckets: int) -> DataFrame:
+    """(bucket, lang, suffixes, counts): sorted suffixes of 2 to max_n words, cut before the first pair that isn't in the bitmap, packed by bucket; a suffix may come from several tasks.
+
+    All suffixes with the same first two words are in one bucket, but for those that begin with two hot words.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(bits)  # 2^BITS bits
     known = _Hashes()
+    schema = "bucket int, lang string, suffixes binary, counts binary"
 
-    def count(counter: Counter, lang: str, words: list[bytes]) -> None:
-        if len(words) < 2:
-            return
+    def add(counter: Counter, lang: str, words: list[bytes]) -> None:
         x, same = pair_hashes(words, lang, known)
         on = same & (sent.value[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1)
         # Pairs that follow each other from a place on, max_n - 1 at most: a suffix has one word more.
@@ -168,77 +164,101 @@ def suffixes(rows: DataFrame, bits: np.ndarray, max_n: int) -> DataFrame:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
         text = b"\0".join(words)
-        counter.update([text[a:b] for a, b in zip(begins[first].tolist(), ends[last].tolist(), strict=True)])
+        found = [text[a:b] for a, b in zip(begins[first].tolist(), ends[last].tolist(), strict=True)]
+        bucket = x[first] * buckets >> BITS
+        mine = {w for of, w in hot if of == lang}
+        if mine:
+            is_hot = np.fromiter((w in mine for w in words), bool, len(words))
+            for k in np.flatnonzero(is_hot[first] & is_hot[first + 1]).tolist():
+                bucket[k] = xxh3_64_intdigest(found[k]) % buckets
+        counter.update([b.to_bytes(4) + s for b, s in zip(bucket.tolist(), found, strict=True)])
+
+    def packed(lang: str, counter: Counter) -> pa.RecordBatch:
+        keys = sorted(counter)
+        numbers = np.fromiter(map(counter.__getitem__, keys), np.uint32, len(keys))
+        bucket = np.frombuffer(b"".join(k[:4] for k in keys), ">u4").astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True))
+        blobs = [zlib.compress(b"\n".join([k[4:] for k in keys[a:b]]), 1) for a, b in parts]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[starts]), "lang": pa.array([lang] * len(parts)), "suffixes": pa.array(blobs, pa.binary()), "counts": pa.array([numbers[a:b].tobytes() for a, b in parts], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for lang, words in _by_lang(batches):
+            if len(words) > 1:
+                add(held.setdefault(lang, Counter()), lang, words)
+            if sum(map(len, held.values())) >= HELD:
+                yield from (packed(k, c) for k, c in held.items() if c)
+                held = {}
+        yield from (packed(k, c) for k, c in held.items() if c)
 
-    return _counted(rows, count, "suffix")
+    return rows.mapInArrow(run, schema)
 
 
 class PrefixStack:
-    """Counts all prefixes of sorted (lang, suffix): each prefix leaves the stack once, with its count."""
+    """Counts all prefixes of two words or more of suffixes in reverse order: each prefix leaves the stack once, with its count."""
 
-    def __init__(self, min_count: int):
-        self.min_count = min_count
-        self.lang: str | None = None
+    def __init__(self, min_count: int, hot: frozenset[bytes] = frozenset()):
+        self.min_count, self.hot = min_count, hot
         self.words: list[bytes] = []
         self.counts: list[int] = []
-        self.first: tuple[str, list[bytes]] | None = None
-        self.out: list[tuple[str, bytes, int]] = []
+        self.out: list[tuple[bytes, int]] = []
 
-    def _leave(self, depth: int, end: bool = False) -> None:
+    def _leave(self, depth: int) -> None:
         words, counts = self.words, self.counts
         while len(words) > depth:
             n = counts.pop()
-            # What the first suffix begins with, or the last one, may stand in other tasks too.
-            if len(words) > 1 and (n >= self.min_count or end or self.first[0] == self.lang and self.first[1][: len(words)] == words):
-                self.out.append((self.lang, b" ".join(words), n))
+            # What begins with two hot words is counted in other tasks too.
+            if len(words) > 1 and (n >= self.min_count or words[0] in self.hot and words[1] in self.hot):
+                self.out.append((b" ".join(words), n))
             if counts:
                 counts[-1] += n
             words.pop()
 
-    def push(self, langs: list[str], suffixes: list[bytes], numbers: list[int]) -> None:
-        if self.first is None and langs:
-            self.first = (langs[0], suffixes[0].split(b"\0"))
-        words, counts = self.words, self.counts
-        for lang, suffix, n in zip(langs, suffixes, numbers, strict=True):
-            new = suffix.split(b"\0")
-            depth = 0
-            if lang == self.lang:
-                for a, b in zip(words, new, strict=False):
-                    if a != b:
-                        break
-                    depth += 1
-            if depth < len(words):
-                self._leave(depth)
-            self.lang = lang
-            if depth < len(new):
-                words += new[depth:]
-                counts += [0] * (len(new) - depth)
-            counts[-1] += n
+    def push(self, suffix: bytes, n: int) -> None:
+        words, new, depth = self.words, suffix.split(b"\0"), 0
+        for a, b in zip(words, new, strict=False):
+            if a != b:
+                break
+            depth += 1
+        if depth < len(words):
+            self._leave(depth)
+        if depth < len(new):
+            words += new[depth:]
+            self.counts += [0] * (len(new) - depth)
+        self.counts[-1] += n
 
     def close(self) -> None:
-        self._leave(0, True)
-
+        self._leave(0)
 
-def phrase_counts(found: DataFrame, min_count: int) -> DataFrame:
-    """(lang, phrase, f): the phrases of two words or more that the (lang, suffix, n) hold min_count times or more, their words parted by spaces."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = PrefixStack(min_count)
+def phrase_counts(found: DataFrame, hot: set[tuple[str, bytes]], min_count: int) -> DataFrame:
+    """(lang, phrase, f): the phrases of two words or more that the packed suffixes hold min_count times or more, their words parted by spaces. A task holds one bucket at a time."""
+    hot_of: dict[str, set[bytes]] = {}
+    for lang, word in hot:
+        hot_of.setdefault(lang, set()).add(word)
 
-        def ready() -> pa.RecordBatch:
-            columns = zip(*stack.out, strict=True) if stack.out else ((), (), ())
-            stack.out = []
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
+    def counted(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counter in held.items():
+            stack = PrefixStack(min_count, frozenset(hot_of.get(lang, ())))
+            for suffix in sorted(counter, reverse=True):
+                stack.push(suffix, counter[suffix])
+            stack.close()
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(stack.out), pa.string()), "phrase": pa.array([p for p, _ in stack.out], pa.binary()), "f": pa.array([n for _, n in stack.out], pa.int64())})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for batch in batches:
-            stack.push(*(c.to_pylist() for c in batch.columns))
-            if len(stack.out) > 10_000:
-                yield ready()
-        stack.close()
-        yield ready()
-
-    dealt = found.repartitionByRange(F.desc("lang"), F.desc("suffix")).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    parts = dealt.select("lang", "suffix", "n").mapInArrow(run, "lang string, phrase binary, f long")
+            for bucket, lang, blob, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from counted(held)
+                    now, held = bucket, {}
+                counter = held.setdefault(lang, Counter())
+                for suffix, n in zip(zlib.decompress(blob).split(b"\n"), np.frombuffer(counts, np.uint32).tolist(), strict=True):
+                    counter[suffix] += n
+        yield from counted(held)
+
+    parts = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "lang string, phrase binary, f long")
     return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("lang", _text("phrase"), "f")
 
 
@@ -247,12 +267,6 @@ def _text(column: str) -> Column:
     return F.replace(F.col(column).cast("string"), F.lit("."), F.lit("\0")).alias(column)
 
 
-def _looked_up(rows: DataFrame, values: DataFrame, keys: list[str], hot: Column) -> DataFrame:
-    """rows with the values of their keys; the hot ones, whose number has a bound, are sent to all tasks."""
-    few = F.broadcast(values.where(hot))
-    return rows.join(few, keys).unionByName(rows.join(F.broadcast(values.where(hot).select(*keys)), keys, "left_anti").join(values.where(~hot), keys))
-
-
 def _scored(candidates: DataFrame, counts: DataFrame, totals: DataFrame, words: int, max_n: int) -> DataFrame:
     """(lang, phrase, a, n, score, k, l, r) of the candidates' lowest-scoring cuts."""
     size = F.size(F.split("phrase", " "))
@@ -261,10 +275,10 @@ def _scored(candidates: DataFrame, counts: DataFrame, totals: DataFrame, words:
     cuts = F.flatten(F.array_compact(F.array(*(F.when(size > k, parts_at(k)) for k in range(1, max_n)))))
     asked = written(candidates.select("lang", "phrase", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*"))
     parts = counts.select("lang", F.col("phrase").alias("part"), "f")
-    found = _looked_up(asked, parts, ["lang", "part"], HOT * F.col("f") >= words)
+    found = looked_up(asked, parts, ["lang", "part"], HOT * F.col("f") >= words)
     of = lambda k, side: F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("f")))
     wide = found.groupBy("lang", "phrase", "a").agg(*(of(k, s).alias(f"f{k}_{s}") for k in range(1, max_n) for s in (0, 1)))
-    wide = _looked_up(written(wide), totals, ["lang"], HOT * F.col("n") >= words)
+    wide = looked_up(written(wide), totals, ["lang"], HOT * F.col("n") >= words)
     score = lambda k: F.expr(f"(1000 * (cast(a as decimal(17,0)) * cast(n as decimal(17,0)))) div (cast(f{k}_0 as decimal(19,0)) * cast(f{k}_1 as decimal(19,0)))")
     each = [F.when(F.col(f"f{k}_0").isNotNull(), F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"f{k}_0").alias("l"), F.col(f"f{k}_1").alias("r"))) for k in range(1, max_n)]
     return wide.select("lang", "phrase", "a", "n", (F.least(*each) if len(each) > 1 else each[0]).alias("c")).select("lang", "phrase", "a", "n", "c.*")
@@ -279,13 +293,14 @@ def _covering(candidates: DataFrame, max_n: int) -> DataFrame:
     return longer.select("lang", F.col("f"), F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("over"))
 
 
-def collocations(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang", max_n: int = 5, min_count: int = 100, cover_percent: int = 100, top: int = 2000, buckets: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang", max_n: int = 5, min_count: int = 100, cover_percent: int = 100, top: int = 2000, buckets: int = 64, bucket_words: int = 1_000_000) -> DataFrame:
     """The `top` phrases of 2 to max_n words of each language: lang, rank, phrase, a, l, r, n, score, by score and a (both descending), then by the phrase's bytes.
 
     n counts a language's words, a the phrase's occurrences within pieces of text (overlaps included), l and r those of the parts of its lowest-scoring cut (the first
     of equal ones); score is floor(1000 a n / (l r)). Phrases of a below min_count, and those inside a longer candidate with cover_percent % of their occurrences
     or more, are left out. Null languages are `und`; null and empty texts have no words; repeated rows count as often as they stand; an empty table gives no
-    rows. Very long texts are read whole, at most 200 texts at a time, and a task passes its counts on whenever it holds HELD of them. Other columns are not read.
+    rows. Very long texts are read whole, at most 200 texts at a time, and a task passes its counts on whenever it holds HELD of them; the number of
+    suffix buckets follows the number of words, about bucket_words in each. Other columns are not read.
     Counts are exact up to 10^17 words.
     """
     if not 2 <= max_n <= 20 or min_count < 1:
@@ -295,8 +310,10 @@ def collocations(docs: DataFrame, *, text_column: str = "text", lang_column: str
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")))
     total = totals.agg(F.sum("n")).first()[0] or 0
     frequent = words.where(F.col("n") >= min_count)
-    found = written(suffixes(rows, frequent_pairs(rows, min_count), max_n), "zstd")
-    candidates = written(phrase_counts(found, min_count))
+    hot = {(r.lang, bytes(r.word)) for r in words.where(HOT_WORDS * F.col("n") >= total).select("lang", "word").collect()}  # HOT_WORDS at most
+    n_buckets = max(total // bucket_words + 1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 20_000 + 1))
+    found = suffixes(rows, frequent_pairs(rows, min_count), hot, max_n, n_buckets)
+    candidates = written(phrase_counts(found, hot, min_count))
     counts = candidates.union(frequent.select("lang", _text("word"), "n"))
     scored = _scored(candidates, counts, totals, total, max_n)
     left = scored.join(_covering(candidates, max_n), ["lang", "phrase"], "left").where(F.col("over").isNull() | (100 * F.col("over") < cover_percent * F.col("a")))

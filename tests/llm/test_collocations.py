@@ -48,15 +48,16 @@ def made(seed):
     return rows + rows[:30]
 
 
-@pytest.mark.parametrize(("max_n", "min_count", "cover", "top", "held", "parts"), [(5, 10, 100, 2000, 400_000, 1), (5, 10, 100, 7, 50, 7), (2, 3, 100, 50, 400_000, 3), (4, 5, 60, 2000, 200, 5)])
-def test_collocations(spark, monkeypatch, max_n, min_count, cover, top, held, parts):
+@pytest.mark.parametrize(("max_n", "min_count", "cover", "top", "held", "parts", "hot"), [(5, 10, 100, 2000, 400_000, 1, 100), (5, 10, 100, 7, 50, 7, 20), (2, 3, 100, 50, 400_000, 3, 100_000), (4, 5, 60, 2000, 200, 5, 100_000), (5, 10, 100, 2000, 50, 4, 1)])
+def test_collocations(spark, monkeypatch, max_n, min_count, cover, top, held, parts, hot):
     rows = made(max_n)
     docs = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "1 as n", "2 as phrase", "3 as word").repartition(4)
     monkeypatch.setattr(collocations, "HELD", held)
     monkeypatch.setattr(collocations, "HELD_PAIRS", held)
+    monkeypatch.setattr(collocations, "HOT_WORDS", hot)  # from no hot words to all
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        got = collocations.collocations(docs, max_n=max_n, min_count=min_count, cover_percent=cover, top=top, buckets=parts).collect()
+        got = collocations.collocations(docs, max_n=max_n, min_count=min_count, cover_percent=cover, top=top, buckets=parts, bucket_words=700).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert {(r.lang, r["rank"]): (r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got} == brute(rows, max_n, min_count, cover, top)
@@ -80,22 +81,23 @@ def test_pairs_by_chance(spark, monkeypatch):
     assert {(r.lang, r["rank"]): (r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got} == brute(rows, 5, 10, 100, 2000)
 
 
-def test_stack_joins_what_tasks_cut(spark):
-    """However sorted suffixes are cut into runs, the counts add up."""
+def test_stack(spark):
+    """The stack counts every prefix once; suffixes of hot words may be dealt to any number of stacks."""
     rng = np.random.default_rng(2)
-    found = Counter(("en", b"\0".join([b"abc"[x : x + 1] for x in rng.integers(0, 3, int(rng.integers(2, 6)))])) for _ in range(500))
-    rows = sorted(((*k, n) for k, n in found.items()), reverse=True)
+    found = Counter(b"\0".join([b"abc"[x : x + 1] for x in rng.integers(0, 3, int(rng.integers(2, 6)))]) for _ in range(500))
     want = Counter()
-    for (_, s), n in found.items():
+    for s, n in found.items():
         words = s.split(b"\0")
         for m in range(2, len(words) + 1):
             want[b" ".join(words[:m])] += n
-    for cuts in ([], [1], [3, 4, 200], list(range(0, len(rows), 5))):
+    rows = sorted(found.items(), reverse=True)
+    for parts, hot in ((1, frozenset()), (7, frozenset(b"abc"[k : k + 1] for k in range(3)))):
         got = Counter()
-        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-            stack = collocations.PrefixStack(20)
-            stack.push(*([r[k] for r in rows[a:b]] for k in range(3)))
+        for k in range(parts):
+            stack = collocations.PrefixStack(20, hot)
+            for suffix, n in rows[k::parts]:
+                stack.push(suffix, n)
             stack.close()
-            for _, phrase, n in stack.out:
+            for phrase, n in stack.out:
                 got[phrase] += n
         assert {k: n for k, n in got.items() if n >= 20} == {k: n for k, n in want.items() if n >= 20}
