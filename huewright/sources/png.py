@@ -83,7 +83,7 @@ def _samples(rows: np.ndarray, width: int, samples: int, depth: int) -> np.ndarr
     if depth == 8:
         return rows.reshape(height, width, samples)
     if depth == 16:
-        return rows.reshape(height, width, samples, 2)[..., 0]  # the upper byte
+        return rows.view(">u2").reshape(height, width, samples)
     bits = np.unpackbits(rows, axis=1)[:, : width * samples * depth].reshape(height, width, samples, depth)
     return (bits * (1 << np.arange(depth)[::-1])).sum(-1).astype(np.uint8)
 
@@ -117,7 +117,7 @@ def decode(data: bytes) -> np.ndarray:
     except zlib.error as e:
         raise ValueError(f"the PNG data is damaged: {e}") from e
     samples = _SAMPLES[colour]
-    values = np.zeros((height, width, samples), np.uint8)
+    values = np.zeros((height, width, samples), np.uint16 if depth == 16 else np.uint8)
     for x0, dx, y0, dy in _PASSES if interlaced else ((0, 1, 0, 1),):
         w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
         if w <= 0 or h <= 0:
@@ -141,11 +141,12 @@ def _rgba(values: np.ndarray, colour: int, depth: int, palette: np.ndarray | Non
             alpha[: len(trans)] = np.frombuffer(trans, np.uint8)
             out[..., 3] = alpha[values[..., 0]]
         return out
-    scale = 255 // ((1 << min(depth, 8)) - 1)
-    out[..., :3] = values[..., : 3 if colour in (2, 6) else 1] * np.uint8(scale)
+    # The nearest value of 8 bits.
+    eight = ((values.astype(np.uint32) + 128) // 257).astype(np.uint8) if depth == 16 else values * np.uint8(255 // ((1 << depth) - 1))
+    out[..., :3] = eight[..., : 3 if colour in (2, 6) else 1]
     if colour in (4, 6):
-        out[..., 3] = values[..., -1]
-    elif trans and depth <= 8:
+        out[..., 3] = eight[..., -1]
+    elif trans:
         key = np.frombuffer(trans, ">u2").astype(np.int64)
         out[..., 3] = np.where((values == key[: values.shape[2]]).all(-1), 0, 255)
     return out

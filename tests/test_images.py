@@ -1,6 +1,7 @@
 """Nearest colours, dithering, resampling, histograms, extraction and codecs against plain versions."""
 
 import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -430,3 +431,20 @@ def test_ssim(spark, rows):
             want[k] = (len(found), pytest.approx(np.mean(found), abs=1e-9))
     got = similarity.ssim(spark.createDataFrame(pairs, "image_id long, y int, x int, a int, b int").repartition(3), rows=rows).collect()
     assert {r.image_id: (r.n_windows, r.ssim) for r in got} == want and want[4][1] == 1
+
+
+def test_png_of_16_bits():
+    """Samples go to the nearest of 8 bits; the transparent colour is compared in full."""
+    rng = np.random.default_rng(3)
+    chunk = lambda kind, body: len(body).to_bytes(4) + kind + body + b"\0\0\0\0"
+    for colour, samples in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        values = rng.integers(0, 65536, (5, 7, samples))
+        values[0, 0], values[0, 1] = 0x1234, 0x1235
+        rows = b"".join(b"\0" + r.astype(">u2").tobytes() for r in values)
+        key = chunk(b"tRNS", b"\x12\x34" * samples) if colour in (0, 2) else b""
+        data = png.SIGNATURE + chunk(b"IHDR", (7).to_bytes(4) + (5).to_bytes(4) + bytes([16, colour, 0, 0, 0])) + key + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+        got = png.decode(data)
+        eight = np.rint(values / 257).astype(np.uint8)
+        assert (got[..., :3] == eight[..., : 3 if samples > 2 else 1]).all()
+        alpha = eight[..., -1] if colour in (4, 6) else np.where((values == 0x1234).all(-1), 0, 255)
+        assert (got[..., 3] == alpha).all()
