@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder as shared_folder
+from ..storage import written as written
+
 # ASCII white space, and the bytes that are no part of an alphanumeric word.
 SPACES = b"\t\n\x0b\x0c\r "
 _OTHER = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -104,26 +104,3 @@ def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], hot: Column)
     few_ = F.broadcast(values.where(hot))
     rest = rows.join(F.broadcast(values.where(hot).select(*keys)), keys, "left_anti")
     return rows.join(few_, keys).unionByName(rest.join(values.where(~hot), keys))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset, but only in local mode.
-
-    Raises RuntimeError where it is unset on a cluster, whose executors would each write to a disk of their own.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not current.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="huewright-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, gives true sizes to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/huewright-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)

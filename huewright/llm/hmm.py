@@ -3,8 +3,7 @@
 A frequent word is a class of its own, every other word belongs to the class of its last bytes, and the end of a text is a class. The model has a
 few latent states that emit classes; a word's probability is its class's, times its share of the class (add-half
 smoothed, with one unseen word in each class). Baum-Welch: every pass computes expected counts of starts, transitions and emissions in
-each task and sums them over all partitions, from all training documents. The starting point of the passes comes from a few driver
-rounds over a bounded sample of training documents. Scores are exact: a scaled forward recursion over the whole text.
+each task and sums them over all partitions, from all training documents: first slice by slice, which gives a starting point, then all together. Scores are exact: a scaled forward recursion over the whole text.
 
 Word counts are exact for all words. Those of at most `head` frequent words are sent to the tasks; a document's other words are joined to
 the table of counts, so that nothing that grows with the vocabulary is held in one place.
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, fold, map_rows, raw_texts, written
+from .common import slices as slices_of
 
 #: Classes of the other words, by their last three bytes.
 SUFFIXES = 1024
@@ -218,31 +218,38 @@ def _sequence(words: list[bytes], classes: dict[bytes, int], known: dict[bytes,
     return np.array(out, np.int32)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, *, text_column: str = "text", states: int = 4, passes: int = 2, sample: int = 1500, sample_rounds: int = 10, at_once: int = 500_000, seed: int = 7) -> Model:
-    """Baum-Welch: `passes` passes over all rows of docs, after sample_rounds rounds over the distinct texts of about `sample` of them for a start."""
+def train(docs: DataFrame, vocab: Vocabulary, *, text_column: str = "text", states: int = 4, passes: int = 2, slices: int = 16, at_once: int = 500_000, seed: int = 7) -> Model:
+    """Baum-Welch over all rows of docs: one round over each of `slices` slices of them (by a hash of the text), then `passes` passes over all.
+
+    A slice's counts are scaled to all rows and averaged with those before, the newer the heavier (stepwise Baum-Welch), so every round is summed over all partitions and every row has been
+    seen `passes` + 1 times. The rows' classes are worked out once and written.
+    """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(text_column).cast("string").alias("text"))
-    n = vocab.ends
     rng = np.random.default_rng(seed)
     model = Model(np.full(states, 1 / states), (np.eye(states) * 0.9 + 0.1 / states), rng.dirichlet(np.full(vocab.n_classes, 1.0), states).T + 1e-9)
     model.emit /= model.emit.sum(0)
-    if not n:
+    if not vocab.ends:
         return model
     own = context.broadcast(vocab.classes)
-    share = min(1.0, sample / n)
+    known: dict[bytes, int] = {}
 
     def classes(batch: pa.RecordBatch) -> dict:
-        known: dict[bytes, int] = {}
-        return {"classes": [_sequence(tokens(raw), own.value, known) for raw in raw_texts(batch, "text")]}
-
-    few = (rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)) if share < 1 else rows).distinct()
-    start = map_rows(few, classes, "classes array<int>").toArrow()["classes"].to_pylist()
-    start = sorted((np.array(x, np.int32) for x in start), key=lambda x: (len(x), x.tobytes()))
-    if start:
-        for _ in range(sample_rounds):
-            model = maximise(*_sum(expected_counts(p, model) for p in _parts(start, at_once)), prior=0.1)
+        return {"classes": [_sequence(tokens(raw), own.value, known) for raw in raw_texts(batch, "text")], "slice": batch.column(1)}
+
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(slices)).cast("int").alias("slice")
+    stored = written(map_rows(rows.select("text", part), classes, "classes array<int>, slice int", 1000), by="slice")
+    total = None
+    for k in range(slices):
+        some = stored.where(F.col("slice") == k)
+        found = [x * slices for x in _pass(some, model, at_once)]
+        if not found[0].any():
+            continue  # a slice without rows
+        weight = (k + 2) ** -0.5 if total is not None else 1.0
+        total = found if total is None else [(1 - weight) * a + weight * b for a, b in zip(total, found, strict=True)]
+        model = maximise(*total, prior=0.1)
     for _ in range(passes):
-        model = maximise(*_pass(rows, model, own, at_once))
+        model = maximise(*_pass(stored, model, at_once))
     return model
 
 
@@ -253,15 +260,16 @@ def _sum(counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return total
 
 
-def _pass(rows: DataFrame, model: Model, own, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pass(stored: DataFrame, model: Model, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over all rows: summed in each task, then over the tasks by key; the sums alone reach the driver."""
     k, n = len(model.start), len(model.emit)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = stored.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = None, {}
-        for batch in batches:
-            sequences = sorted((_sequence(tokens(raw), own.value, known) for raw in raw_texts(batch, "text")), key=len)
+        total = None
+        for batch in slices_of(batches, 2000):
+            lists = batch.column(0)
+            sequences = sorted(np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]), key=len) if len(lists) else []
             for part in _parts(sequences, at_once):
                 x = expected_counts(part, sent.value)
                 total = x if total is None else tuple(a + b for a, b in zip(total, x, strict=True))
@@ -270,7 +278,7 @@ def _pass(rows: DataFrame, model: Model, own, at_once: int) -> tuple[np.ndarray,
             key = np.flatnonzero(flat)
             yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "x": pa.array(flat[key])})
 
-    sums = rows.mapInArrow(run, "key int, x double").groupBy("key").agg(F.sum("x").alias("x")).toArrow()
+    sums = stored.select("classes").mapInArrow(run, "key int, x double").groupBy("key").agg(F.sum("x").alias("x")).toArrow()
     flat = np.zeros(k + k * k + n * k)
     flat[sums["key"].to_numpy()] = sums["x"].to_numpy()
     return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(n, k)
@@ -284,11 +292,15 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model, *
     sent = context.broadcast((vocab, model, sizes))
     bottom = log10(vocab.total + 0.5 * (vocab.kinds + 1))
 
+    tables: list[tuple[dict, dict, dict]] = []  # made once for each task
+
     def partial(batch: pa.RecordBatch) -> dict:
         v, m, size = sent.value
-        known: dict[bytes, int] = {}
-        base = {w: log10(c + 0.5) - bottom for w, c in v.counts.items()}
-        share = {w: log10(c + 0.5) - log10(size[k := suffix_class(w)][0] + 0.5 * (size[k][1] + 1)) for w, c in v.counts.items() if w not in v.classes}
+        if not tables:
+            base = {w: log10(c + 0.5) - bottom for w, c in v.counts.items()}
+            share = {w: log10(c + 0.5) - log10(size[k := suffix_class(w)][0] + 0.5 * (size[k][1] + 1)) for w, c in v.counts.items() if w not in v.classes}
+            tables.append((base, share, {}))
+        base, share, known = tables[0]
         end = log10(v.ends + 0.5) - bottom
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
         sequences = []
@@ -338,7 +350,7 @@ def score_documents(docs: DataFrame, *, learn: Column | None = None, id_column:
     """Learn from the rows that `learn` selects (fold not 1 unless given) and score all rows of docs.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigrams), score (the model's log10 probability). A null or empty
-    text is the end alone. Without training rows all counts are 0. Repeated rows give repeated rows, an empty table none; other columns are not read.
+    text is the end alone; a very long one is one sequence, held whole by its task. Without training rows all counts are 0. Repeated rows give repeated rows, an empty table none; other columns are not read.
     """
     learn = fold(id_column) != 1 if learn is None else learn
     training_rows = docs.where(learn)

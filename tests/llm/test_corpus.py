@@ -306,7 +306,7 @@ def test_recursions():
 def test_scores(spark, small, head):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(1001, None), (1002, ""), (1003, "zzzunknownzzz The a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in hmm.score_documents(docs, head=head, own=40, sample_rounds=2, passes=1).collect()}
+    got = {r.doc_id: r for r in hmm.score_documents(docs, head=head, own=40, slices=3, passes=1).collect()}
     want = brute.unigram(rows)
     for i, (n, known, total, base) in want.items():
         r = got[i]
@@ -340,3 +340,15 @@ def test_no_training_rows(spark):
     r = hmm.score_documents(docs, learn=F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and isclose(r.base_score, 0.0, abs_tol=1e-9)
     assert hmm.score_documents(docs.limit(0)).count() == 0
+
+
+def test_scores_of_odd_rows(spark):
+    """Repeated rows, clashing column names and a very long text: each row is scored by its text alone."""
+    rows = [(k, f"some words {k % 5} here", 1, "x", 2) for k in range(30)] + [(3, "some words 3 here", 1, "x", 2), (None, None, 0, "", 0), (40, "long text " * 200_000, 0, "", 0), (41, "long text " * 200_000, 0, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, classes string, slice int").repartition(3)
+    got = hmm.score_documents(docs, slices=2, passes=1, own=5).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.n_tokens, round(r.score, 6)))
+    assert len(by[3]) == 2 and len(set(by[3])) == 1 and by[8] == by[3][:1] and by[40] == by[41] and by[40][0][0] == 400_001 and by[None][0][0] == 1
