@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, raw_texts
+from .common import fold, map_rows, raw_texts, written
 from .toxicity import labelled
 
 #: Bytes of a chunk, of a window, and between windows; sizes of the embedding; filters.
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     chosen = labelled(labels, id_column=id_column, label_column=label_column, sample=sample)
     size = F.octet_length("text")
     texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).where(size <= longest)
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))  # about `sample` small ids
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text")))  # about `sample` rows, from one scan
     total = rows.agg(F.sum(size)).first()[0] or 0
     share = min(1.0, sample_bytes / max(1, total))
     thin = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / (1 << 20) < share
