@@ -204,18 +204,24 @@ def _parts(sequences: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]
         yield part
 
 
-def _sequence(words: list[bytes], classes: dict[bytes, int], known: dict[bytes, int]) -> np.ndarray:
-    """Classes of the words and the end; known keeps those worked out before."""
-    out = []
-    for w in words:
-        c = known.get(w)
-        if c is None:
-            c = classes.get(w) or suffix_class(w)
-            if len(known) < 200_000:
-                known[w] = c
-        out.append(c)
-    out.append(END)
-    return np.array(out, np.int32)
+class _Classes(dict):
+    """The class of each word; at most 200,000 words are remembered."""
+
+    def __init__(self, own: dict[bytes, int]):
+        self.own = own
+
+    def __missing__(self, word: bytes) -> int:
+        c = self.own.get(word) or suffix_class(word)
+        if len(self) < 200_000:
+            self[word] = c
+        return c
+
+
+def _sequence(words: list[bytes], known: _Classes) -> np.ndarray:
+    """Classes of the words and the end."""
+    out = np.full(len(words) + 1, END, np.int32)
+    out[:-1] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+    return out
 
 
 def train(docs: DataFrame, vocab: Vocabulary, *, text_column: str = "text", states: int = 4, passes: int = 2, slices: int = 16, at_once: int = 500_000, seed: int = 7) -> Model:
@@ -232,10 +238,12 @@ def train(docs: DataFrame, vocab: Vocabulary, *, text_column: str = "text", stat
     if not vocab.ends:
         return model
     own = context.broadcast(vocab.classes)
-    known: dict[bytes, int] = {}
+    made: list[_Classes] = []  # once for each task
 
     def classes(batch: pa.RecordBatch) -> dict:
-        return {"classes": [_sequence(tokens(raw), own.value, known) for raw in raw_texts(batch, "text")], "slice": batch.column(1)}
+        if not made:
+            made.append(_Classes(own.value))
+        return {"classes": [_sequence(tokens(raw), made[0]) for raw in raw_texts(batch, "text")], "slice": batch.column(1)}
 
     part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(slices)).cast("int").alias("slice")
     stored = written(map_rows(rows.select("text", part), classes, "classes array<int>, slice int", 1000), by="slice")
@@ -292,21 +300,21 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model, *
     sent = context.broadcast((vocab, model, sizes))
     bottom = log10(vocab.total + 0.5 * (vocab.kinds + 1))
 
-    tables: list[tuple[dict, dict, dict]] = []  # made once for each task
+    tables: list[tuple[dict, dict, _Classes]] = []  # made once for each task
 
     def partial(batch: pa.RecordBatch) -> dict:
         v, m, size = sent.value
         if not tables:
             base = {w: log10(c + 0.5) - bottom for w, c in v.counts.items()}
             share = {w: log10(c + 0.5) - log10(size[k := suffix_class(w)][0] + 0.5 * (size[k][1] + 1)) for w, c in v.counts.items() if w not in v.classes}
-            tables.append((base, share, {}))
+            tables.append((base, share, _Classes(v.classes)))
         base, share, known = tables[0]
         end = log10(v.ends + 0.5) - bottom
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
         sequences = []
         for raw in raw_texts(batch, "text"):
             words = tokens(raw)
-            sequences.append(_sequence(words, v.classes, known))
+            sequences.append(_sequence(words, known))
             times = Counter(words)
             plain, shares, seen, rare = end, 0.0, int(v.ends > 0), []
             for w, n in times.items():
