@@ -59,7 +59,7 @@ class Diffusion:
         height = source.shape[1] * scale
         flat = source.reshape(n, -1, 3)
         if not self.taps:
-            found = self.search(flat.reshape(-1, 3).astype(np.float32)).reshape(n, source.shape[1], -1)
+            found = self.search.search(flat.reshape(-1, 3)).reshape(n, source.shape[1], -1)
             return found.repeat(scale, 1).repeat(scale, 2)
         # Shares of the errors of the last fronts by weight and row; they are zero where a front has no pixel in a row.
         fronts = np.zeros((self.recent, len(self.weights), n, height + below, 3), np.float32)
