@@ -413,6 +413,25 @@ def test_nearest_many(spark):
         nearest.nearest_many(pixels, spark.range(11).selectExpr("cast(id as int) idx", "cast(id as int) r", "0 g", "0 b"), most=10)
 
 
+@pytest.mark.parametrize("bits", [3, 4])
+def test_nearest_many_of_70000(spark, bits):
+    """More colours than two bytes can number, and a single one: indices and candidates are those of comparing all."""
+    rng = np.random.default_rng(bits)
+    key = rng.permutation(1 << 24)[:70_000]
+    for palette in (np.stack([key >> 16, key >> 8 & 255, key & 255], 1), np.array([[9, 250, 3]])):
+        table = spark.createDataFrame(pa.table({"idx": pa.array(np.arange(len(palette)), pa.int32())} | {c: pa.array(palette[:, k], pa.int32()) for k, c in enumerate("rgb")}).to_pandas())
+        colours = rng.integers(0, 256, (40, 3))
+        pixels = spark.createDataFrame([(k, *map(int, c)) for k, c in enumerate(colours)], "k long, r int, g int, b int")
+        side = 256 >> bits
+        low = colours // side * side
+        want = {}
+        for k, c in enumerate(colours):
+            least = (np.maximum(np.maximum(low[k] - palette, palette - low[k] - side + 1), 0) ** 2).sum(1)
+            most = (np.maximum(np.abs(palette - low[k]), np.abs(palette - low[k] - side + 1)) ** 2).sum(1)
+            want[k] = (int(((palette - c) ** 2).sum(1).argmin()), int((least <= most.min()).sum()))
+        assert {r.k: (r.idx, r.n_candidates) for r in nearest.nearest_many(pixels, table, bits=bits).collect()} == want
+
+
 @pytest.mark.parametrize("rows", [7, 9, 64])
 def test_ssim(spark, rows):
     rng = np.random.default_rng(rows)
