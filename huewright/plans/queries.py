@@ -145,14 +145,6 @@ def tent_2x(spark, d):
     return downsample(order_pixels(spark, d), ("r", "g", "b"))
 
 
-def multisample_2x_none(spark, d):
-    return downsample(upsample(recolour(event_pixels(spark, d), nation_palette(spark, d)), 2))
-
-
-def multisample_4x_none(spark, d):
-    return downsample(upsample(recolour(event_pixels(spark, d), nation_palette(spark, d)), 4), scale=4)
-
-
 def tent_tall_4x(spark, d):
     """All tiles of the orders as one image, to a quarter of its size."""
     rows = order_pixels(spark, d)
@@ -320,9 +312,9 @@ def apply_extracted(spark, d):
     return rows.select("image_id", "y", "x", nearest_of_array(F.col("palette")).alias("idx"))
 
 
-_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, multisample_2x_none, multisample_4x_none, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x, preset_listed, preset_applied, nearest_of_parts, ssim_recoloured, sql_parse, sql_format, sql_nearest)
+_PLAIN = (nearest_index, nearest_index_unrolled, nearest_index_array, palette_usage, recolour_none, recolour_orders, image_error, octree_levels, octree_histogram, line_histogram, oklab_means, image_moments, upsample_2x, tent_rows, tent_2x, hex_format, hex_parse, hex_errors, hex_sound, line_import, preset_colours, preset_catalogue, preset_totals, ditherer_catalogue, nibble_pack, png_rgb, png_indexed, extract_palette_8, apply_extracted, dither_tall_jjn, line_palette, tent_tall_4x, preset_listed, preset_applied, nearest_of_parts, ssim_recoloured, sql_parse, sql_format, sql_nearest)
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"dither_{k.name}": _dither(k.name) for k in KERNELS}
-QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS[1:]} | {f"multisample_4x_{k.name}": _multisample(k.name, 4) for k in KERNELS[1:]}
+QUERIES |= {f"multisample_2x_{k.name}": _multisample(k.name, 2) for k in KERNELS} | {f"multisample_4x_{k.name}": _multisample(k.name, 4) for k in KERNELS}
 FLAGSHIP = QUERIES["dither_fs"]
 ORACLE_SQL = oracle.ORACLE_SQL

@@ -432,6 +432,18 @@ def test_nearest_many_of_70000(spark, bits):
         assert {r.k: (r.idx, r.n_candidates) for r in nearest.nearest_many(pixels, table, bits=bits).collect()} == want
 
 
+@pytest.mark.parametrize("scale", [2, 4])
+def test_undithered_multisampling_moves_pixels_once(spark, small, scale):
+    """The enlarged image is never rows: none is exploded before the shuffle, and the result is that of enlarging."""
+    from huewright.plans import queries
+
+    found = queries.QUERIES[f"multisample_{scale}x_none"](spark, small)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    large = resample.upsample(nearest.recolour(queries.event_pixels(spark, small), queries.nation_palette(spark, small)), scale)
+    want = resample.downsample(large, scale=scale).select(found.columns)
+    assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0
+
+
 @pytest.mark.parametrize("rows", [7, 9, 64])
 def test_ssim(spark, rows):
     rng = np.random.default_rng(rows)
