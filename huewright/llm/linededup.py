@@ -7,7 +7,7 @@ their offsets in the original text kept.
 Hashing the units happens once, into a written table of digests. The first occurrence of a digest is an aggregate with partial sums in each task, so a line that
 stands in a third of all documents costs one row for each task; the join back needs that one row for each digest and Spark splits its hot keys.
 
-Runs of words (`runs`, 50 say) are units too where asked for, wherever they begin and whatever lines they stand in. Every window of so many words
+Runs of words (`runs`, 50 say) are units too where asked for, wherever they begin and whatever lines they stand in. Lines of so many words are hashed first, and only their first copies go on. Every window of so many words
 has a least shingle of half as many (its mark), and equal windows have equal marks. Marks that occur once in the corpus rule out their windows, so the digests of
 windows are sent only where a mark repeats; no repeated run is lost by this. Marks and digests travel packed, many to a row, dealt by ranges of their
 values; a batch sends one entry for each, so a passage that stands in a third of all documents costs one entry for each batch. Texts that are whole
@@ -118,6 +118,15 @@ def _of_content(content: np.ndarray, values: dict[str, tuple[np.ndarray, np.ndar
     return pa.table({"content": pa.array(content, pa.int64())} | {c: pa.array([x[i:j].tobytes() for i, j in zip(*(e.tolist() for e in cut[c]), strict=True)], pa.binary()) for c, (_, x) in sorted_.items()})
 
 
+def _outside(lines: bytes, runs: int, n: int) -> np.ndarray:
+    """Which of n windows don't stand whole in one of the lines (packed start and end of their words)."""
+    change = np.zeros(n + 1, np.int64)
+    for start, end in np.frombuffer(lines, np.int32).reshape(-1, 2).tolist():
+        change[start] += 1
+        change[end - runs + 1] -= 1
+    return np.cumsum(change[:n]) == 0
+
+
 _MARKS = ("mark", "owner", "self", "known_mark", "known_owner")
 
 
@@ -142,11 +151,14 @@ def _repeated_marks(rows: DataFrame, runs: int, buckets: int) -> DataFrame:
         known, seen = _Digests(), set()
         marks, owners, selfs, total = [], [], [], 0
         for batch in slices(batches):
-            for content, raw in zip(batch.column(0).to_pylist(), raw_texts(batch, "text"), strict=True):
+            for content, raw, lines in zip(batch.column(0).to_pylist(), raw_texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 words = [] if content in seen else alnum_words(raw)
                 seen.add(content)
                 if len(words) >= runs:
                     at, value = run_marks(_values(words, known), runs)
+                    if lines:
+                        rest = _outside(lines, runs, len(at))
+                        at, value = at[rest], value[rest]
                     found, n = np.unique(value[np.unique(at, return_index=True)[1]].view(np.uint64), return_counts=True)
                     marks.append(found)
                     owners.append(content)
@@ -170,7 +182,7 @@ def _repeated_marks(rows: DataFrame, runs: int, buckets: int) -> DataFrame:
         mark, of = np.concatenate([mark, _column(table, "known_mark", np.uint64)]), np.concatenate([of, _column(table, "known_owner", np.int64)])
         return _of_content(np.unique(of), {"marks": (of, mark)})
 
-    dealt = rows.select("content", "text").where("text is not null").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _MARKS))
+    dealt = rows.select("content", "text", "lines").where("text is not null").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _MARKS))
     found = dealt.groupBy("bucket").applyInArrow(gather, "content long, marks binary")
     return found.groupBy("content").agg(F.collect_list("marks").alias("marks"), F.sum(F.octet_length("marks") / 8).cast("long").alias("n"))
 
@@ -185,7 +197,7 @@ _WINDOWS = ("high", "low", "rank", "content", "place", "again", "gone_content",
 def _repeated_runs(marked: DataFrame, runs: int, buckets: int) -> DataFrame:
     """(content, gone, held): packed (start, end) of the words in windows that an earlier place holds, and of those whose first place this is.
 
-    marked: (content, rank, text, marks). Places are ranked by rank, content and place.
+    marked: (content, rank, text, marks, lines). Places are ranked by rank, content and place.
     """
 
     def deal(found: list[tuple]) -> pa.RecordBatch:
@@ -205,13 +217,14 @@ def _repeated_runs(marked: DataFrame, runs: int, buckets: int) -> DataFrame:
         known, seen = _Digests(), set()
         found, total = [], 0
         for batch in slices(batches):
-            for content, rank, raw, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch, "text"), batch.column(3).to_pylist(), strict=True):
+            for content, rank, raw, marks, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch, "text"), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if content in seen:
                     continue
                 seen.add(content)
                 values = _values(alnum_words(raw), known)
                 mark = run_marks(values, runs)[1].view(np.uint64)
-                at = np.flatnonzero(np.isin(mark, np.frombuffer(b"".join(marks), np.uint64)))
+                here = np.isin(mark, np.frombuffer(b"".join(marks), np.uint64))
+                at = np.flatnonzero(here & _outside(lines, runs, len(mark)) if lines else here)
                 found.append((_rolling(values, runs, _BASES[0])[at], _rolling(_mixed(values), runs, _BASES[1])[at], np.full(len(at), rank, np.int64), np.full(len(at), content, np.int64), at.astype(np.int32), mark[at]))
                 total += len(at)
                 if total >= 500_000:
@@ -242,7 +255,7 @@ def _repeated_runs(marked: DataFrame, runs: int, buckets: int) -> DataFrame:
         y = spans(content[held], place[held])
         return _of_content(np.unique(np.concatenate([x[0], y[0]])), {"gone": x, "held": y})
 
-    dealt = marked.select("content", "rank", "text", "marks").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _WINDOWS))
+    dealt = marked.select("content", "rank", "text", "marks", "lines").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _WINDOWS))
     return dealt.groupBy("bucket").applyInArrow(gather, "content long, gone binary, held binary").groupBy("content").agg(F.collect_list("gone").alias("gone"), F.collect_list("held").alias("held"))
 
 
@@ -252,8 +265,53 @@ def _rank(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(number, F.lit(-(1 << 63)))
 
 
-def _runs(rows: DataFrame, kind: T.DataType, runs: int, broadcast_limit: int, bucket_words: int) -> DataFrame:
-    """(content, first, copies, gone, held) of the texts that hold a repeated run or have copies."""
+def _long_units(rows: DataFrame, kind: T.DataType, unit: str, min_words: int, broadcast_limit: int) -> DataFrame:
+    """(content, gone, held): packed (start, end) of the words of each text's units of min_words or more that an earlier place holds, and of those whose first place this is."""
+
+    def hashes(batch: pa.RecordBatch) -> dict:
+        row, start, end, high, low = [], [], [], [], []
+        for k, raw in enumerate(raw_texts(batch, "text")):
+            at = 0
+            for a, b in units(raw, unit) if raw else ():
+                words = alnum_words(raw[a:b])
+                if len(words) >= min_words:
+                    x = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    row.append(k)
+                    start.append(at)
+                    end.append(at + len(words))
+                    high.append(_signed(x >> 64))
+                    low.append(_signed(x & ((1 << 64) - 1)))
+                at += len(words)
+        of = pa.array(row, pa.int64())
+        return {"content": batch.column(0).take(of), "rank": batch.column(1).take(of), "start": start, "end": end, "high": high, "low": low}
+
+    texts = rows.select("content", _rank(F.col("doc_id"), kind).alias("rank"), "text")
+    digests = map_rows(texts, hashes, "content long, rank long, start int, end int, high long, low long", 1000)
+    digests = written(digests.groupBy("content", "start", "end", "high", "low").agg(F.min("rank").alias("rank")))  # whole copies are one text
+    place = F.struct("rank", "content", "start")
+    first = written(digests.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last"))
+    found = digests.join(few(first, broadcast_limit // 5), ["high", "low"]).select("content", F.struct("start", "end").alias("span"), (place != F.col("first")).alias("again"))
+    sums = found.groupBy("content").agg(*(F.sort_array(F.collect_list(F.when(c, F.col("span")))).alias(n) for n, c in (("gone", F.col("again")), ("held", ~F.col("again")))))
+
+    def pack(batch: pa.RecordBatch) -> dict:
+        spans = lambda x: np.array([(s["start"], s["end"]) for s in x], np.int32).tobytes()
+        return {"content": batch.column(0)} | {n: [spans(x) for x in batch.column(k).to_pylist()] for k, n in ((1, "gone"), (2, "held"))}
+
+    return written(map_rows(sums, pack, "content long, gone binary, held binary"))
+
+
+def _runs(rows: DataFrame, kind: T.DataType, runs: int, broadcast_limit: int, bucket_words: int, unit: str | None) -> DataFrame:
+    """(content, first, copies, gone, held) of the texts that hold a repeated run or have copies.
+
+    Where there is a unit, units of `runs` words or more are hashed first; the windows inside those that go are known and looked up no more. The first copies of
+    these units stay in the index, so other runs are found against them.
+    """
+    lines = _long_units(rows, kind, unit, runs, broadcast_limit) if unit else None
+    if unit:
+        size = F.lit(2) + (F.octet_length("gone") + F.octet_length("held")) / 8
+        rows = rows.join(few(lines, broadcast_limit, size).select("content", F.col("gone").alias("lines")), "content", "left").select(*rows.columns, "lines")
+    else:
+        rows = rows.withColumn("lines", F.lit(None).cast("binary"))
     words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(words // 6 // bucket_words + 1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // 60_000 + 1))
     contents = written(rows.where("text is not null").groupBy("content").agg(F.min(F.struct("doc_id"))["doc_id"].alias("first"), F.count_distinct("doc_id", F.lit(0)).alias("ids"), F.max(F.col("doc_id").isNull()).alias("loose")))
@@ -261,6 +319,9 @@ def _runs(rows: DataFrame, kind: T.DataType, runs: int, broadcast_limit: int, bu
     texts = rows.join(few(marked, broadcast_limit, F.col("n")), "content").where(F.col("doc_id").eqNullSafe(F.col("first")))
     found = _repeated_runs(texts.withColumn("rank", _rank(F.col("doc_id"), kind)), runs, buckets)
     copies = contents.where("ids + cast(loose as int) > 1").select("content", "first", F.lit(True).alias("copies"))
+    if unit:
+        both = lambda c: F.concat(F.coalesce(c, F.array().cast("array<binary>")), F.array_compact(F.array(f"line_{c}"))).alias(c)
+        found = found.join(lines.select("content", *(F.col(c).alias(f"line_{c}") for c in ("gone", "held"))), "content", "full").select("content", both("gone"), both("held"))
     return found.join(copies, "content", "full")
 
 
@@ -298,7 +359,8 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     """One row for each row of docs: doc_id, text (what stays), n_units, n_removed, removed (code point spans in the original text), n_repeated.
 
     Units of fewer than min_words words are never removed; unit None has none. Kept units are joined by the breaks that stood before them. With `runs`, every word goes as well that
-    stands in a run of so many words (or more) which an earlier place holds, in any lines; what stands between the first and last word of a run goes with it. removed is
+    stands in a run of so many words (or more) which an earlier place holds, in any lines; what stands between the first and last word of a run goes with it. Units of min_words >= runs are
+    such runs: they are hashed first and go as their words, and runs add what begins or ends elsewhere (n_units is 0 then). removed is
     then the union of units and runs, and n_removed its number of spans. A removed word always has an earlier copy that stays. n_repeated is the number of words in
     runs that stand elsewhere too, whether they go or are the first of their kind. Rows equal in id and text
     count as one document and get equal results; a null id ranks first, an id that is no number by a digest (for runs); a null text stays null. An empty table gives no rows; other
@@ -307,6 +369,8 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     ident = docs.schema[id_column].dataType.simpleString()
     rows = _keyed(docs, id_column, text_column)
     joined = rows
+    long_units = unit if runs and min_words >= runs else None
+    unit = None if long_units else unit
     if unit:
         places = written(_lines(rows, ident, unit, min_words))
         of = few(places, broadcast_limit, F.size("places")).alias("p")
@@ -314,7 +378,7 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     else:
         joined = joined.withColumn("places", F.lit(None).cast("array<long>"))
     if runs:
-        found = written(_runs(rows, docs.schema[id_column].dataType, runs, broadcast_limit, bucket_words))
+        found = written(_runs(rows, docs.schema[id_column].dataType, runs, broadcast_limit, bucket_words, long_units))
         size = F.lit(4) + F.coalesce(F.size("gone"), F.lit(0)) + F.coalesce(F.size("held"), F.lit(0))
         joined = joined.join(few(found, broadcast_limit, size), "content", "left")
         joined = joined.withColumn("copy", F.coalesce("copies", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("first")))

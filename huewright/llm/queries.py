@@ -40,8 +40,8 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run of 50 or more words that an earlier place holds goes, wherever its lines break; n_repeated counts the words of first places too."""
-    found = linededup.remove_repeats(table(spark, sf_dir, "documents"), unit=None, runs=50)
+    """Lines of 50 or more words are hashed and repeats go; runs of 50 words find what begins or ends elsewhere. n_repeated counts the words of first places too."""
+    found = linededup.remove_repeats(table(spark, sf_dir, "documents"), unit="line", min_words=50, runs=50)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "text", "n_repeated", "n_removed", spans.alias("removed"))
 

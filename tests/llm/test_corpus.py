@@ -6,6 +6,7 @@ from math import isclose, log10
 
 import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 from huewright.llm import hmm, linededup, surrogates
 
@@ -94,6 +95,21 @@ def test_remove_runs(spark, docs, parameters):
     assert not any(s.removed for s in linededup.remove_repeats(docs).collect() if s.doc_id == 2002)
 
 
+@pytest.mark.parametrize("limit", [0, 4_000_000])
+def test_long_lines_are_hashed(spark, docs, limit):
+    """Lines of 12 words or more are found by their hashes; with runs of 12 words, what goes is what runs alone would take."""
+    line = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    extra = [(3001, f"a b\n{line}\nc d"), (3002, f"e f g\n{line.lower()}!\n{line}"), (3003, f"h {line} i"), (3003, f"h {line} i"), (3004, None)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    columns = ["doc_id", "text", "n_removed", "removed", "n_repeated"]
+    got, want = (linededup.remove_repeats(docs, runs=12, min_words=12, unit=u, broadcast_limit=limit).select(columns).collect() for u in ("line", None))
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(r.n_removed for r in got)
+    rows = linededup._keyed(spark.createDataFrame(extra, "doc_id long, text string"), "doc_id", "text")
+    found = linededup._long_units(rows, T.LongType(), "line", 12, limit).join(rows, "content").select("doc_id", "gone", "held").distinct().collect()
+    spans = {r.doc_id: [np.frombuffer(x, np.int32).tolist() for x in (r.gone, r.held)] for r in found}
+    assert spans == {3001: [[], [2, 15]], 3002: [[3, 16, 16, 29], []]}
+
+
 PRIVATE = [
     (1, "Write to Jane.Doe99@mail.example.com or call +1 (743) 555-3824."),
     (2, "jane.doe99@mail.example.com and bob@mail.example.com, +1 743 555 3824, 38.104.246.38."),
