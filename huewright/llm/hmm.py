@@ -135,19 +135,20 @@ class Steps:
 
 
 def _forward(steps: Steps, model: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """(scale of each token, forward probabilities or None, emissions)."""
-    emit = model.emit[steps.classes]
-    scale = np.empty(len(emit))
+    """(scale of each token, forward probabilities (K, tokens) or None, emissions (K, tokens))."""
+    emit = np.take(np.ascontiguousarray(model.emit.T), steps.classes, axis=1)
+    scale = np.empty(emit.shape[1])
     kept = np.empty_like(emit) if keep else None
-    alpha = np.broadcast_to(model.start, (int(steps.sizes[0]), len(model.start)))
-    for t, n in enumerate(steps.sizes):
-        a, b = steps.starts[t], steps.starts[t + 1]
-        alpha = (alpha[:n] if t == 0 else alpha[:n] @ model.move) * emit[a:b]
-        s = alpha.sum(1)
-        scale[a:b] = s
-        alpha /= s[:, None]
+    move = np.ascontiguousarray(model.move.T)
+    starts = steps.starts.tolist()
+    alpha = None
+    for a, b in zip(starts, starts[1:], strict=False):
+        alpha = np.repeat(model.start[:, None], b - a, 1) if alpha is None else move @ alpha[:, : b - a]
+        alpha *= emit[:, a:b]
+        s = np.add.reduce(alpha, 0, out=scale[a:b])
+        alpha /= s
         if keep:
-            kept[a:b] = alpha
+            kept[:, a:b] = alpha
     return scale, kept, emit
 
 
@@ -164,25 +165,23 @@ def log_likelihoods(sequences: list[np.ndarray], model: Model) -> np.ndarray:
 def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts (K), transitions (K, K) and emissions (classes, K) by the forward-backward recursions."""
     steps = Steps(sequences)
-    scale, alpha, emit = _forward(steps, model, True)
-    k = len(model.start)
-    gamma = np.empty_like(alpha)
+    scale, alpha, ahead = _forward(steps, model, True)
+    k, starts = len(model.start), steps.starts.tolist()
+    # ahead: emission times backward probability over scale, worked out in the emissions' place.
+    ahead /= scale
+    beta = np.ones_like(alpha)
+    for a, c, d in zip(starts[-3::-1], starts[-2::-1], starts[:0:-1], strict=False):
+        here = ahead[:, c:d]
+        here *= beta[:, c:d]
+        beta[:, a : a + d - c] = model.move @ here
     moves = np.zeros((k, k))
-    beta = np.ones((0, k))
-    for t in range(len(steps.sizes) - 1, -1, -1):
-        n, a, b = int(steps.sizes[t]), steps.starts[t], steps.starts[t + 1]
-        m = len(beta)
-        here = np.ones((n, k))
-        if m:
-            c, d = steps.starts[t + 1], steps.starts[t + 2]
-            ahead = emit[c:d] * beta / scale[c:d, None]
-            here[:m] = ahead @ model.move.T
-            moves += alpha[a : a + m].T @ ahead
-        gamma[a:b] = alpha[a:b] * here
-        beta = here
-    starts = gamma[: steps.sizes[0]].sum(0)
-    emits = np.stack([np.bincount(steps.classes, gamma[:, j], len(model.emit)) for j in range(k)], 1)
-    return starts, moves * model.move, emits
+    before = np.repeat(steps.starts[:-2], steps.sizes[1:]) + steps.rank[starts[1] :]  # of each token but the first ones
+    for at in range(0, len(before), 1 << 16):
+        part = before[at : at + (1 << 16)]
+        moves += alpha[:, part] @ ahead[:, starts[1] + at : starts[1] + at + len(part)].T
+    alpha *= beta
+    emits = np.stack([np.bincount(steps.classes, x, len(model.emit)) for x in alpha], 1)
+    return alpha[:, : starts[1]].sum(1), moves * model.move, emits
 
 
 def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: float = 0.01) -> Model:
@@ -217,6 +216,20 @@ class _Classes(dict):
         return c
 
 
+class _Places(dict):
+    """The place of each frequent word, then, for every other word, the number of frequent words and its suffix class; at most 200,000 of the others are remembered."""
+
+    def __init__(self, counts: dict[bytes, int]):
+        super().__init__(zip(counts, range(len(counts)), strict=True))
+        self.head = len(counts)
+
+    def __missing__(self, word: bytes) -> int:
+        c = self.head + suffix_class(word)
+        if len(self) < self.head + 200_000:
+            self[word] = c
+        return c
+
+
 def _sequence(words: list[bytes], known: _Classes) -> np.ndarray:
     """Classes of the words and the end."""
     out = np.full(len(words) + 1, END, np.int32)
@@ -256,8 +269,10 @@ def train(docs: DataFrame, vocab: Vocabulary, *, text_column: str = "text", stat
         weight = (k + 2) ** -0.5 if total is not None else 1.0
         total = found if total is None else [(1 - weight) * a + weight * b for a, b in zip(total, found, strict=True)]
         model = maximise(*total, prior=0.1)
+    # A task's longest text takes a step for each of its words, however many texts go along: fewer tasks take fewer steps.
+    whole = stored.coalesce(max(1, stored.rdd.getNumPartitions() // 4))
     for _ in range(passes):
-        model = maximise(*_pass(stored, model, at_once))
+        model = maximise(*_pass(whole, model, at_once))
     return model
 
 
@@ -275,7 +290,7 @@ def _pass(stored: DataFrame, model: Model, at_once: int) -> tuple[np.ndarray, np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in slices_of(batches, 2000):
+        for batch in slices_of(batches, 10_000):
             lists = batch.column(0)
             sequences = sorted(np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]), key=len) if len(lists) else []
             for part in _parts(sequences, at_once):
@@ -300,42 +315,51 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model, *
     sent = context.broadcast((vocab, model, sizes))
     bottom = log10(vocab.total + 0.5 * (vocab.kinds + 1))
 
-    tables: list[tuple[dict, dict, _Classes]] = []  # made once for each task
+    tables: list[tuple[_Places, np.ndarray]] = []  # made once for each task
 
     def partial(batch: pa.RecordBatch) -> dict:
         v, m, size = sent.value
         if not tables:
-            base = {w: log10(c + 0.5) - bottom for w, c in v.counts.items()}
-            share = {w: log10(c + 0.5) - log10(size[k := suffix_class(w)][0] + 0.5 * (size[k][1] + 1)) for w, c in v.counts.items() if w not in v.classes}
-            tables.append((base, share, _Classes(v.classes)))
-        base, share, known = tables[0]
-        end = log10(v.ends + 0.5) - bottom
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
-        sequences = []
+            n = np.fromiter(v.counts.values(), float, len(v.counts))
+            klass = np.fromiter((v.classes.get(w) or suffix_class(w) for w in v.counts), np.int64, len(n))
+            suffix = np.where(klass <= SUFFIXES, klass, 0)
+            share = np.where(klass <= SUFFIXES, np.log10(n + 0.5) - np.log10(size[suffix, 0] + 0.5 * (size[suffix, 1] + 1)), 0.0)
+            # Columns of the frequent words, then, for the others, of the suffix classes: class, log10 in the base, log10 of the share, whether known.
+            others = np.arange(1 + SUFFIXES)
+            zero = np.zeros(1 + SUFFIXES)
+            tables.append((_Places(v.counts), np.stack([np.concatenate(x) for x in ((klass, others), (np.log10(n + 0.5) - bottom, zero), (share, zero), (np.ones(len(n)), zero))])))
+        places, table = tables[0]
+        head = len(v.counts)
+        found, texts, times, rare = [], [0], [], []
         for raw in raw_texts(batch, "text"):
             words = tokens(raw)
-            sequences.append(_sequence(words, known))
-            times = Counter(words)
-            plain, shares, seen, rare = end, 0.0, int(v.ends > 0), []
-            for w, n in times.items():
-                if (x := base.get(w)) is None:
-                    rare.append((w, n))
-                    continue
-                seen += n
-                plain += n * x
-                shares += n * share.get(w, 0.0)
-            out["n_tokens"].append(len(words) + 1)
-            out["n_known"].append(seen)
-            out["base_score"].append(plain)
-            out["score"].append(shares)
-            out["rare"].append([{"word": w, "n": n} for w, n in rare])
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+            x = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+            others = Counter([words[k] for k in np.flatnonzero(x >= head).tolist()])
+            rare += others.keys()
+            times += others.values()
+            texts.append(len(rare))
+            found.append(x)
+        lengths = np.array([len(x) for x in found])
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        of = np.repeat(np.arange(len(found)), lengths)
+        plain, shares, seen = (np.bincount(of, table[k][flat], len(found)) for k in (1, 2, 3))
+        ends = np.cumsum(lengths + 1) - 1
+        classes = np.full(len(flat) + len(found), END, np.int32)
+        classes[np.arange(len(flat)) + of] = table[0][flat]
+        order = np.argsort(lengths, kind="stable").tolist()
         at = 0
-        for part in _parts([sequences[i] for i in order], at_once):
-            for x in log_likelihoods(part, m):
-                out["score"][order[at]] += float(x)
-                at += 1
-        return {"doc_id": batch.column(0)} | out
+        for part in _parts([classes[ends[i] - lengths[i] : ends[i] + 1] for i in order], at_once):
+            shares[order[at : at + len(part)]] += log_likelihoods(part, m)
+            at += len(part)
+        entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+        return {
+            "doc_id": batch.column(0),
+            "n_tokens": pa.array(lengths + 1, pa.int64()),
+            "n_known": pa.array(seen.astype(np.int64) + int(v.ends > 0)),
+            "base_score": pa.array(plain + log10(v.ends + 0.5) - bottom),
+            "score": pa.array(shares),
+            "rare": pa.ListArray.from_arrays(pa.array(texts, pa.int32()), entries),
+        }
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     found = map_rows(rows, partial, f"doc_id {ident}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:long>>")

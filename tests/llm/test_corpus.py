@@ -368,3 +368,10 @@ def test_scores_of_odd_rows(spark):
     for r in got:
         by.setdefault(r.doc_id, []).append((r.n_tokens, round(r.score, 6)))
     assert len(by[3]) == 2 and len(set(by[3])) == 1 and by[8] == by[3][:1] and by[40] == by[41] and by[40][0][0] == 400_001 and by[None][0][0] == 1
+
+
+def test_places_of_words():
+    """One lookup gives a frequent word's place or the suffix class of another; what is remembered changes nothing."""
+    places = hmm._Places({b"the": 9, b"of": 4})
+    for _ in range(2):
+        assert [places[w] for w in (b"the", b"of", b"zebra", b"")] == [0, 1, 2 + hmm.suffix_class(b"zebra"), 2 + hmm.suffix_class(b"")]
